@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
 from itertools import chain
 
 import regex
@@ -56,6 +57,7 @@ class ByteBPE:
     """Encodes and decodes in one worker.  Equal pieces are encoded once while remembered."""
 
     def __init__(self, described: str, ranks: dict[bytes, int], pattern: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(described)
