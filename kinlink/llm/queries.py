@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinlink.llm import bpe, decontaminate, langid, media, quality, sharding, simhash, tokens, urls
+from kinlink.llm import bpe, decontaminate, langid, media, quality, repeats, sharding, simhash, tokens, urls
 from kinlink.llm.common import held_out
 
 
@@ -55,12 +55,16 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), ["doc_id"], public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(_table(spark, sf_dir, "documents"), ["doc_id"])
+
+
 def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op2_simhash, op3_media, op4_token_ids, op5_quality, op6_urls, op7_decontaminate, op8_byte_bpe, op10_shard)}
+    return {f.__name__: f for f in (op1_language, op2_simhash, op3_media, op4_token_ids, op5_quality, op6_urls, op7_decontaminate, op8_byte_bpe, op9_repeats, op10_shard)}
 
 
 def oracle_sql() -> dict[str, str]:

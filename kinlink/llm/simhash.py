@@ -137,11 +137,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", shingle: int = SHINGLE
     return rows.join(named, "fp").select(key, "fp", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """docs with one row of each component: that of the smallest doc_id (null ones last), then of the smallest row hash."""
     columns = docs.columns
     own = docs.withColumn("__row", F.xxhash64(*[F.col(c) for c in columns]))
-    rows = checkpoint(fingerprints(own, ["doc_id", "__row"]))
+    rows = checkpoint(fingerprints(own, ["doc_id", "__row"], shingle))
     order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc_id"), F.col("__row").alias("row"))
     first = rows.groupBy("fp").agg(F.min(order).alias("first"))
     rooted = first.join(classes(first), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
