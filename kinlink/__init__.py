@@ -1,0 +1 @@
+"""Record linkage and text-corpus processing on Spark."""
