@@ -120,8 +120,7 @@ def unmatched(a: str, b: str, least: float = 80.0) -> list[str]:
     return [c for c in x if all(ratio(c, d) < least for d in y)]
 
 
-def _arrow(f: Callable[[str, str], object], kind: str) -> Callable[[Column, Column], Column]:
-    @F.pandas_udf(kind)
+def _arrow(f: Callable[[str, str], object], kind: str) -> Callable[[Column | str, Column | str], Column]:
     def pairs(a: pd.Series, b: pd.Series) -> pd.Series:
         known: dict[tuple[str, str], object] = {}
         out = []
@@ -131,7 +130,8 @@ def _arrow(f: Callable[[str, str], object], kind: str) -> Callable[[Column, Colu
             out.append(known[p])
         return pd.Series(out, dtype="object" if "array" in kind else "float64")
 
-    return pairs
+    # made at each use: workers import this module too, and have no session
+    return lambda a, b: F.pandas_udf(pairs, kind)(a, b)
 
 
 indel = _arrow(ratio, "double")

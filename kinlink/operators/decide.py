@@ -106,7 +106,7 @@ def match_prior(entities: DataFrame, pairs: DataFrame, entity: str, record: str,
 
 def mean_of_present(columns: list[str]) -> Column:
     """The mean of the non-null columns, null if none."""
-    return F.expr(f"aggregate(filter(array({', '.join(columns)}), x -> x is not null), named_struct('s', 0D, 'n', 0), (a, x) -> named_struct('s', a.s + x, 'n', a.n + 1), a -> a.s / a.n)")
+    return F.expr(f"aggregate(filter(array({', '.join(columns)}), x -> x is not null), named_struct('s', 0D, 'n', 0), (a, x) -> named_struct('s', a.s + x, 'n', a.n + 1), a -> try_divide(a.s, a.n))")
 
 
 def subsets(names: list[str]) -> list[tuple[str, ...]]:
@@ -114,10 +114,10 @@ def subsets(names: list[str]) -> list[tuple[str, ...]]:
 
 
 def blend_report(pairs: DataFrame, models: list[str], label: str) -> DataFrame:
-    """(models, brier) of every subset's equal-weight blend, in one aggregate."""
-    made = [F.round(F.avg(F.pow(mean_of_present(list(c)) - F.col(label).cast("double"), 2)), 9).alias("+".join(c)) for c in subsets(models)]
+    """(models, rmse) of every subset's equal-weight blend, in one aggregate."""
+    made = [F.round(F.sqrt(F.avg(F.pow(mean_of_present(list(c)) - F.col(label).cast("double"), 2))), 9).alias("+".join(c)) for c in subsets(models)]
     wide = pairs.agg(*made)
-    return wide.select(F.explode(F.array(*[F.struct(F.lit(c).alias("models"), F.col(f"`{c}`").alias("brier")) for c in wide.columns])).alias("r")).select("r.*")
+    return wide.select(F.explode(F.array(*[F.struct(F.lit(c).alias("models"), F.col(f"`{c}`").alias("rmse")) for c in wide.columns])).alias("r")).select("r.*")
 
 
 def error_kinds(pairs: DataFrame, truth: DataFrame, entity: str, record: str, group: str) -> DataFrame:

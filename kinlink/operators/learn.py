@@ -125,7 +125,8 @@ def _features(columns: list[str]) -> VectorAssembler:
 
 def booster(columns: list[str], label: str, rounds: int = 20, depth: int = 5, rate: float = 0.1, weight: str | None = None, validation: str | None = None) -> Pipeline:
     """Gradient-boosted trees over columns, with row and column sampling."""
-    trees = GBTClassifier(featuresCol="__x", labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=0.7, featureSubsetStrategy="0.7", seed=7, probabilityCol="__p", rawPredictionCol="__raw", predictionCol="__y")
+    trees = GBTClassifier(featuresCol="__x", labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=0.7, featureSubsetStrategy="0.7", seed=7, predictionCol="__y")
+    trees = trees.setProbabilityCol("__p").setRawPredictionCol("__raw")
     if weight:
         trees = trees.setWeightCol(weight)
     if validation:

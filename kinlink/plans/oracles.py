@@ -35,9 +35,9 @@ def _channel(tag: str, grams: str, least: int, k: int) -> str:
     return ",\n".join((_vectors(tag, grams, least), _cosines(tag), _topk(tag, k)))
 
 
-_NAME5, _ADDR5 = _channel("n", _NAME_GRAMS, 2, 5), _channel("a", _ADDR_GRAMS, 1, 5)
-_COMB = f"""{_vectors("n", _NAME_GRAMS, 2)}, {_vectors("a", _ADDR_GRAMS, 1)},
-bu AS (SELECT grp, id, src, 'n:' || f AS f, w * 0.6 AS w FROM nv UNION ALL SELECT grp, id, src, 'a:' || f, w FROM av),
+_NAME5, _ADDR5 = _channel("n", _NAME_GRAMS, 2, 5), _channel("ad", _ADDR_GRAMS, 1, 5)
+_COMB = f"""{_vectors("n", _NAME_GRAMS, 2)}, {_vectors("ad", _ADDR_GRAMS, 1)},
+bu AS (SELECT grp, id, src, 'n:' || f AS f, w * 0.6 AS w FROM nv UNION ALL SELECT grp, id, src, 'a:' || f, w FROM adv),
 bv AS (SELECT grp, id, src, f, w / sqrt(sum(w * w) OVER (PARTITION BY grp, id)) AS w FROM bu), {_cosines("b")}"""
 _KEYS = """ks AS (SELECT grp, id, src, unnest(list_distinct(regexp_extract_all(addr, '[0-9]+')[1:CASE WHEN src = 1 THEN 3 ELSE 1 END])) AS number, string_split(addr, ' ')[2] AS loc, string_split(name, ' ')[2] AS tok FROM rec),
 ky AS (SELECT DISTINCT grp, id, src, number || '|' || loc || '|' || tok AS key FROM ks),
@@ -116,11 +116,11 @@ _MET = f"WITH {_REC}, {_channel('n', _NAME_GRAMS, 2, 3)}, p AS (SELECT j, i1, co
 def _made() -> dict[str, str]:
     q: dict[str, str] = {}
     q["block_name_topk"] = f"WITH {_REC}, {_NAME5} SELECT * FROM nr"
-    q["block_addr_topk"] = f"WITH {_REC}, {_ADDR5} SELECT * FROM ar"
+    q["block_addr_topk"] = f"WITH {_REC}, {_ADDR5} SELECT * FROM adr"
     q["block_comb_topk"] = f"WITH {_REC}, {_COMB}, {_topk('b', 5)} SELECT * FROM br"
     q["block_rev_topk"] = f"WITH {_REC}, {_COMB}, {_topk('b', 3, 'i1', 'j')} SELECT * FROM br"
-    q["channel_union"] = f"WITH {_REC}, {_NAME5}, {_ADDR5} SELECT grp, j, i1, coalesce(n.rk, 99) AS rk_name, coalesce(a.rk, 99) AS rk_addr, n.cos AS cos_name, a.cos AS cos_addr FROM nr n FULL JOIN ar a USING (grp, j, i1)"
-    q["exact_cosine"] = f"WITH {_REC}, {_channel('a', _ADDR_GRAMS, 1, 3)}, {_vectors('n', _NAME_GRAMS, 2)} SELECT grp, j, i1, coalesce((SELECT round(sum(x.w * y.w), 6) FROM nv x JOIN nv y USING (f) WHERE x.id = ar.j AND y.id = ar.i1), 0.0) AS cos_name FROM ar"
+    q["channel_union"] = f"WITH {_REC}, {_NAME5}, {_ADDR5} SELECT grp, j, i1, coalesce(n.rk, 99) AS rk_name, coalesce(a.rk, 99) AS rk_addr, n.cos AS cos_name, a.cos AS cos_addr FROM nr n FULL JOIN adr a USING (grp, j, i1)"
+    q["exact_cosine"] = f"WITH {_REC}, {_channel('ad', _ADDR_GRAMS, 1, 3)}, {_vectors('n', _NAME_GRAMS, 2)} SELECT grp, j, i1, coalesce((SELECT round(sum(x.w * y.w), 6) FROM nv x JOIN nv y USING (f) WHERE x.id = adr.j AND y.id = adr.i1), 0.0) AS cos_name FROM adr"
     q["key_channel"] = f"WITH {_REC}, {_KEYS} SELECT * FROM kp"
     q["key_channel_new_pairs"] = f"WITH {_REC}, {_KEYS}, {_NAME5} SELECT kp.* FROM kp ANTI JOIN nr USING (grp, j, i1)"
     q["candidate_union"] = f"WITH {_REC}, {_KEYS}, {_NAME5} SELECT grp, j, i1, 'name' AS channel FROM nr UNION ALL SELECT kp.*, 'key' FROM kp ANTI JOIN nr USING (grp, j, i1)"
@@ -141,13 +141,13 @@ FROM x JOIN a b ON b.id = i1 JOIN a c2 ON c2.id = j"""
     q["prune_sweep"] = f"WITH {_UNIQUE}, k AS (SELECT *, {rank} AS rk FROM u) SELECT top, floor, CAST(sum(CASE WHEN rk <= top AND p >= floor THEN 1 ELSE 0 END) AS BIGINT) AS kept, CAST(sum(CASE WHEN rk <= top AND p >= floor AND y THEN 1 ELSE 0 END) AS BIGINT) AS hits FROM k, (SELECT unnest([5, 8, 10, 12, 15]) AS top), (SELECT unnest([0.0001, 0.1, 0.5])::DOUBLE AS floor) GROUP BY ALL"
     q["collective_features"] = f"""WITH {_UNIQUE}, h AS (SELECT r_id, s1_id, p, src3, CAST(p >= 0.5 AS INT) AS hit FROM u), c AS (SELECT r_id, s1_id, src3, p AS p1, {jp['others']} AS p1_r_other_max, {jp['rank']} AS p1_r_rank, {jp['rest']} AS p1_r_sum, {ip['rest']} AS p1_a_sum_excl,
 CAST(sum(hit) OVER (PARTITION BY s1_id) - hit AS BIGINT) AS p1_a_nstrong_excl, CAST(sum(hit * src3) OVER (PARTITION BY s1_id) - hit * src3 AS BIGINT) AS p1_a_nstrong_s3_excl, CAST(sum(hit * (1 - src3)) OVER (PARTITION BY s1_id) - hit * (1 - src3) AS BIGINT) AS p1_a_nstrong_s2_excl, {ip['others']} AS p1_a_max_excl, {ip['rank']} AS p1_a_rank FROM h) SELECT *, round(p1 - p1_r_other_max, 6) AS p1_r_margin FROM c"""
-    q["sibling_features"] = f"""WITH {_UNIQUE}, m AS (SELECT a.r_id, a.s1_id, b.r_id AS rs_id, b.p AS ps, round(1 / (1 + abs(x.p_size - z.p_size)) + CASE WHEN x.p_brand = z.p_brand THEN 0.5 ELSE 0 END, 6) AS sim FROM u a JOIN u b ON a.s1_id = b.s1_id AND a.r_id <> b.r_id AND b.p >= 0.5 JOIN part x ON x.p_partkey = a.r_id JOIN part z ON z.p_partkey = b.r_id),
+    q["sibling_features"] = f"""WITH {_UNIQUE}, m AS (SELECT a.r_id, a.s1_id, b.r_id AS rs_id, b.p AS ps, CAST(CASE WHEN x.p_brand = z.p_brand THEN 0.75 WHEN abs(x.p_size - z.p_size) < 8 THEN 0.5 ELSE 0.25 END AS DOUBLE) AS sim FROM u a JOIN u b ON a.s1_id = b.s1_id AND a.r_id <> b.r_id AND b.p >= 0.5 JOIN part x ON x.p_partkey = a.r_id JOIN part z ON z.p_partkey = b.r_id),
 g AS (SELECT r_id, s1_id, max(sim) AS a, avg(sim) AS b, max(sim * ps) AS c, count(*) AS n FROM m GROUP BY ALL), s AS (SELECT u.r_id, u.s1_id, u.p, coalesce(a, 0) AS smax, coalesce(b, 0) AS smean, coalesce(c, 0) AS swmax, coalesce(n, 0) AS sib_n FROM u LEFT JOIN g USING (r_id, s1_id))
 SELECT r_id, s1_id, p, round(smax, 6) AS sib_comb_smax, round(smean, 6) AS sib_comb_smean, round(swmax, 6) AS sib_comb_swmax, sib_n, {_context('r_id', 'smax')['others']} AS sib_comb_rival_max FROM s"""
     q["pct_rank_avg"] = "SELECT l_orderkey, l_linenumber, l_suppkey, l_quantity, round((rank() OVER (PARTITION BY l_suppkey ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_suppkey, l_quantity) - 1) / 2) / count(*) OVER (PARTITION BY l_suppkey), 9) AS pct FROM lineitem"
     q["rerank_after_drop"] = f"WITH {_REC}, {_NAME5} SELECT j, i1, CAST(row_number() OVER (PARTITION BY j ORDER BY rk, i1) - 1 AS INT) AS rk FROM nr WHERE i1 NOT IN (SELECT id FROM rec WHERE name LIKE 'red %')"
     q["argmax_assign"] = f"WITH {_UNIQUE} SELECT r_id, s1_id, p FROM u QUALIFY {rank} = 1"
-    q["poisson_binomial"] = f"WITH {_PAIRS}, g AS (SELECT s1_id, {_PMF.format(q='list(p ORDER BY p)')} AS d FROM pairs GROUP BY s1_id) SELECT s1_id, CAST(unnest(range(0, len(d))) AS INT) AS k, round(unnest(d), 9) AS chance FROM g"
+    q["poisson_binomial"] = f"WITH {_PAIRS}, g AS (SELECT s1_id, {_PMF.format(q='list(p / 3 ORDER BY p)')} AS d FROM pairs GROUP BY s1_id) SELECT s1_id, CAST(unnest(range(0, len(d))) AS INT) AS k, round(unnest(d), 9) AS chance FROM g"
     q["expected_f_select"] = f"""WITH {_UNIQUE}, l AS (SELECT s1_id, list(p ORDER BY p DESC, r_id) AS q FROM u GROUP BY s1_id),
 k AS (SELECT s1_id, q, unnest(range(0, len(q) + 1)) AS k FROM l), d AS (SELECT s1_id, q, k, {_PMF.format(q='q[1:k]')} AS a, {_PMF.format(q='q[k + 1:]')} AS b FROM k),
 e AS (SELECT s1_id, k, round(CASE WHEN k = 0 THEN b[1] ELSE list_sum(list_transform(range(1, k + 1), lambda s: a[s + 1] * list_sum(list_transform(range(0, len(b)), lambda t: b[t + 1] * 1.25 * s / (0.25 * (s + t) + k))))) END, 9) AS v FROM d)
@@ -161,7 +161,7 @@ LEFT JOIN (SELECT s1_id, threshold, count(*) FILTER (y) AS tp, count(*) AS npred
     q["odds_scale"] = f"WITH {_PAIRS} SELECT s1_id, ln, round(p * 0.4::DOUBLE / (p * 0.4::DOUBLE + 1 - p), 9) AS q FROM pairs"
     q["blend_mean"] = f"WITH {_PAIRS}, m AS (SELECT s1_id, ln, CASE WHEN p > 0.1 THEN p END AS a, CASE WHEN p2 > 0.3 THEN p2 END AS b FROM pairs) SELECT s1_id, ln, round(CASE WHEN a IS NULL THEN b WHEN b IS NULL THEN a ELSE (a + b) / 2 END, 9) AS blend FROM m"
     subsets = [("p",), ("p2",), ("p3",), ("p", "p2"), ("p", "p3"), ("p2", "p3"), ("p", "p2", "p3")]
-    q["blend_subsets"] = f"WITH {_PAIRS}, m AS (SELECT p, p2, qty / 50 AS p3, CAST(y AS INT) AS y FROM pairs) " + " UNION ALL ".join(f"SELECT '{'+'.join(s)}' AS models, round(avg((({' + '.join(s)}) / {len(s)} - y) ** 2), 9) AS brier FROM m" for s in subsets)
+    q["blend_subsets"] = f"WITH {_PAIRS}, m AS (SELECT p, p2, qty / 50 AS p3, CAST(y AS INT) AS y FROM pairs) " + " UNION ALL ".join(f"SELECT '{'+'.join(s)}' AS models, round(sqrt(avg((({' + '.join(s)}) / {len(s)} - y) ** 2)), 9) AS rmse FROM m" for s in subsets)
     body = "CASE WHEN business_name LIKE '% fka %' THEN regexp_replace(split_part(business_name, ' fka ', 2), '\\(ID: [0-9]+\\)', ' ') ELSE regexp_replace(business_name, '\\(ID: [0-9]+\\)', ' ') END"
     core = f"list_filter(nf, lambda t: t NOT IN {_in(text.LEGAL + text.HONOR + text.STOP)})"
     q["norm_name"] = f"""WITH {_NAMED}, b AS (SELECT id, {body} AS c, CASE WHEN business_name LIKE '% fka %' THEN split_part(business_name, ' fka ', 1) ELSE '' END AS h FROM named), t AS (SELECT id, h, {_MARKED.format(c='c')} AS nf, list_transform(regexp_extract_all(lower(h), '[a-z0-9]+'), lambda t: {_case(text.NAME_CANON)}) AS na FROM b)

@@ -186,7 +186,7 @@ def sibling_features(spark, sf_dir):
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_size", "p_brand")
     met = u.select("s1_id", "r_id").join(u.where("p >= 0.5").select("s1_id", F.col("r_id").alias("rs_id")), "s1_id").where("r_id <> rs_id").select("r_id", "rs_id").distinct()
     alike = met.join(part.select(F.col("id").alias("r_id"), F.col("p_size").alias("a"), F.col("p_brand").alias("c")), "r_id").join(part.select(F.col("id").alias("rs_id"), F.col("p_size").alias("b"), F.col("p_brand").alias("d")), "rs_id")
-    similarity = alike.select("r_id", "rs_id", F.round(1 / (1 + F.abs(F.col("a") - F.col("b"))) + F.when(F.col("c") == F.col("d"), 0.5).otherwise(0.0), 6).alias("sim"))
+    similarity = alike.select("r_id", "rs_id", F.when(F.col("c") == F.col("d"), 0.75).when(F.abs(F.col("a") - F.col("b")) < 8, 0.5).otherwise(0.25).alias("sim"))
     return _rounded(windows.siblings(u, similarity, "comb"))
 
 
@@ -211,7 +211,7 @@ def argmax_assign(spark, sf_dir):
 
 @query
 def poisson_binomial(spark, sf_dir):
-    q = pairs(spark, sf_dir).groupBy("s1_id").agg(F.expr("array_sort(collect_list(p))").alias("q"))
+    q = pairs(spark, sf_dir).groupBy("s1_id").agg(F.expr("array_sort(collect_list(p / 3))").alias("q"))
     return q.select("s1_id", F.posexplode(F.expr(f"transform({decide.pmf('q')}, x -> round(x, 9))")).alias("k", "chance"))
 
 
@@ -416,13 +416,13 @@ def learn_token_map(spark, sf_dir):
 
 @query
 def learn_components(spark, sf_dir):
-    split = lambda c: F.transform(F.split(F.lower(c), ","), F.trim)
+    split = lambda c: F.transform(F.split(F.lower(c), ","), lambda x: F.trim(x))
     return learn.component_dictionary(_paired(spark, sf_dir), split("a2"), split("a1"), F.lit(True), 3, 0.3)
 
 
 @query
 def learn_alias(spark, sf_dir):
-    parts = lambda c: F.array_join(F.transform(F.split(F.lower(c), ","), F.trim), "|")
+    parts = lambda c: F.array_join(F.transform(F.split(F.lower(c), ","), lambda x: F.trim(x)), "|")
     return learn.aliases(_paired(spark, sf_dir), parts("a1"), parts("a2"), (F.col("id") % 2).cast("int"))
 
 
