@@ -1 +1 @@
-
+"""Nothing here yet: linkage runs are batch runs."""
