@@ -16,6 +16,13 @@ from pyspark.sql import types as T
 STEP_BYTES = 4 << 20
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of about STEP_BYTES, where the session has Spark's own bound of 64 MB: workers then hold that much text."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in ("67108864b", "67108864", "64m", "64MB"):
+        spark.conf.set(key, str(STEP_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir, which driver and executors share.
 
@@ -67,6 +74,7 @@ def text_pass(df: DataFrame, keep: list[str], text: str, made: list[tuple[str, s
     """
     if clash := {n for n, _ in made} & set(keep):
         raise ValueError(f"made columns clash with kept ones: {sorted(clash)}")
+    bounded_batches(df.sparkSession)
     source = df.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{text}`").cast("string").alias("t"))
     out = T.StructType([T.StructField(c, df.schema[c].dataType) for c in keep] + [T.StructField(n, T._parse_datatype_string(k)) for n, k in made])
     from pyspark.sql.pandas.types import to_arrow_schema

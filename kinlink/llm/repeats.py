@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from kinlink.llm.common import checkpoint, steps, stored, text_pass
+from kinlink.llm.common import bounded_batches, checkpoint, steps, stored, text_pass
 from kinlink.llm.suffixes import repeated
 
 LENGTH = 200
@@ -35,8 +35,8 @@ GRAM = 32
 LARGE = 3_000
 #: Bytes of a shard's text, beyond which a new one begins (an anchor's segments stay together).
 SHARD_BYTES = 1 << 20
-#: Window starts that are hashed at a time.
-PIECE = 1 << 19
+#: Bytes of text that are hashed at a time.
+PIECE = 1 << 18
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F))
 
@@ -56,30 +56,48 @@ def gram_hashes(raw: np.ndarray, gram: int = GRAM) -> np.ndarray:
     return h
 
 
-def segments(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> list[tuple[np.ndarray, ...]]:
-    """Of a text, piece by piece: each segment's anchor hash, first window, windows, and the anchor's place behind the first window.
+def segments(raws: list[bytes], length: int = LENGTH, gram: int = GRAM):
+    """Yields, buffer by buffer, the segments of texts: (buffer, text, begin in the buffer, begin in the text, windows, anchor hash, anchor's offset).
 
-    The smallest hash of each stretch of places is found from running minima in both directions over
-    blocks of the stretch's size; of equal hashes the leftmost counts.
+    Texts are joined to buffers of about PIECE bytes, and longer texts cut into pieces that overlap by a window less a
+    byte.  The smallest hash of each stretch of places is found from running minima in both directions
+    over blocks of the stretch's size; of equal hashes the leftmost counts.
     """
+    held, size = [], 0
+    for text, raw in enumerate(raws):
+        for base in range(0, len(raw) - length + 1, PIECE):
+            part = raw[base : base + PIECE + length - 1]
+            held.append((text, base, part))
+            size += len(part)
+            if size >= PIECE:
+                yield _cut(held, length, gram)
+                held, size = [], 0
+    if held:
+        yield _cut(held, length, gram)
+
+
+def _cut(parts: list[tuple[int, int, bytes]], length: int, gram: int):
     span = length - gram + 1
-    out = []
-    for base in range(0, len(raw) - length + 1, PIECE):
-        part = np.frombuffer(raw, np.uint8, min(len(raw) - base, PIECE + length - 1), base)
-        h = gram_hashes(part, gram)
-        n = len(h)
-        windows = n - span + 1
-        keys = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(n, dtype=np.uint64)
-        blocks = np.full(-(-n // span) * span, np.iinfo(np.uint64).max, np.uint64)
-        blocks[:n] = keys
-        blocks = blocks.reshape(-1, span)
-        ahead = np.minimum.accumulate(blocks, axis=1).ravel()
-        behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-        place = (np.minimum(behind[:windows], ahead[span - 1 : span - 1 + windows]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
-        anchor = place[first]
-        out.append((h[anchor].view(np.int64), base + first, np.diff(np.append(first, windows)), anchor - first))
-    return out
+    buffer = b"".join([p[2] for p in parts])
+    h = gram_hashes(np.frombuffer(buffer, np.uint8), gram)
+    n = len(h)
+    keys = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(n, dtype=np.uint64)
+    blocks = np.full(-(-n // span) * span, np.iinfo(np.uint64).max, np.uint64)
+    blocks[:n] = keys
+    blocks = blocks.reshape(-1, span)
+    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
+    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    least = np.minimum(behind[: n - span + 1], ahead[span - 1 : n]) & np.uint64(0xFFFFFFFF)
+    # windows that lie inside one part
+    counts = np.array([len(p[2]) - length + 1 for p in parts])
+    begins = np.cumsum(counts + length - 1) - (counts + length - 1)
+    owner = np.repeat(np.arange(len(parts)), counts)
+    at = np.arange(len(owner)) + np.repeat(begins - (np.cumsum(counts) - counts), counts)
+    place = least[at].astype(np.int64)
+    first = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]) | (owner[1:] != owner[:-1]))))
+    own, begin, anchor = owner[first], at[first], place[first]
+    texts, bases = (np.array([p[i] for p in parts])[own] for i in (0, 1))
+    return buffer, texts, begin, begin - begins[own] + bases, np.diff(np.append(first, len(owner))), h[anchor].view(np.int64), anchor - begin
 
 
 def text_key(raw: bytes) -> tuple[int, int]:
@@ -88,7 +106,7 @@ def text_key(raw: bytes) -> tuple[int, int]:
     return (h & (1 << 64) - 1) - ((h >> 63 & 1) << 64), h >> 64 & 0xFFF
 
 
-def _pack(start: np.ndarray, windows: np.ndarray, offset: np.ndarray, check: int) -> np.ndarray:
+def _pack(start: np.ndarray, windows: np.ndarray, offset: np.ndarray, check: np.ndarray) -> np.ndarray:
     return (((start << 8 | (windows - 1)) << 8 | offset) << 12) | check
 
 
@@ -99,23 +117,19 @@ def _unpack(at: np.ndarray, check: int) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 def occurrences(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """anchor, seg (hash of the segment's bytes), tk (the text's key) and at (the packed place) of every segment."""
+    bounded_batches(docs.sparkSession)
     kinds = pa.schema([("anchor", pa.int64()), ("seg", pa.int64()), ("tk", pa.int64()), ("at", pa.int64())])
 
     def work(batches):
         for batch in batches:
             for a, b in steps(batch.column(0)):
-                found = []
-                for text in batch.column(0).slice(a, b - a):
-                    raw = text.as_buffer().to_pybytes() if text.is_valid else b""
-                    if len(raw) < length:
-                        continue
-                    key, check = text_key(raw)
-                    for anchor, start, windows, offset in segments(raw, length):
-                        stop = (start + windows + length - 1).tolist()
-                        seg = np.fromiter(map(xxhash.xxh3_64_intdigest, map(raw.__getitem__, map(slice, start.tolist(), stop))), np.uint64, len(start))
-                        found.append((anchor, seg.view(np.int64), np.full(len(start), key), _pack(start, windows, offset, check)))
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], schema=kinds)
+                raws = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column(0).slice(a, b - a)]
+                keyed = [text_key(r) if len(r) >= length else (0, 0) for r in raws]
+                keys, checks = np.array([k for k, _ in keyed], np.int64), np.array([c for _, c in keyed], np.int64)
+                for buffer, text, begin, start, windows, anchor, offset in segments(raws, length):
+                    cut = map(buffer.__getitem__, map(slice, begin.tolist(), (begin + windows + length - 1).tolist()))
+                    seg = np.fromiter(map(xxhash.xxh3_64_intdigest, cut), np.uint64, len(begin)).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (anchor, seg, keys[text], _pack(start, windows, offset, checks[text]))], schema=kinds)
 
     return docs.select(F.col("text").cast("string")).mapInArrow(work, "anchor long, seg long, tk long, at long")
 
@@ -137,7 +151,8 @@ def _packed(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 def _strings(packed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """anchor, seg, n, q (the anchor's offset) and s (the bytes) of the wanted segments (tk, at, anchor, seg, n)."""
-    lists = wanted.groupBy("tk").agg(F.collect_list(F.struct("at", "anchor", "seg", "n")).alias("l"))
+    # stored: a join of two plain shuffles can be split where a text has very many copies
+    lists = stored(wanted.groupBy("tk").agg(F.collect_list(F.struct("at", "anchor", "seg", "n")).alias("l")), "wanted")
     kinds = pa.schema([("anchor", pa.int64()), ("seg", pa.int64()), ("n", pa.int64()), ("q", pa.int32()), ("s", pa.binary())])
 
     def work(batches):
@@ -255,7 +270,8 @@ def covers(docs: DataFrame, length: int = LENGTH, large: int = LARGE) -> DataFra
     """tk and l: for each text with repeated windows the packed places of its segments and their runs (null: all windows)."""
     found = occurrences(docs, length)
     anchors = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("seg").alias("lo"), F.max("seg").alias("hi")).where("n > 1")
-    flagged = stored(found.join(anchors.select("anchor", (F.col("lo") != F.col("hi")).alias("mixed")), "anchor"), "segments")
+    shared = stored(anchors.select("anchor", (F.col("lo") != F.col("hi")).alias("mixed")), "anchors")
+    flagged = stored(found.join(shared, "anchor"), "segments")
     mixed = flagged.where("mixed")
     each = checkpoint(mixed.groupBy("anchor", "seg").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("tk", "at")).alias("one")))
     sizes = each.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > large)
@@ -269,7 +285,7 @@ def covers(docs: DataFrame, length: int = LENGTH, large: int = LARGE) -> DataFra
     judged = checkpoint(verdicts.join(each.where("n > 1"), ["anchor", "seg"], "left_anti").unionByName(whole))
     parts = mixed.join(judged, ["anchor", "seg"]).select("tk", "at", "runs")
     full = flagged.where("not mixed").select("tk", "at", F.lit(None).cast("array<struct<a:int,b:int>>").alias("runs"))
-    return parts.unionByName(full).groupBy("tk").agg(F.collect_set(F.struct("at", "runs")).alias("l"))
+    return stored(parts.unionByName(full).groupBy("tk").agg(F.collect_set(F.struct("at", "runs")).alias("l")), "covers")
 
 
 def removed(raw: bytes, entries, length: int = LENGTH) -> np.ndarray:

@@ -92,31 +92,36 @@ def _induce_entries(t: np.ndarray, smaller: np.ndarray, seeds: np.ndarray, k: in
     n = len(t)
     size = np.bincount(t, minlength=k)
     stop = np.cumsum(size)
-    symbols, s_type = t.tolist(), smaller.tolist()
-    sa = [-1] * n
-    end = stop.tolist()
-    for i in reversed(seeds.tolist()):
-        c = symbols[i]
-        end[c] -= 1
-        sa[end[c]] = i
-    head = (stop - size).tolist()
+    # for each suffix the symbol before it where that suffix is L (or S), else -1; the last place is for empty entries
+    to_l, to_s = np.full(n + 1, -1), np.full(n + 1, -1)
+    to_l[1:n] = np.where(smaller[:-1], -1, t[:-1])
+    to_s[1:n] = np.where(smaller[:-1], t[:-1], -1)
+    sa = np.full(n, -1, np.int64)
+    if len(seeds):
+        order, place, symbols, count = _spread(t[seeds])
+        seeded = np.zeros(k, np.int64)
+        seeded[symbols] = count
+        s = t[seeds][order]
+        sa[stop[s] - seeded[s] + place] = seeds[order]
+    sa = sa.tolist()
+    head, before = (stop - size).tolist(), to_l.tolist()
     # the virtual end comes first and induces the last suffix
-    c = symbols[n - 1]
+    c = int(t[n - 1])
     sa[head[c]] = n - 1
     head[c] += 1
-    for r in range(n):
-        i = sa[r] - 1
-        if i >= 0 and not s_type[i]:
-            c = symbols[i]
-            sa[head[c]] = i
-            head[c] += 1
-    end = stop.tolist()
-    for r in range(n - 1, -1, -1):
-        i = sa[r] - 1
-        if i >= 0 and s_type[i]:
-            c = symbols[i]
-            end[c] -= 1
-            sa[end[c]] = i
+    for i in sa:  # entries are filled in ahead of the walk
+        c = before[i]
+        if c >= 0:
+            at = head[c]
+            sa[at] = i - 1
+            head[c] = at + 1
+    end, before = stop.tolist(), to_s.tolist()
+    for i in reversed(sa):
+        c = before[i]
+        if c >= 0:
+            at = end[c] - 1
+            sa[at] = i - 1
+            end[c] = at
     return np.array(sa, np.int64)
 
 
