@@ -13,6 +13,7 @@ counts, the control bytes and the data bytes.  A file needs the table of ranks,
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 
@@ -22,13 +23,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinlink.llm.common import STEP_BYTES, shared_dir, steps, stored
+from kinlink.llm.common import STEP_BYTES, bounded_batches, shared_dir, steps, stored
 
 END = 1
 #: Ids after which a block ends; a document is never cut.
 BLOCK = 1 << 18
 #: Distinct words that a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
+
+_PLAIN = re.compile("[a-zß-öø-ÿ]+").fullmatch
 
 #: Lengths (1 to 4) of the four ranks that a control byte describes.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
@@ -62,7 +65,8 @@ class WordEncoder:
 
     The library's normaliser and pattern treat white-space-separated words apart, and a mark after a
     letter of Latin-1 always begins a new piece, so a text's ids are its words' ids in turn.  Only lower-casing of
-    A-Z is done before; everything else is the library's.
+    A-Z is done before; everything else is the library's.  Words of Latin-1 letters are one piece each, so
+    that many are encoded as one text and cut behind the ids that end a word.
     """
 
     def __init__(self, described: str):
@@ -71,26 +75,31 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_str(described)
         self.tokenizer.encode_special_tokens = True
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.ends = np.zeros(1, np.int64)
+        vocabulary = self.tokenizer.get_vocab()
+        size = max(vocabulary.values()) + 1
+        self.wide = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.last = np.zeros(size, bool)
+        if suffix:
+            self.last[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+        self.known: dict[str, bytes] = {}
 
     def learn(self, new: list[str]) -> None:
-        for a in range(0, len(new), 20_000):
-            part = new[a : a + 20_000]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            ends = self.ends[-1] + np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
-            if ends[-1] > len(self.flat):
-                self.flat = np.concatenate((self.flat, np.zeros(max(len(self.flat), int(ends[-1])), np.uint32)))
-            self.flat[self.ends[-1] : ends[-1]] = np.fromiter((i for x in ids for i in x), np.uint32, int(ends[-1] - self.ends[-1]))
-            self.known.update(zip(part, range(len(self.known), len(self.known) + len(part))))
-            self.ends = np.concatenate((self.ends, ends))
-
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of texts, and the count of each text's ids."""
+        plain = list(filter(_PLAIN, new)) if self.last.any() else []
+        for a in range(0, len(plain), 5_000):
+            part = plain[a : a + 5_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.wide)
+            ends = (np.flatnonzero(self.last[ids]) + 1) * self.wide.itemsize
+            if len(ends) == len(part):
+                raw = ids.tobytes()
+                self.known.update(zip(part, map(raw.__getitem__, map(slice, [0, *ends[:-1].tolist()], ends.tolist()))))
+        rest = [w for w in new if w not in self.known]
+        for a in range(0, len(rest), 20_000):
+            part = rest[a : a + 20_000]
+            self.known.update((w, np.array(e.ids, self.wide).tobytes()) for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)))
+
+    def encoded(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, pa.Buffer]:
+        """Where each text's ids begin (and the last end), in bytes, and the ids' bytes; `end` follows each text."""
         texts = pc.ascii_lower(texts.fill_null(""))
         odd = pc.match_substring_regex(texts, "[\x1c-\x1f]")
         lists = pc.utf8_split_whitespace(pc.replace_substring_regex(texts, r"([a-zÀ-ÖØ-öø-ÿ])([.,;:!?]+)", r"\1 \2"))
@@ -100,46 +109,66 @@ class WordEncoder:
         words = flat.dictionary.to_pylist()
         if new := [w for w in words if w not in self.known]:
             if len(self.known) + len(new) > REMEMBERED:
-                self.forget()
+                self.known = {}
                 new = words
             self.learn(new)
-        place = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))[flat.indices.to_numpy().astype(np.int64)]
-        sizes = self.ends[place + 1] - self.ends[place]
-        behind = np.concatenate(([0], np.cumsum(sizes)))
-        ids = self.flat[np.arange(behind[-1]) + np.repeat(self.ends[place] - behind[:-1], sizes)]
+        ids = list(map(self.known.__getitem__, words))
         rows = lists.offsets.to_numpy().astype(np.int64)
-        return ids, np.diff(behind[rows - rows[0]])
+        rows = rows - rows[0]
+        codes = flat.indices.to_numpy()
+        if end is not None:
+            codes = np.insert(codes, rows[1:], len(ids))
+            ids.append(np.array([end], self.wide).tobytes())
+            rows = rows + np.arange(len(rows))
+        taken = pa.array(ids, pa.large_binary()).take(pa.array(codes))
+        places = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset :] if len(taken) else np.zeros(1, np.int64)
+        return places[rows], taken.buffers()[2] or pa.py_buffer(b"")
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of texts, and the count of each text's ids."""
+        ends, data = self.encoded(texts)
+        return np.frombuffer(data, self.wide, int(ends[-1]) // self.wide.itemsize), np.diff(ends) // self.wide.itemsize
+
+
+_ENCODER: list = [None, None]
+
+
+def encoder_of(described: str) -> WordEncoder:
+    """This process's encoder: a worker's next task finds the words that earlier ones learned."""
+    if _ENCODER[0] != described:
+        _ENCODER[:] = [described, WordEncoder(described)]
+    return _ENCODER[1]
 
 
 def encode(docs: DataFrame, tokenizer_json: str, end: int = END) -> DataFrame:
-    """doc_id and ids (little-endian 32-bit, the end id last) of every document.  Null text: the end id alone."""
+    """doc_id and ids (16 bits each where the vocabulary fits, else 32, the end id last) of every document.  Null text: the end id alone."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
     kind = dict(docs.dtypes)["doc_id"]
 
     def work(batches):
-        encoder = WordEncoder(shared.value)
+        encoder = encoder_of(shared.value)
         for batch in batches:
             for a, b in steps(batch.column(1), 2 * STEP_BYTES):
-                ids, counts = encoder.encode(batch.column(1).slice(a, b - a))
-                full = np.insert(ids, np.cumsum(counts), end).astype("<u4")
-                ends = np.concatenate(([0], np.cumsum(counts + 1)))
-                data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer((ends * 4).tobytes()), pa.py_buffer(full.tobytes())])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), data.cast(pa.binary())], ["doc_id", "ids"])
+                ends, data = encoder.encoded(batch.column(1).slice(a, b - a), end)
+                ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(ends.tobytes()), data])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), ids.cast(pa.binary())], ["doc_id", "ids"])
 
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(work, f"doc_id {kind}, ids binary")
 
 
-def frequencies(encoded: DataFrame) -> DataFrame:
+def frequencies(encoded: DataFrame, kind: np.dtype) -> DataFrame:
     """id and n over all encoded documents; a row for each id of the vocabulary at most."""
 
     def count(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for ids in batch.column(0):
-                n = np.bincount(np.frombuffer(ids.as_buffer(), "<u4"))
-                if len(n) > len(total):
-                    total, n = n, total
-                total[: len(n)] += n
+            ids, ends = batch.column(0), np.frombuffer(batch.column(0).buffers()[1], np.int32)
+            first, last = ends[ids.offset], ends[ids.offset + len(ids)]
+            n = np.bincount(np.frombuffer(ids.buffers()[2], np.uint8, last - first, first).view(kind)) if last > first else total[:0]
+            if len(n) > len(total):
+                total, n = n, total
+            total[: len(n)] += n
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["id", "n"])
 
@@ -153,7 +182,8 @@ def write(docs: DataFrame, tokenizer_json: str, path: str, end: int = END) -> No
     of (doc_id, ids' hash, a number of each row), so that repeated ids and rows spread over partitions.
     """
     encoded = stored(encode(docs, tokenizer_json, end).withColumn("h", F.xxhash64("ids")), "encoded")
-    ranked = frequencies(encoded).orderBy(F.desc("n"), "id")
+    wide = encoder_of(tokenizer_json).wide
+    ranked = frequencies(encoded, wide).orderBy(F.desc("n"), "id")
     # one row for each id of the vocabulary at most
     order = ranked.toPandas()["id"].to_numpy(np.int64)
     spark = docs.sparkSession
@@ -180,9 +210,9 @@ def write(docs: DataFrame, tokenizer_json: str, path: str, end: int = END) -> No
             return pa.RecordBatch.from_arrays([pa.array([x], k.type) for x, k in zip((part, place, before, docs_, [len(p) for p in parts], control, data), kinds)], schema=kinds)
 
         for batch in batches:
-            for part, doc_id, ids in zip(*(c.to_pylist() for c in batch.columns)):
+            for part, doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 docs_.append(doc_id)
-                parts.append(np.frombuffer(ids, "<u4"))
+                parts.append(np.frombuffer(ids.as_buffer(), wide))
                 held += len(parts[-1])
                 if held >= BLOCK:
                     yield block()
