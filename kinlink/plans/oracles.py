@@ -218,6 +218,12 @@ SELECT j, i1, p, nv_cnt_a, nv_cnt_other, nv_pmax_a, nv_pmax_other, round(va / (w
     q["write_lists"] = f"WITH {_UNIQUE}, l AS (SELECT s1_id, string_agg(CAST(r_id AS VARCHAR), ',' ORDER BY CAST(r_id AS VARCHAR)) AS m FROM u WHERE p >= 0.5 GROUP BY s1_id) SELECT o_orderkey AS s1_id, coalesce(m, '') AS matched_ids FROM orders LEFT JOIN l ON s1_id = o_orderkey"
     q["error_breakdown"] = f"WITH {_UNIQUE} SELECT src3 AS grp, CASE WHEN p >= 0.5 AND y THEN 'hit' WHEN p >= 0.5 THEN 'false' ELSE 'missed' END AS kind, count(*) AS n FROM u WHERE p >= 0.5 OR y GROUP BY ALL"
     q["group_rates"] = f"WITH {_UNIQUE} SELECT src3, count(*) AS n, count(*) FILTER (y) AS positive, round(avg(p), 6) AS mean_p, count(DISTINCT r_id) AS records FROM u GROUP BY src3"
+    q["scores_by_group"] = f"WITH {_UNIQUE}, a AS (SELECT * FROM u WHERE p >= 0.5), c AS ({counts.format(p='a')}) SELECT o_orderpriority AS grp, count(*) AS n, round(avg({_F}), 9) AS macro_f FROM c JOIN orders ON o_orderkey = s1_id GROUP BY ALL"
+    q["group_logodds"] = """WITH t AS (SELECT lang AS "group", quality, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) AS token FROM documents JOIN labels USING (doc_id)),
+a AS (SELECT token, round(ln((count(*) FILTER (quality = 1) + 1) / (count(*) FILTER (quality <> 1) + 1)), 6) AS lo FROM t GROUP BY token),
+g AS (SELECT "group", token, count(*) AS n, round(ln((count(*) FILTER (quality = 1) + 1) / (count(*) FILTER (quality <> 1) + 1)), 6) AS own FROM t GROUP BY ALL)
+SELECT "group", token, CASE WHEN n >= 20 THEN own ELSE lo END AS lo FROM g JOIN a USING (token)"""
+    q["score_correlation"] = f"WITH {_PAIRS} SELECT src3, round(corr(p, qty), 6) AS r FROM pairs GROUP BY src3"
     return q
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from kinlink.functions import similarity as sim
 from kinlink.functions import text
-from kinlink.operators import blocking, decide, features, learn, neighbours, windows
+from kinlink.operators import blocking, decide, diagnose, features, learn, neighbours, windows
 from kinlink.sources import tables
 
 _Query = Callable[[SparkSession, str], DataFrame]
@@ -487,3 +487,33 @@ def error_breakdown(spark, sf_dir):
 def group_rates(spark, sf_dir):
     u = _unique(spark, sf_dir)
     return u.groupBy("src3").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("y").cast("long")).alias("positive"), F.round(F.avg("p"), 6).alias("mean_p"), F.countDistinct("r_id").alias("records"))
+
+
+@query
+def scores_by_group(spark, sf_dir):
+    u = _unique(spark, sf_dir)
+    return diagnose.scores_by_group(_entities(spark, sf_dir), u.where("p >= 0.5"), _truth(spark, sf_dir), "s1_id", "y", "grp")
+
+
+@query
+def shift_context(spark, sf_dir):
+    u = _unique(spark, sf_dir).select("r_id", "s1_id", "p")
+    return _rounded(diagnose.shifted(u, "s1_id", "r_id", {"cos": "p"}, 0.18))
+
+
+@query
+def rules_compared(spark, sf_dir):
+    return diagnose.rules_compared(_entities(spark, sf_dir), _unique(spark, sf_dir), _truth(spark, sf_dir), "s1_id", "r_id", "p", "y", [0.3, 0.5], [1.0, 0.4])
+
+
+@query
+def group_logodds(spark, sf_dir):
+    words = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1)))
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select(F.col("lang").alias("group"), (F.col("quality") == 1).cast("long").alias("y"), words.alias("token"))
+    count = lambda *k: rows.groupBy(*k).agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n")).withColumn("lo", F.round(learn.add_one_ratio(F.col("p"), F.col("n")), 6))
+    return diagnose.overridden(count("token"), count("group", "token"), F.col("p") + F.col("n"), 20)
+
+
+@query
+def score_correlation(spark, sf_dir):
+    return pairs(spark, sf_dir).groupBy("src3").agg(F.round(F.corr("p", "qty"), 6).alias("r"))
