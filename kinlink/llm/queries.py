@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from kinlink.llm import bpe, decontaminate, langid, media, quality, repeats, sharding, simhash, tokens, urls
 from kinlink.llm.common import held_out
+from kinlink.llm.oracles import ORACLES
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,4 +69,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
