@@ -129,3 +129,8 @@ def error_kinds(pairs: DataFrame, truth: DataFrame, entity: str, record: str, gr
 
 def either(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, columns)
+
+
+def aligned(union: DataFrame, scored: DataFrame, entity: str, record: str, score: str, name: str) -> DataFrame:
+    """union with another candidate set's scores as a column, null where that set lacks the pair."""
+    return union.join(scored.select(entity, record, F.col(score).alias(name)), [entity, record], "left")

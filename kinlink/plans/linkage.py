@@ -1,7 +1,7 @@
 """A whole linkage run: normalise, block, prune, featurise, score out of fold, score again collectively, decide, list.
 
-Each step is a function of DataFrames.  run() keeps the tables that later steps read more than once as
-Parquet below `work`, which also ends their lineage.
+Each step is a function of DataFrames.  train() and predict() keep the tables that later steps read more than once as
+Parquet below a folder, which also ends their lineage.
 """
 
 from __future__ import annotations
@@ -9,11 +9,12 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinlink.functions import text
 from kinlink.operators import blocking, decide, features, learn, windows
+from kinlink.sources import tables
 
 SIDE = ["nf", "nc", "na", "nw", "nl", "nflag", "at", "an", "ast", "ac"]
 
@@ -133,37 +134,110 @@ def decided(entities: DataFrame, scored: DataFrame) -> DataFrame:
     return best.withColumn("__rk", F.row_number().over(order)).join(keep.select("s1_id", "n_keep"), "s1_id").where("__rk <= n_keep").select("s1_id", "r_id", "p")
 
 
-def run(raw: DataFrame, truth: DataFrame, work: str, s: Settings | None = None) -> tuple[DataFrame, list[PipelineModel]]:
-    """Out-of-fold matches (s1_id, r_id, p) of labelled sources, and the second pass's models."""
-    s = s or Settings()
-    spark = raw.sparkSession
+@dataclass
+class Trained:
+    """What scoring unlabelled sources needs."""
+
+    settings: Settings
+    tokens: dict[str, str]
+    components: dict[str, str]
+    ranker: PipelineModel
+    log_odds: DataFrame
+    first: list[PipelineModel]
+    second: list[PipelineModel]
+
+
+class _Work:
+    """Tables of a run, kept below one folder."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{self.path}/{name}")
+        return self.spark.read.parquet(f"{self.path}/{name}")
+
+
+def _blocked(raw: DataFrame, s: Settings, work: _Work, tokens: dict[str, str], components: dict[str, str]) -> tuple[DataFrame, DataFrame, dict[str, DataFrame], DataFrame, DataFrame]:
+    """Both representations, the vectors, all raw candidates and their pre-ranker features."""
+    block = work.keep(normalise(raw, False, False, tokens, components), "norm_block")
+    norm = work.keep(normalise(raw, True, True, tokens, components), "norm")
+    vec = {k: work.keep(v, f"vec_{k}") for k, v in vectors(block, s).items()}
+    pairs = work.keep(candidates(block, vec, s), "cand_raw")
+    s0 = work.keep(normalise(raw, True, False, tokens, components), "norm_s0")
+    return block, norm, vec, pairs, s0
+
+
+def _pruned(scored: DataFrame, pairs: DataFrame, block: DataFrame, vec: dict[str, DataFrame], s: Settings, work: _Work) -> DataFrame:
+    """The best candidates of each record by p0, and the key channel's new ones."""
+    cand = work.keep(windows.pruned(scored.select(*pairs.columns, "p0"), "j", "p0", "i1", s.top, s.floor), "cand")
+    return work.keep(cand.unionByName(key_candidates(block, vec, cand, s).select(*cand.columns)), "cand_key")
+
+
+def _columns(df: DataFrame) -> list[str]:
+    return [c for c, t in df.dtypes if c not in ("grp", "j", "i1", "y", "label", "fold", "half") and t not in ("string", "array<string>")]
+
+
+def _collective(first: DataFrame) -> DataFrame:
+    """first (with p and src3) with the second pass's columns."""
+    made = windows.collective(first.select(F.col("j").alias("r_id"), F.col("i1").alias("s1_id"), "p", "src3")).drop("p", "src3")
+    return first.drop("p").join(made.select(F.col("r_id").alias("j"), F.col("s1_id").alias("i1"), *[c for c in made.columns if c.startswith("p1")]), ["j", "i1"])
 
-    def kept(df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{work}/{name}")
-        return spark.read.parquet(f"{work}/{name}")
 
-    blocked = kept(normalise(raw, False, False), "norm_block")
-    norm = kept(normalise(raw), "norm")
-    vec = {k: kept(v, f"vec_{k}") for k, v in vectors(blocked, s).items()}
-    pairs = kept(candidates(blocked, vec, s), "cand_raw")
-    s0, names = stage0_features(labelled(pairs, truth), kept(normalise(raw, True, False), "norm_s0"))
-    ready = kept(s0.withColumn("fold", learn.fold_of("i1", 2, seed=1)), "stage0")
+def train(raw: DataFrame, truth: DataFrame, path: str, s: Settings | None = None, tokens: dict[str, str] | None = None, components: dict[str, str] | None = None) -> tuple[DataFrame, Trained]:
+    """Out-of-fold matches (s1_id, r_id, p) of labelled sources, and what predict() needs."""
+    s, tokens, components = s or Settings(), tokens or {}, components or {}
+    work = _Work(raw.sparkSession, path)
+    block, norm, vec, pairs, norm0 = _blocked(raw, s, work, tokens, components)
+    ready, names = stage0_features(labelled(pairs, truth), norm0)
+    ready = work.keep(ready.withColumn("fold", learn.fold_of("i1", 2, seed=1)), "stage0")
     scored, _ = learn.out_of_fold(ready, learn.linear(names, "label"), "fold", 2, "p0")
-    pruned = windows.pruned(scored.select(*pairs.columns, "p0"), "j", "p0", "i1", s.top, s.floor)
-    cand = kept(pruned, "cand")
-    cand = kept(cand.unionByName(key_candidates(blocked, vec, cand, s).select(*cand.columns)), "cand_key")
-    base = kept(labelled(pair_features(cand, norm, raw), truth).withColumn("half", learn.fold_of("i1", 2, seed=2)), "features0")
-    # token log-odds are learned on the other half of the entities
-    parts = []
-    for half in (0, 1):
-        table = learn.token_log_odds(base.where(F.col("half") != half), {"extra": "extra", "missing": "missing"}, "y")
-        parts.append(features.log_odds_features(base.where(F.col("half") == half), table, ["j", "i1"]))
-    full = kept(parts[0].unionByName(parts[1]).drop("extra", "missing").withColumn("fold", learn.fold_of("i1", s.folds)), "features")
-    columns = [c for c, t in full.dtypes if c not in ("grp", "j", "i1", "y", "label", "fold", "half") and t != "string"]
-    first, _ = learn.out_of_fold(full, learn.booster(columns, "label", s.rounds, s.depth), "fold", s.folds)
-    first = kept(first, "pass1")
-    second = windows.collective(first.select(F.col("j").alias("r_id"), F.col("i1").alias("s1_id"), "p", "src3")).drop("p", "src3")
-    both = kept(first.drop("p").join(second.select(F.col("r_id").alias("j"), F.col("s1_id").alias("i1"), *[c for c in second.columns if c.startswith("p1")]), ["j", "i1"]), "features2")
-    more = columns + [c for c in both.columns if c.startswith("p1")]
-    last, models = learn.out_of_fold(both, learn.booster(more, "label", s.rounds, s.depth), "fold", s.folds)
-    return decided(norm.where("src = 1"), kept(last.select("j", "i1", "p", "y"), "pass2")), models
+    ranker = learn.linear(names, "label").fit(ready)
+    cand = _pruned(scored, pairs, block, vec, s, work)
+    base = work.keep(labelled(pair_features(cand, norm, raw), truth).withColumn("half", learn.fold_of("i1", 2, seed=2)), "features0")
+    # token log-odds of a training pair are learned on the other half of the entities, those of new pairs on all
+    kinds = {"extra": "extra", "missing": "missing"}
+    parts = [features.log_odds_features(base.where(F.col("half") == h), learn.token_log_odds(base.where(F.col("half") != h), kinds, "y"), ["j", "i1"]) for h in (0, 1)]
+    table = work.keep(learn.token_log_odds(base, kinds, "y"), "log_odds")
+    full = work.keep(parts[0].unionByName(parts[1]).drop("extra", "missing").withColumn("fold", learn.fold_of("i1", s.folds)), "features")
+    columns = _columns(full)
+    one, first = learn.out_of_fold(full, learn.booster(columns, "label", s.rounds, s.depth), "fold", s.folds)
+    both = work.keep(_collective(work.keep(one, "pass1")), "features2")
+    two, second = learn.out_of_fold(both, learn.booster(_columns(both), "label", s.rounds, s.depth), "fold", s.folds)
+    matches = decided(norm.where("src = 1"), work.keep(two.select("j", "i1", "p", "y"), "pass2"))
+    return matches, Trained(s, tokens, components, ranker, table, first, second)
+
+
+def predict(raw: DataFrame, trained: Trained, path: str) -> tuple[DataFrame, DataFrame]:
+    """Matches (s1_id, r_id, p) of unlabelled sources, and the candidates (j, i1) that were scored."""
+    work = _Work(raw.sparkSession, path)
+    s = trained.settings
+    block, norm, vec, pairs, norm0 = _blocked(raw, s, work, trained.tokens, trained.components)
+    ready, _ = stage0_features(pairs, norm0)
+    cand = _pruned(learn.scored(trained.ranker, ready, "p0"), pairs, block, vec, s, work)
+    base = pair_features(cand, norm, raw)
+    full = work.keep(features.log_odds_features(base, trained.log_odds, ["j", "i1"]).drop("extra", "missing"), "features")
+    one = work.keep(learn.fold_average(trained.first, full), "pass1")
+    both = work.keep(_collective(one), "features2")
+    two = work.keep(learn.fold_average(trained.second, both).select("j", "i1", "p"), "pass2")
+    return decided(norm.where("src = 1"), two), cand.select("j", "i1")
+
+
+def run(dataset: str, path: str, out: str, spark: SparkSession, s: Settings | None = None) -> None:
+    """From a folder of train and test TSV files to out/matching_results and out/candidate_pairs."""
+    raw = tables.read_sources(spark, dataset, "train")
+    truth = tables.read_truth(spark, f"{dataset}/train_ground_truth.tsv")
+    words = lambda c: F.regexp_extract_all(c, F.lit(r"([\p{L}\p{M}\p{N}]+)"), 1)
+    true = truth.join(raw.select(F.col("entity_id").alias("s1_id"), F.lower("business_name").alias("n1"), F.lower("business_address").alias("a1")), "s1_id").join(raw.select(F.col("entity_id").alias("r_id"), F.col("business_name").alias("n2"), F.col("business_address").alias("a2")), "r_id")
+    commas = lambda c: F.transform(F.split(c, ","), lambda x: F.trim(x))
+    # dictionaries are as large as the vocabulary of Indic words; they travel with the functions that read them
+    name = learn.name_dictionary(true, words(F.col("n2")), words(F.col("n1"))).toLocalIterator()
+    part = learn.component_dictionary(true, commas(F.col("a2")), commas(F.col("a1"))).toLocalIterator()
+    _, trained = train(raw, truth, f"{path}/train", s, {r.token: r.aligned for r in name}, {r.token: r.aligned for r in part})
+    test = tables.read_sources(spark, dataset, "test")
+    matches, cand = predict(test, trained, f"{path}/test")
+    entities = test.where("src = 1").select(F.col("entity_id").alias("source1_entity_id"))
+    found = matches.select(F.col("s1_id").alias("source1_entity_id"), "r_id")
+    tables.write_tsv(tables.listed(entities, found, "source1_entity_id", "r_id", "matched_entity_ids"), f"{out}/matching_results", "source1_entity_id")
+    shown = cand.select(F.col("i1").alias("source1_entity_id"), F.col("j").alias("r_id"))
+    tables.write_tsv(tables.listed(entities, shown, "source1_entity_id", "r_id", "candidate_entity_ids"), f"{out}/candidate_pairs", "source1_entity_id")

@@ -3,12 +3,12 @@ import random
 from pyspark.sql import functions as F
 
 from kinlink.functions import text
-from kinlink.operators import decide
 from kinlink.plans import linkage
+from kinlink.sources import tables
 
 
-def world(n=120):
-    rng = random.Random(4)
+def world(seed, n=90):
+    rng = random.Random(seed)
     word = lambda: "".join(rng.choice(("ka", "lo", "mi", "ter", "san", "vu", "pol", "re")) for _ in range(rng.randrange(2, 4)))
     rows, truth = [], []
     for i in range(n):
@@ -24,18 +24,26 @@ def world(n=120):
 
 
 def test_whole_run_finds_most_links(spark, tmp_path):
-    rows, truth = world()
-    raw = spark.createDataFrame(rows, "entity_id string, business_name string, business_address string, country string, src int")
-    true = spark.createDataFrame(truth, "s1_id string, r_id string")
-    small = linkage.Settings(channels={"comb": 6, "name": 4, "addr": 4, "rev": 3}, name_cap=60, addr_cap=60, top=5, folds=2, rounds=4, depth=3)
-    found, models = linkage.run(raw, true, str(tmp_path), small)
-    got = {(r.s1_id, r.r_id) for r in found.collect()}
-    assert len(models) == 2 and len({r for _, r in got}) == len(got)
-    hit = len(got & set(truth))
-    assert hit > 0.85 * len(truth) and hit > 0.9 * len(got)
-    entities = raw.where("src = 1").select(F.col("entity_id").alias("s1_id"))
-    counts = decide.entity_counts(entities, found.join(true.withColumn("y", F.lit(True)), ["s1_id", "r_id"], "left").na.fill(False, ["y"]), true, "s1_id", "y")
-    assert counts.count() == 120 and decide.macro_f(counts).head()[0] > 0.8
+    wanted = {}
+    for split, seed in (("train", 4), ("test", 5)):
+        rows, truth = world(seed)
+        wanted[split] = set(truth)
+        for k in (1, 2, 3):
+            lines = ["\t".join(r[:4]) for r in rows if r[4] == k]
+            (tmp_path / f"{split}_source{k}.tsv").write_text("\n".join(["entity_id\tbusiness_name\tbusiness_address\tcountry", *lines]) + "\n")
+    lists = {}
+    for s1, r in wanted["train"]:
+        lists.setdefault(s1, []).append(r)
+    (tmp_path / "train_ground_truth.tsv").write_text("source1_entity_id\tmatched_entity_ids\n" + "".join(f"S1-{i}\t{','.join(lists.get(f'S1-{i}', []))}\n" for i in range(90)))
+    small = linkage.Settings(channels={"comb": 6, "name": 4, "addr": 4, "rev": 3}, name_cap=60, addr_cap=60, top=5, folds=2, rounds=3, depth=3)
+    linkage.run(str(tmp_path), f"{tmp_path}/work", f"{tmp_path}/out", spark, small)
+    found = spark.read.option("sep", "\t").option("header", True).csv(f"{tmp_path}/out/matching_results").na.fill("")
+    assert found.count() == 90 and found.columns == ["source1_entity_id", "matched_entity_ids"]
+    got = {(r.s1_id, r.r_id) for r in tables.truth_pairs(found, "source1_entity_id", "matched_entity_ids").collect()}
+    assert len({r for _, r in got}) == len(got)
+    hit = len(got & wanted["test"])
+    assert hit > 0.85 * len(wanted["test"]) and hit > 0.9 * len(got)
+    assert spark.read.option("sep", "\t").option("header", True).csv(f"{tmp_path}/out/candidate_pairs").count() == 90
 
 
 def test_indic_words(spark):
