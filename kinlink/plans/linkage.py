@@ -101,11 +101,12 @@ def stage0_features(pairs: DataFrame, norm: DataFrame) -> tuple[DataFrame, list[
 
 
 def pair_features(pairs: DataFrame, norm: DataFrame, raw: DataFrame) -> DataFrame:
-    """pairs (j, i1, p0, cosines, ranks) with context, string, number, format, raw pair and raw token features."""
+    """pairs (j, i1, p0, cosines, ranks) with context, frequency, overlap, string, number, format, raw pair and raw token features."""
     out = windows.pair_context(pairs, "j", "i1", {f"cos_{k}": f"cos_{k}" for k in ("comb", "name", "addr")})
     rows = norm.join(raw.select("entity_id", F.col("business_name").alias("rn"), F.col("business_address").alias("ra")), "entity_id")
     side = lambda k, key: rows.select(F.col("entity_id").alias(key), *[F.col(c).alias(f"{c}{k}") for c in [*SIDE, "rn", "ra"]])
     out = out.join(side(1, "i1"), "i1").join(side(2, "j"), "j")
+    out = out.join(frequencies(pairs, norm), ["j", "i1"]).join(overlaps(pairs, norm), ["j", "i1"])
     col = lambda c, k: F.col(f"{c}{k}")
     made = features.strings(*[{c: col(c, k) for c in SIDE} for k in (1, 2)])
     made |= features.number_relations(col("an", 1), col("an", 2))
@@ -117,6 +118,27 @@ def pair_features(pairs: DataFrame, norm: DataFrame, raw: DataFrame) -> DataFram
     return out.drop(*[f"{c}{k}" for c in [*SIDE, "rn", "ra"] for k in (1, 2)])
 
 
+def frequencies(pairs: DataFrame, norm: DataFrame) -> DataFrame:
+    """(j, i1) with how often names and addresses occur among entities and all records, and the share of unknown name tokens."""
+    one, two = norm.where("src = 1"), norm.where("src > 1")
+    n = norm.groupBy("country", "nc").agg(F.sum((F.col("src") == 1).cast("long")).alias("n1"), F.count(F.lit(1)).alias("n"))
+    a = one.where("at <> ''").groupBy("country", "at").agg(F.count(F.lit(1)).alias("a1"))
+    known = one.select("country", F.explode(F.array_distinct(features.words(F.col("nc")))).alias("t")).distinct().withColumn("known", F.lit(1))
+    oov = two.select("entity_id", "country", F.explode(features.words(F.col("nc"))).alias("t")).join(known, ["country", "t"], "left").groupBy("entity_id").agg(F.avg(F.col("known").isNull().cast("double")).alias("r_name_oov"))
+    counted = lambda df: df.join(n, ["country", "nc"]).join(a, ["country", "at"], "left").na.fill(0, ["a1"])
+    left = counted(one).select(F.col("entity_id").alias("i1"), F.col("n1").alias("s1_name_freq"), F.col("a1").alias("s1_addr_freq"))
+    right = counted(two).join(oov, "entity_id", "left").select(F.col("entity_id").alias("j"), F.col("n1").alias("r_name_freq_s1"), F.col("n").alias("r_name_freq_all"), F.col("a1").alias("r_addr_freq_s1"), F.coalesce("r_name_oov", F.lit(0.0)).alias("r_name_oov"))
+    return pairs.select("j", "i1").join(left, "i1").join(right, "j")
+
+
+def overlaps(pairs: DataFrame, norm: DataFrame) -> DataFrame:
+    """(j, i1) with the weighted overlaps of name tokens (on_) and address tokens (oa_)."""
+    out = pairs.select("j", "i1")
+    for p, c in (("on", "nc"), ("oa", "at")):
+        out = blocking.overlap(out, blocking.idf_sets(norm.select(F.col("entity_id").alias("id"), c), features.words(F.col(c))), p)
+    return out
+
+
 def labelled(pairs: DataFrame, truth: DataFrame) -> DataFrame:
     """pairs with y (and label, the same as a number); a record without a true entity has only false pairs."""
     real = truth.select(F.col("r_id").alias("j"), F.col("s1_id").alias("__t"))
