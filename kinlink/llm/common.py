@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,15 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bytes of text that a Python worker holds in one step; a longer single text makes a step of its own.
-STEP_BYTES = 4 << 20
+#: Bytes of text in an Arrow batch, and in one step of a Python worker; a longer single text makes a step of its own.
+BATCH_BYTES, STEP_BYTES = 4 << 20, 2 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of about STEP_BYTES, where the session has Spark's own bound of 64 MB: workers then hold that much text."""
+    """Arrow batches of about BATCH_BYTES, where the session has Spark's own bound of 64 MB: workers then hold that much text."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(key) in ("67108864b", "67108864", "64m", "64MB"):
-        spark.conf.set(key, str(STEP_BYTES))
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -65,6 +66,14 @@ def steps(texts: pa.Array, most: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
+def tidied() -> None:
+    """Gives back what the worker's allocators hold but do not use; workers live on after a task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def text_pass(df: DataFrame, keep: list[str], text: str, made: list[tuple[str, str]], begin: Callable[[], Callable[[list], list[list]]], most: int = STEP_BYTES) -> DataFrame:
     """The columns `keep` of df, and one column for each of `made` (name, type), from a function over texts.
 
@@ -90,6 +99,8 @@ def text_pass(df: DataFrame, keep: list[str], text: str, made: list[tuple[str, s
                 kept = [batch.column(i).slice(a, b - a).cast(kinds[i].type) for i in range(len(keep))]
                 new = [v if isinstance(v, pa.Array) else pa.array(v, kinds[len(keep) + i].type) for i, v in enumerate(values)]
                 yield pa.RecordBatch.from_arrays(kept + new, schema=kinds)
+        del apply
+        tidied()
 
     return source.mapInArrow(work, out)
 

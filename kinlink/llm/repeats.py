@@ -36,7 +36,7 @@ LARGE = 3_000
 #: Bytes of a shard's text, beyond which a new one begins (an anchor's segments stay together).
 SHARD_BYTES = 1 << 20
 #: Bytes of text that are hashed at a time.
-PIECE = 1 << 18
+PIECE = 1 << 16
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F))
 

@@ -10,10 +10,14 @@ below the guaranteed minimum are dropped, and the rest are verified by their dif
 A posting list longer than LISTED would give a square of pairs.  Its members are linked in an exact linear way instead:
 each posts itself and its 64 one-bit neighbours, and members that share a post are within two bits of
 each other, and the other way round; each post links its members to their smallest one.
+
+Similarity search (keep_one) posts a wider fingerprint of five-word shingles under keys of three
+positional bytes; see similar().
 """
 
 from __future__ import annotations
 
+import random
 from functools import reduce
 from itertools import combinations, repeat
 
@@ -22,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinlink.llm.common import checkpoint, text_pass
+from kinlink.llm.common import checkpoint, stored, text_pass
 
 SEED = 42
 SHINGLE = 3
@@ -35,34 +39,54 @@ LISTED = 48
 COUNTED = 1 << 14
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The SimHash of a text's word shingles (A-Z lower-cased, repeats included), as an unsigned 64-bit number.
-
-    Fewer words than a shingle: the whole sequence is one.  No word or null: zero.
-    """
+def _shingle_hashes(text: str | None, shingle: int):
+    """Yields the shingles' hashes, some at a time.  Fewer words than a shingle: the whole sequence is one; none without words."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     begins = np.concatenate(([0], ends[:-1] + 1))
     behind = min(shingle, len(words)) - 1
     starts, stops = begins[: len(words) - behind].tolist(), ends[behind:].tolist()
-    n, ones = len(starts), np.zeros(64, np.int64)
-    for a in range(0, n, COUNTED):
+    for a in range(0, len(starts), COUNTED):
         cut = map(joined.__getitem__, map(slice, starts[a : a + COUNTED], stops[a : a + COUNTED]))
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, cut, repeat(SEED)), np.uint64, min(COUNTED, n - a))
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return sum(1 << int(b) for b in np.flatnonzero(2 * ones > n))
+        yield np.fromiter(map(xxhash.xxh64_intdigest, cut, repeat(SEED)), np.uint64, min(COUNTED, len(starts) - a))
+
+
+#: For each byte eight counters of eight bits, one for each of its bits.
+_LANES = np.array([sum((v >> b & 1) << 8 * b for b in range(8)) for v in range(256)], np.uint64)
+
+
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """How many hashes have each of the 64 bits set; up to 255 are summed in eight-bit counters."""
+    lanes = _LANES[hashes.view(np.uint8).reshape(-1, 8)]
+    sums = np.add.reduceat(lanes, np.arange(0, len(lanes), 255), axis=0)
+    return sums.view(np.uint8).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE, parts: int = 1) -> list[int]:
+    """The SimHash of a text's word shingles (A-Z lower-cased, repeats included), as `parts` unsigned 64-bit numbers.
+
+    The first is of the shingles' hashes, the others of those hashes mixed again.  No word or null: zero.
+    """
+    n, ones = 0, np.zeros((parts, 64), np.int64)
+    for h in _shingle_hashes(text, shingle):
+        n += len(h)
+        for k in range(parts):
+            ones[k] += _ones(h)
+            h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+    return [sum(1 << int(b) for b in np.flatnonzero(2 * o > n)) for o in ones]
 
 
-def fingerprints(docs: DataFrame, keep: list[str], shingle: int = SHINGLE) -> DataFrame:
-    """keep and fp, the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, keep: list[str], shingle: int = SHINGLE, parts: int = 1) -> DataFrame:
+    """keep and fp (with more parts fp, fp1, ...), the fingerprint as signed longs."""
 
     def begin():
-        return lambda texts: [[(f := fingerprint(t, shingle)) - (f >> 63 << 64) for t in texts]]
+        return lambda texts: list(zip(*[[f - (f >> 63 << 64) for f in fingerprint(t, shingle, parts)] for t in texts])) or [[]] * parts
 
-    return text_pass(docs, keep, "text", [("fp", "long")], begin)
+    return text_pass(docs, keep, "text", [("fp" if k == 0 else f"fp{k}", "long") for k in range(parts)], begin)
 
 
 def _byte(fp: Column, i: int) -> Column:
@@ -137,15 +161,63 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", shingle: int = SHINGLE
     return rows.join(named, "fp").select(key, "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """docs with one row of each component: that of the smallest doc_id (null ones last), then of the smallest row hash."""
+#: The wide fingerprint of similarity search: parts of 64 bits, shingle words, positional bytes in a posting
+#: list's key, lists of a document, and a list's members that the others are held against.
+PARTS, WORDS, KEY, LISTS, PIVOTS = 2, 5, 3, 80, 4
+#: Differing bits of two documents at a similarity of 0.8, with a margin: 0.8 of shingles in common means
+#: 0.89 as a cosine, an angle of 0.476, and 0.151 of all bits.  The first bound is for the first 64 bits alone.
+FIRST_BITS, WIDE_BITS = 17, 22
+#: Mixed into fingerprints, to choose pivots: whole numbers from the golden ratio.
+_MASKS = [(0x9E3779B97F4A7C15 * i & (1 << 64) - 1) for i in range(PIVOTS)]
+
+
+def _places() -> list[list[int]]:
+    """The positions of each list's key: random orders of all positions, cut into keys."""
+    rng, out = random.Random(1), []
+    while len(out) < LISTS:
+        order = rng.sample(range(8 * PARTS), 8 * PARTS)
+        out += [sorted(order[i : i + KEY]) for i in range(0, len(order) - KEY + 1, KEY)]
+    return out[:LISTS]
+
+
+def similar(fps: DataFrame) -> DataFrame:
+    """a < b: links between documents with most shingles in common, by their first fingerprints.
+
+    fps has fp, distinct, and fp1, the second part of one text of that fp.  Each fp is posted under KEY
+    positional bytes of both parts LISTS times.  All members of a list are held against its PIVOTS
+    members of the smallest masked fingerprints, so that a list costs as much as it has members: of pairs that differ
+    in few of the first bits the positional bytes in common are tallied, those below the KEY matches of every list
+    dropped, and the rest verified by all their differing bits.  Two texts meet where they share a
+    list and one is a pivot of it, or both are linked to one.
+    """
+    dealt = fps.select("fp", "fp1").repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    octet = lambda i: _byte(F.col(("fp", "fp1")[i // 8]), i % 8)
+    key = F.array(*[sum((octet(i) * (1 << 8 * k) for k, i in enumerate(at)), F.lit(n << 8 * KEY)) for n, at in enumerate(_places())])
+    posts = dealt.select("fp", F.explode(key).alias("key"))
+    masked = [F.col("fp").bitwiseXOR(F.lit(m - (m >> 63 << 64)).cast("long")) for m in _MASKS]
+    pivots = [F.min(v).bitwiseXOR(F.lit(m - (m >> 63 << 64)).cast("long")).alias(f"m{i}") for i, (v, m) in enumerate(zip(masked, _MASKS))]
+    lists = posts.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *pivots).where("n > 1")
+    # stored: a join of two plain shuffles can be split where a list is very long
+    met = stored(lists.select("key", F.array_distinct(F.array(*[f"m{i}" for i in range(PIVOTS)])).alias("m")), "lists")
+    pairs = posts.join(met, "key").select("fp", F.explode("m").alias("m")).where("fp <> m").where(F.bit_count(F.col("fp").bitwiseXOR(F.col("m"))) <= FIRST_BITS)
+    near = pairs.select(F.least("fp", "m").alias("a"), F.greatest("fp", "m").alias("b")).distinct()
+    side = lambda k: fps.select(F.col("fp").alias(k), F.col("fp1").alias(f"{k}1"))
+    both = near.join(side("a"), "a").join(side("b"), "b")
+    other = [F.col(x).bitwiseXOR(F.col(y)) for x, y in (("a", "b"), ("a1", "b1"))]
+    tally = sum((F.when(_byte(o, i) == 0, 1).otherwise(0) for o in other for i in range(8)), F.lit(0))
+    return both.where(tally >= KEY).where(sum((F.bit_count(o) for o in other), F.lit(0)) <= WIDE_BITS).select("a", "b")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """docs with one row of each class of similar texts (of one fingerprint, or linked by similar()): that of the smallest
+    doc_id (null ones last), then of the smallest row hash."""
     columns = docs.columns
-    own = docs.withColumn("__row", F.xxhash64(*[F.col(c) for c in columns]))
-    rows = checkpoint(fingerprints(own, ["doc_id", "__row"], shingle))
+    own = docs.withColumn("__row", F.xxhash64(*[F.col(f"`{c}`") for c in columns]))
+    rows = checkpoint(fingerprints(own, ["doc_id", "__row"], WORDS, PARTS))
     order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc_id"), F.col("__row").alias("row"))
-    first = rows.groupBy("fp").agg(F.min(order).alias("first"))
-    rooted = first.join(classes(first), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    first = checkpoint(rows.groupBy("fp").agg(F.min("fp1").alias("fp1"), F.min(order).alias("first")))
+    rooted = first.select("fp", "first").join(components(similar(first.select("fp", "fp1"))).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     kept = checkpoint(rooted.groupBy("root").agg(F.min("first").alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.row").alias("__row")).distinct())
     out = own.join(kept, ["__row"]).where(F.col("doc_id").eqNullSafe(F.col("__id")))
     ties = rows.groupBy("doc_id", "__row").count().where("count > 1").limit(1).count()
-    return (out.dropDuplicates(["__row", "__id"]) if ties else out).select(*columns)
+    return (out.dropDuplicates(["__row", "__id"]) if ties else out).select(*[F.col(f"`{c}`") for c in columns])

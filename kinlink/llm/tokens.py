@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinlink.llm.common import STEP_BYTES, bounded_batches, shared_dir, steps, stored
+from kinlink.llm.common import BATCH_BYTES, bounded_batches, shared_dir, steps, stored
 
 END = 1
 #: Ids after which a block ends; a document is never cut.
@@ -149,7 +149,7 @@ def encode(docs: DataFrame, tokenizer_json: str, end: int = END) -> DataFrame:
     def work(batches):
         encoder = encoder_of(shared.value)
         for batch in batches:
-            for a, b in steps(batch.column(1), 2 * STEP_BYTES):
+            for a, b in steps(batch.column(1), BATCH_BYTES):
                 ends, data = encoder.encoded(batch.column(1).slice(a, b - a), end)
                 ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(ends.tobytes()), data])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), ids.cast(pa.binary())], ["doc_id", "ids"])
@@ -175,7 +175,7 @@ def frequencies(encoded: DataFrame, kind: np.dtype) -> DataFrame:
     return encoded.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def write(docs: DataFrame, tokenizer_json: str, path: str, end: int = END) -> None:
+def write(docs: DataFrame, tokenizer_json: str, path: str, end: int = END, block_ids: int = BLOCK) -> None:
     """Writes path/ranks and path/blocks.
 
     The encoded documents are kept in the shared folder, their ids are counted, and they are dealt by ranges
@@ -214,7 +214,7 @@ def write(docs: DataFrame, tokenizer_json: str, path: str, end: int = END) -> No
                 docs_.append(doc_id)
                 parts.append(np.frombuffer(ids.as_buffer(), wide))
                 held += len(parts[-1])
-                if held >= BLOCK:
+                if held >= block_ids:
                     yield block()
                     place, before, held, docs_, parts = place + 1, before + held, 0, [], []
         if parts:
