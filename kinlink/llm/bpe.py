@@ -13,13 +13,14 @@ import hashlib
 import os
 from itertools import chain
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
 from kinlink.llm.common import text_pass
 
 #: Distinct pieces that a worker remembers; beyond that it forgets and begins again.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 def byte_characters() -> list[str]:
@@ -67,7 +68,9 @@ class ByteBPE:
         for t, r in ranks.items():
             self.bytes[r] = t
         self.names = [str(i) for i in range(len(self.bytes))]
-        self.known: dict[str, list[int]] = {}
+        #: Ids as bytes: small, and joined without a list for each piece.
+        self.wide = np.dtype("<u2" if len(self.bytes) <= 1 << 16 else "<u4")
+        self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         pieces = [self.find(t) for t in texts]
@@ -78,8 +81,8 @@ class ByteBPE:
                 new = list(set(chain.from_iterable(pieces)))
             for a in range(0, len(new), 20_000):
                 part = new[a : a + 20_000]
-                known.update(zip(part, (e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False))))
-        return [list(chain.from_iterable(map(known.__getitem__, p))) for p in pieces]
+                known.update(zip(part, [np.array(e.ids, self.wide).tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]))
+        return [np.frombuffer(b"".join(map(known.__getitem__, p)), self.wide).tolist() for p in pieces]
 
     def decode(self, ids: list[int]) -> bytes:
         table = self.bytes
@@ -103,6 +106,16 @@ class ByteBPE:
         return self.decode(ids).decode("utf-8", "replace")
 
 
+_CODER: list = [None, None]
+
+
+def coder_of(described: str, ranks: dict[bytes, int], pattern: str) -> ByteBPE:
+    """This process's coder: a worker's next task finds the pieces that earlier ones encoded."""
+    if _CODER[0] != (described, pattern):
+        _CODER[:] = [(described, pattern), ByteBPE(described, ranks, pattern)]
+    return _CODER[1]
+
+
 def _spread(spark, path: str):
     ranks = read_ranks(path)
     return spark.sparkContext.broadcast((tokenizer_json(ranks), ranks))
@@ -113,7 +126,7 @@ def encode(docs: DataFrame, keep: list[str], path: str, pattern: str, with_offse
     shared = _spread(docs.sparkSession, path)
 
     def begin():
-        bpe = ByteBPE(*shared.value, pattern)
+        bpe = coder_of(*shared.value, pattern)
 
         def apply(texts):
             ids = bpe.encode([t or "" for t in texts])
@@ -132,7 +145,7 @@ def digests(docs: DataFrame, keep: list[str], path: str, pattern: str) -> DataFr
     shared = _spread(docs.sparkSession, path)
 
     def begin():
-        bpe = ByteBPE(*shared.value, pattern)
+        bpe = coder_of(*shared.value, pattern)
 
         def apply(texts):
             n, a, b = [], [], []
