@@ -25,6 +25,8 @@ SMOOTHING = 0.05
 SWITCH = 9.0
 #: Share of a language's training letters that makes a script one of its own.
 OWN_SCRIPT = 0.01
+#: Share of a text's letters that makes a language one of its main ones; the text is named after the first of these.
+MAIN = 0.25
 UNKNOWN = "und"
 #: Words of a text that are labelled side by side.
 BLOCK = 256
@@ -163,7 +165,8 @@ class Model:
         return out[np.arange(steps) < size[:, None]]
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        """Language and score of each text: the language with most letters on the best path, and its share of them."""
+        """Language and score of each text: of the languages with MAIN of the letters on the best path the one that comes
+        first (without any, that with most letters), and its share of the letters."""
         words, codes, ends = split(texts)
         if not self.languages:
             return [UNKNOWN] * len(texts), [0.0] * len(texts)
@@ -172,7 +175,11 @@ class Model:
         text = np.repeat(np.arange(len(texts)), np.diff(ends))
         weights = np.bincount(text * len(self.languages) + path, sizes, len(texts) * len(self.languages)).reshape(len(texts), -1)
         total, best = weights.sum(axis=1), weights.argmax(axis=1)
-        share = weights.max(axis=1) / np.maximum(total, 1)
+        main = weights >= MAIN * np.maximum(total, 1)[:, None]
+        open_ = np.flatnonzero(main[text, path])
+        held, first = np.unique(text[open_], return_index=True)
+        best[held] = path[open_[first]]
+        share = weights[np.arange(len(texts)), best] / np.maximum(total, 1)
         return [self.languages[b] if t else UNKNOWN for b, t in zip(best, total)], [float(s) if t else 0.0 for s, t in zip(share, total)]
 
     def spans(self, text: str | None) -> list[tuple[str, int, int]]:
