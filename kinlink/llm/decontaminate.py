@@ -8,8 +8,6 @@ numbers by a running count of spaces, and to offsets of the original text by the
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +15,7 @@ from pyspark.sql import functions as F
 from kinlink.llm.common import text_pass
 
 WINDOW = 10
-#: Bytes of normalised items in one automaton.  More items than that are scanned in further blocks.
+#: Bytes of items in one automaton, which every worker holds.  More items than that are scanned for in further passes.
 BLOCK_BYTES = 16 << 20
 
 TO = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -54,38 +52,25 @@ def automaton(items: list[tuple[int, str]], window: int = WINDOW):
 
 
 class Scanner:
-    """Scans texts against all items; items beyond one block's bytes are scanned block by block."""
-
-    def __init__(self, items: list[tuple[int, str]], window: int = WINDOW, block_bytes: int = BLOCK_BYTES):
-        self.blocks, held, block = [], 0, []
-        for item in items:
-            if block and held + len(item[1] or "") > block_bytes:
-                self.blocks.append(block)
-                held, block = 0, []
-            block.append(item)
-            held += len(item[1] or "")
-        self.blocks.append(block)
-        self.window = window
-        self.only = automaton(self.blocks[0], window) if len(self.blocks) == 1 else None
+    """Scans texts against items."""
+
+    def __init__(self, items: list[tuple[int, str]], window: int = WINDOW):
+        self.auto = automaton(items, window)
 
     def scan(self, texts: list[str | None]) -> list[tuple[list[bytes], list[tuple[int, int]], set[int]]]:
         """For each text its words, the maximal runs of hit words (first, behind the last), and the items that occur."""
-        split = [words(t) for t in texts]
-        strings = [scanned(ws) for ws in split]
-        runs: list[list[tuple[int, int]]] = [[] for _ in texts]
-        items: list[set[int]] = [set() for _ in texts]
-        for k in range(len(self.blocks)):
-            auto = self.only if len(self.blocks) == 1 else automaton(self.blocks[k], self.window)
-            if auto is None:
-                continue
-            for i, s in enumerate(strings):
-                if hits := list(auto.iter(s)):
-                    spaces = np.cumsum(np.frombuffer(s.encode("latin-1"), np.uint8) == 32)
-                    for end, (length, size, ids) in hits:
-                        first = int(spaces[end - length + 1]) - 1
-                        runs[i].append((first, first + size))
-                        items[i] |= ids
-        return [(ws, merged(r), x) for ws, r, x in zip(split, runs, items)]
+        out = []
+        for text in texts:
+            ws, runs, items = words(text), [], set()
+            s = scanned(ws)
+            if self.auto is not None and (hits := list(self.auto.iter(s))):
+                spaces = np.cumsum(np.frombuffer(s.encode("latin-1"), np.uint8) == 32)
+                for end, (length, size, ids) in hits:
+                    first = int(spaces[end - length + 1]) - 1
+                    runs.append((first, first + size))
+                    items |= ids
+            out.append((ws, merged(runs), items))
+        return out
 
 
 def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -110,34 +95,61 @@ def offsets(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(int(chars[begins[a]]), int(chars[ends[b - 1]])) for a, b in runs]
 
 
-def _items(benchmark: DataFrame) -> list[tuple[int, str]]:
-    """The benchmark's items, one row for each distinct pair.  The stated query set, which every worker holds."""
-    rows = benchmark.select(F.col("item_id").alias("i"), F.col("text").cast("string").alias("t")).where("t is not null and i is not null").distinct().toLocalIterator()
-    return sorted((r.i, r.t) for r in rows)
+def _blocks(benchmark: DataFrame, block_bytes: int):
+    """The benchmark's distinct items in blocks of at most block_bytes, or of one item; an empty one without items."""
+    rows = benchmark.select(F.col("item_id").alias("i"), F.col("text").cast("string").alias("t")).where("t is not null and i is not null").distinct().orderBy("i", "t")
+    block, held, some = [], 0, False
+    for r in rows.toLocalIterator():
+        size = len(r.t.encode())
+        if block and held + size > block_bytes:
+            yield block
+            block, held = [], 0
+        block.append((r.i, r.t))
+        held, some = held + size, True
+    if block or not some:
+        yield block
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int = WINDOW) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """keep, and n_words, n_hit, n_items, items_sha256, contaminated, spans (character offsets of hit runs).
 
-    Null or empty text: no words, not contaminated.  Items with no word never occur; equal items all
-    count; an empty benchmark leaves every document clean.
+    Items of up to block_bytes are one automaton, broadcast and scanned for in one pass; larger benchmarks
+    take a pass for each block, whose findings are put together by row.  Null or empty text: no words, not
+    contaminated.  Items with no word never occur; equal items all count; an empty benchmark leaves every
+    document clean.
     """
-    spark = docs.sparkSession
-    items = spark.sparkContext.broadcast(_items(benchmark))
+    rest = docs.select(*[F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(keep)], F.col("text"))
+    found, blocks = [], _blocks(benchmark, block_bytes)
+    block = next(blocks)
+    while block is not None:
+        following = next(blocks, None)
+        found.append(f"__p{len(found)}")
+        kept = [c for c in rest.columns if c != "text" or following is not None]
+        rest = _scanned(rest, kept, docs.sparkSession.sparkContext.broadcast(block), found[-1], window)
+        block = following
+    every = lambda field: F.flatten(F.array(*[F.col(f"{p}.{field}") for p in found]))
+    hits = F.size(F.array_distinct(F.flatten(F.transform(every("runs"), lambda r: F.sequence(r["a"], r["b"] - 1)))))
+    items = F.array_sort(F.transform(F.array_distinct(every("items")), lambda x: x.cast("string")))
+    made = {
+        "n_words": F.col("__p0.n"), "n_hit": hits.cast("long"), "n_items": F.size(items).cast("long"), "items_sha256": F.sha2(F.array_join(items, ",").cast("binary"), 256),
+        "contaminated": F.size(every("runs")) > 0, "spans": F.array_sort(F.array_distinct(every("spans"))),
+    }
+    return rest.select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)], *[v.alias(k) for k, v in made.items()])
+
+
+def _scanned(rest: DataFrame, kept: list[str], items, name: str, window: int) -> DataFrame:
+    """kept, with one block's findings as the column `name`."""
 
     def begin():
         scanner = Scanner(items.value, window)
 
         def apply(texts):
-            out = [[], [], [], [], [], []]
+            out = []
             for text, (ws, runs, ids) in zip(texts, scanner.scan(texts)):
-                n_hit = sum(b - a for a, b in runs)
-                names = ",".join(sorted(map(str, ids)))
-                for column, value in zip(out, (len(ws), n_hit, len(ids), hashlib.sha256(names.encode()).hexdigest(), n_hit > 0, [{"start": a, "end": b} for a, b in offsets(text or "", runs)])):
-                    column.append(value)
-            return out
+                out.append({"n": len(ws), "runs": [{"a": a, "b": b} for a, b in runs], "items": sorted(ids), "spans": [{"start": a, "end": b} for a, b in offsets(text or "", runs)]})
+            return [out]
 
         return apply
 
-    made = [("n_words", "long"), ("n_hit", "long"), ("n_items", "long"), ("items_sha256", "string"), ("contaminated", "boolean"), ("spans", "array<struct<start:int,end:int>>")]
-    return text_pass(docs, keep, "text", made, begin)
+    kind = "struct<n:long,runs:array<struct<a:int,b:int>>,items:array<long>,spans:array<struct<start:int,end:int>>>"
+    return text_pass(rest, kept, "text", [(name, kind)], begin)

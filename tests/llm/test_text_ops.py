@@ -69,11 +69,16 @@ def test_decontaminate_equals_brute_force(spark):
     assert decontaminate.contaminated(docs(spark, []), bench, ["doc_id"]).count() == 0
 
 
-def test_decontaminate_blocks():
-    items = [(i, " ".join(f"a{i}b{k}" for k in range(12))) for i in range(20)]
-    texts = [items[3][1] + " " + items[17][1]]
-    one, many = decontaminate.Scanner(items).scan(texts), decontaminate.Scanner(items, block_bytes=100).scan(texts)
-    assert one == many and one[0][2] == {3, 17}
+def test_decontaminate_blocks(spark):
+    items = [(i, " ".join(f"a{i}b{k}" for k in range(12))) for i in range(20)] + [(20, items_of := " ".join(f"a3b{k}" for k in range(5, 12)))]
+    texts = [items[3][1] + " " + items[17][1], None, "clean", items_of.upper()]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df = docs(spark, texts).withColumn("__p9", F.lit(1))
+    one = decontaminate.contaminated(df, bench, ["doc_id", "__p9"]).orderBy("doc_id").collect()
+    many = decontaminate.contaminated(df, bench, ["doc_id", "__p9"], block_bytes=300).orderBy("doc_id").collect()
+    for x, y in zip(one, many):
+        assert [v for k, v in x.asDict().items() if k != "spans"] == [v for k, v in y.asDict().items() if k != "spans"]
+    assert one[0].n_items == 3 and one[0].n_hit == 24 and one[3].n_items == 1 and not one[2].contaminated
 
 
 def test_shard_documents(spark):
