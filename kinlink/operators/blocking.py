@@ -28,9 +28,9 @@ def word_grams(text: Column) -> Column:
 
 
 def normalised(postings: DataFrame) -> DataFrame:
-    """Weights divided by their document's Euclidean norm."""
-    norms = postings.groupBy("grp", "id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")).where("norm > 0")
-    return postings.join(norms, ["grp", "id"]).select("grp", "id", "f", (F.col("w") / F.col("norm")).alias("w"))
+    """Weights divided by their document's Euclidean norm; one shuffle by document, whose features are its window."""
+    square = F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("grp", "id"))
+    return postings.withColumn("__s", square).where("__s > 0").select("grp", "id", "f", (F.col("w") / F.sqrt("__s")).alias("w"))
 
 
 def postings(records: DataFrame, features: Column, min_df: int = 1) -> DataFrame:
