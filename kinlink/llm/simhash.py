@@ -164,6 +164,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", shingle: int = SHINGLE
 #: The wide fingerprint of similarity search: parts of 64 bits, shingle words, positional bytes in a posting
 #: list's key, lists of a document, and a list's members that the others are held against.
 PARTS, WORDS, KEY, LISTS, PIVOTS = 2, 5, 3, 80, 4
+#: The least Jaccard similarity of two documents' shingle sets, as a fraction.
+ALIKE = (4, 5)
 #: Differing bits of two documents at a similarity of 0.8, with a margin: 0.8 of shingles in common means
 #: 0.89 as a cosine, an angle of 0.476, and 0.151 of all bits.  The first bound is for the first 64 bits alone.
 FIRST_BITS, WIDE_BITS = 17, 22
@@ -208,15 +210,71 @@ def similar(fps: DataFrame) -> DataFrame:
     return both.where(tally >= KEY).where(sum((F.bit_count(o) for o in other), F.lit(0)) <= WIDE_BITS).select("a", "b")
 
 
+def _hash_set(text: str | None, shingle: int) -> np.ndarray:
+    """The sorted distinct hashes of a text's word shingles."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *_shingle_hashes(text, shingle)]))
+
+
+def shingle_sets(docs: DataFrame, keep: list[str], shingle: int = WORDS) -> DataFrame:
+    """keep and shingles, the distinct shingles' 64-bit hashes as signed longs in order of their unsigned values."""
+    return text_pass(docs, keep, "text", [("shingles", "array<long>")], lambda: lambda texts: [[_hash_set(t, shingle).view(np.int64) for t in texts]])
+
+
+def nodes(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """keep, node (the hash of a text's shingle set, equal for equal sets) and fp, fp1, the wide fingerprint of that set:
+    a shingle counts once, however often it is repeated."""
+
+    def told(text):
+        h = _hash_set(text, WORDS)
+        out = [xxhash.xxh64_intdigest(h.tobytes(), SEED)]
+        for _ in range(PARTS):
+            ones = _ones(h) if len(h) else np.zeros(64, np.int64)
+            out.append(sum(1 << int(b) for b in np.flatnonzero(2 * ones > len(h))))
+            h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        return [v - (v >> 63 << 64) for v in out]
+
+    return text_pass(docs, keep, "text", [(c, "long") for c in ("node", "fp", "fp1")], lambda: lambda texts: list(zip(*map(told, texts))) or [[]] * 3)
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have a Jaccard similarity of ALIKE at least; sets has node and shingles."""
+    side = lambda k: sets.select(F.col("node").alias(k), F.col("shingles").alias(f"{k}s"), F.size("shingles").alias(f"{k}n"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    common, total = F.size(F.array_intersect("as", "bs")), F.col("an") + F.col("bn")
+    up, down = ALIKE
+    # |A and B| / (|A| + |B| - |A and B|) >= up / down, in whole numbers; sizes alone decide most of the unlike
+    fits = F.least("an", "bn") * down >= F.greatest("an", "bn") * up
+    return both.where(F.when(fits, common * (up + down) >= total * up).otherwise(False)).select("a", "b")
+
+
+def _held_sets(own: DataFrame, first: DataFrame, pairs: DataFrame) -> DataFrame:
+    """node and shingles of the nodes in pairs, read again from the text of each node's first row."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    at = first.join(wanted, "node").select("node", F.col("first.doc_id").alias("__id"), F.col("first.row").alias("__row"))
+    texts = own.select("doc_id", "__row", "text").join(at, "__row").where(F.col("doc_id").eqNullSafe(F.col("__id"))).select("node", "text")
+    return stored(shingle_sets(texts, ["node"]).groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one row of each class of similar texts (of one fingerprint, or linked by similar()): that of the smallest
-    doc_id (null ones last), then of the smallest row hash."""
+    """docs with one row of each class of similar texts (of one set of five-word shingles, or linked by pairs with a Jaccard
+    similarity of 0.8 at least): that of the smallest doc_id (null ones last), then of the smallest row hash.
+
+    Fingerprints only propose pairs; each is held against its shingle sets before it links anything.
+    """
     columns = docs.columns
     own = docs.withColumn("__row", F.xxhash64(*[F.col(f"`{c}`") for c in columns]))
-    rows = checkpoint(fingerprints(own, ["doc_id", "__row"], WORDS, PARTS))
+    rows = checkpoint(nodes(own, ["doc_id", "__row"]))
     order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc_id"), F.col("__row").alias("row"))
-    first = checkpoint(rows.groupBy("fp").agg(F.min("fp1").alias("fp1"), F.min(order).alias("first")))
-    rooted = first.select("fp", "first").join(components(similar(first.select("fp", "fp1"))).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    first = checkpoint(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("fp1").alias("fp1"), F.min(order).alias("first")))
+    # sets of one fp are held against the smallest of them, which stands for the fp
+    named = first.groupBy("fp").agg(F.min("node").alias("a"), F.min("fp1").alias("fp1"))
+    same = first.select("fp", F.col("node").alias("b")).join(named.select("fp", "a"), "fp").where("a <> b").select("a", "b")
+    name = lambda k: named.select(F.col("fp").alias(k), F.col("a").alias(f"n{k}"))
+    near = similar(named.select("fp", "fp1")).join(name("a"), "a").join(name("b"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
+    pairs = checkpoint(same.unionByName(near))
+    links = verified(pairs, _held_sets(own, first, pairs))
+    rooted = first.select("node", "first").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = checkpoint(rooted.groupBy("root").agg(F.min("first").alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.row").alias("__row")).distinct())
     out = own.join(kept, ["__row"]).where(F.col("doc_id").eqNullSafe(F.col("__id")))
     ties = rows.groupBy("doc_id", "__row").count().where("count > 1").limit(1).count()

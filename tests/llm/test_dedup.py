@@ -86,6 +86,15 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == 0 and simhash.keep_one(docs(spark, [])).count() == 0
 
 
+def test_keep_one_holds_pairs_against_their_shingles(spark):
+    own = lambda k, n: " ".join(f"own{k}x{i}" for i in range(n))
+    line = "one line that every page of the site repeats again " * 60
+    base = own(9, 200).split()
+    # unlike texts whose repeated line outweighs all else; one of a similarity under, and one of over 0.8
+    texts = [line + own(k, 40) for k in range(4)] + [" ".join(base), " ".join(base[:175] + own(8, 25).split()), " ".join(base[:190] + own(7, 10).split())]
+    assert {r.doc_id for r in simhash.keep_one(docs(spark, texts)).collect()} == {0, 1, 2, 3, 4, 5}
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.integers(0, 3), min_size=1, max_size=40))
 def test_suffix_array(symbols):
