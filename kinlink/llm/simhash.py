@@ -11,8 +11,8 @@ A posting list longer than LISTED would give a square of pairs.  Its members are
 each posts itself and its 64 one-bit neighbours, and members that share a post are within two bits of
 each other, and the other way round; each post links its members to their smallest one.
 
-Similarity search (keep_one) posts a wider fingerprint of five-word shingles under keys of three
-positional bytes; see similar().
+Similarity search (keep_one) posts bands of least hashes of the five-word shingle sets, and holds each
+pair against those sets; see linked().
 """
 
 from __future__ import annotations
@@ -161,53 +161,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", shingle: int = SHINGLE
     return rows.join(named, "fp").select(key, "fp", "component_id")
 
 
-#: The wide fingerprint of similarity search: parts of 64 bits, shingle words, positional bytes in a posting
-#: list's key, lists of a document, and a list's members that the others are held against.
-PARTS, WORDS, KEY, LISTS, PIVOTS = 2, 5, 3, 80, 4
+#: Similarity search: words of a shingle, bands of a set's signature and least hashes in a band.  Two sets of similarity 0.8
+#: agree in no band with a chance of (1 - 0.8 ** 8) ** 48, about 1 in 6,800.
+WORDS, BANDS, ROWS = 5, 48, 8
+#: Least hashes of which a sketch has four bits each, 16 in a long, and how many of them may differ: of two sets of
+#: similarity 0.8 24 differ with a deviation of 4.4, so that more do with a chance under one in a million.
+SKETCHED, DIFFERING = 128, 48
 #: The least Jaccard similarity of two documents' shingle sets, as a fraction.
 ALIKE = (4, 5)
-#: Differing bits of two documents at a similarity of 0.8, with a margin: 0.8 of shingles in common means
-#: 0.89 as a cosine, an angle of 0.476, and 0.151 of all bits.  The first bound is for the first 64 bits alone.
-FIRST_BITS, WIDE_BITS = 17, 22
-#: Mixed into fingerprints, to choose pivots: whole numbers from the golden ratio.
-_MASKS = [(0x9E3779B97F4A7C15 * i & (1 << 64) - 1) for i in range(PIVOTS)]
-
-
-def _places() -> list[list[int]]:
-    """The positions of each list's key: random orders of all positions, cut into keys."""
-    rng, out = random.Random(1), []
-    while len(out) < LISTS:
-        order = rng.sample(range(8 * PARTS), 8 * PARTS)
-        out += [sorted(order[i : i + KEY]) for i in range(0, len(order) - KEY + 1, KEY)]
-    return out[:LISTS]
-
-
-def similar(fps: DataFrame) -> DataFrame:
-    """a < b: links between documents with most shingles in common, by their first fingerprints.
-
-    fps has fp, distinct, and fp1, the second part of one text of that fp.  Each fp is posted under KEY
-    positional bytes of both parts LISTS times.  All members of a list are held against its PIVOTS
-    members of the smallest masked fingerprints, so that a list costs as much as it has members: of pairs that differ
-    in few of the first bits the positional bytes in common are tallied, those below the KEY matches of every list
-    dropped, and the rest verified by all their differing bits.  Two texts meet where they share a
-    list and one is a pivot of it, or both are linked to one.
-    """
-    dealt = fps.select("fp", "fp1").repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
-    octet = lambda i: _byte(F.col(("fp", "fp1")[i // 8]), i % 8)
-    key = F.array(*[sum((octet(i) * (1 << 8 * k) for k, i in enumerate(at)), F.lit(n << 8 * KEY)) for n, at in enumerate(_places())])
-    posts = dealt.select("fp", F.explode(key).alias("key"))
-    masked = [F.col("fp").bitwiseXOR(F.lit(m - (m >> 63 << 64)).cast("long")) for m in _MASKS]
-    pivots = [F.min(v).bitwiseXOR(F.lit(m - (m >> 63 << 64)).cast("long")).alias(f"m{i}") for i, (v, m) in enumerate(zip(masked, _MASKS))]
-    lists = posts.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *pivots).where("n > 1")
-    # stored: a join of two plain shuffles can be split where a list is very long
-    met = stored(lists.select("key", F.array_distinct(F.array(*[f"m{i}" for i in range(PIVOTS)])).alias("m")), "lists")
-    pairs = posts.join(met, "key").select("fp", F.explode("m").alias("m")).where("fp <> m").where(F.bit_count(F.col("fp").bitwiseXOR(F.col("m"))) <= FIRST_BITS)
-    near = pairs.select(F.least("fp", "m").alias("a"), F.greatest("fp", "m").alias("b")).distinct()
-    side = lambda k: fps.select(F.col("fp").alias(k), F.col("fp1").alias(f"{k}1"))
-    both = near.join(side("a"), "a").join(side("b"), "b")
-    other = [F.col(x).bitwiseXOR(F.col(y)) for x, y in (("a", "b"), ("a1", "b1"))]
-    tally = sum((F.when(_byte(o, i) == 0, 1).otherwise(0) for o in other for i in range(8)), F.lit(0))
-    return both.where(tally >= KEY).where(sum((F.bit_count(o) for o in other), F.lit(0)) <= WIDE_BITS).select("a", "b")
+#: Members of a band's list that are paired at once; longer lists are linked through one member first, see linked().
+PAIRED = 32
+#: Shingles whose hashes are mixed at a time.
+MIXED = 512
+_MIX = np.array([random.Random(i).getrandbits(32) | 1 for i in range(BANDS * ROWS)], np.uint32)
 
 
 def _hash_set(text: str | None, shingle: int) -> np.ndarray:
@@ -220,21 +186,42 @@ def shingle_sets(docs: DataFrame, keep: list[str], shingle: int = WORDS) -> Data
     return text_pass(docs, keep, "text", [("shingles", "array<long>")], lambda: lambda texts: [[_hash_set(t, shingle).view(np.int64) for t in texts]])
 
 
+def _signature(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each band of a set, of the band and the set's least hashes under ROWS mixings, and the set's sketch."""
+    least, high = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32), (hashes >> np.uint64(32)).astype(np.uint32)
+    for a in range(0, len(high), MIXED):
+        np.minimum(least, (high[a : a + MIXED, None] * _MIX).min(axis=0), out=least)
+    bands, wide = np.arange(1, BANDS + 1, dtype=np.uint64), least.astype(np.uint64)
+    for row in wide.reshape(BANDS, ROWS).T:
+        bands = (bands ^ row) * np.uint64(0x9E3779B97F4A7C15)
+        bands ^= bands >> np.uint64(29)
+    # the low bits of a product are those of few bits of its factors: four bits of another product
+    bits = wide[:SKETCHED] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(60)
+    return bands, np.bitwise_or.reduce(bits.reshape(-1, 16) << np.arange(0, 64, 4, dtype=np.uint64), axis=1)
+
+
 def nodes(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """keep, node (the hash of a text's shingle set, equal for equal sets) and fp, fp1, the wide fingerprint of that set:
-    a shingle counts once, however often it is repeated."""
+    """keep, node (the hash of a text's shingle set, equal for equal sets), bands and sketch of that set."""
 
     def told(text):
         h = _hash_set(text, WORDS)
-        out = [xxhash.xxh64_intdigest(h.tobytes(), SEED)]
-        for _ in range(PARTS):
-            ones = _ones(h) if len(h) else np.zeros(64, np.int64)
-            out.append(sum(1 << int(b) for b in np.flatnonzero(2 * ones > len(h))))
-            h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-        return [v - (v >> 63 << 64) for v in out]
+        node = xxhash.xxh64_intdigest(h.tobytes(), SEED)
+        return node - (node >> 63 << 64), *(x.view(np.int64) for x in _signature(h))
+
+    made = [("node", "long"), ("bands", "array<long>"), ("sketch", "array<long>")]
+    return text_pass(docs, keep, "text", made, lambda: lambda texts: list(zip(*map(told, texts))) or [[]] * 3)
+
 
-    return text_pass(docs, keep, "text", [(c, "long") for c in ("node", "fp", "fp1")], lambda: lambda texts: list(zip(*map(told, texts))) or [[]] * 3)
+def likely(pairs: DataFrame, first: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes of first (node, sketch) whose sketches differ in DIFFERING places at most."""
+    side = lambda k: first.select(F.col("node").alias(k), F.col("sketch").alias(f"{k}k"))
+
+    def differing(i: int) -> Column:
+        x = F.col("ak")[i].bitwiseXOR(F.col("bk")[i])
+        return F.bit_count(reduce(Column.bitwiseOR, [F.shiftrightunsigned(x, k) for k in range(4)]).bitwiseAND(F.lit(0x1111111111111111)))
+
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.where(sum((differing(i) for i in range(SKETCHED // 16)), F.lit(0)) <= DIFFERING).select("a", "b")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -256,25 +243,54 @@ def _held_sets(own: DataFrame, first: DataFrame, pairs: DataFrame) -> DataFrame:
     return stored(shingle_sets(texts, ["node"]).groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
 
 
+def linked(own: DataFrame, first: DataFrame) -> DataFrame:
+    """Links (a, b) between nodes of first (node, bands, sketch, first): enough to give the components of the similar nodes that share bands.
+
+    Nodes that share a band are in its list.  All pairs of a list of up to PAIRED members are held against
+    their sets.  Members of a longer one are first held against its smallest; where that leaves more than one component in
+    the list, all its members of different components that share another such list too are held against each
+    other, however many they are.  Two similar nodes are passed over only where they share no band, or a single one of a
+    long list: at 0.8 with a chance of about 1 in 600, whatever the size of the table, and less above.
+    """
+    posts = first.select("node", F.explode("bands").alias("key"))
+    sizes = posts.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).where("n > 1")
+    # stored: joins of plain shuffles can be split where a list is very long
+    met = stored(posts.join(sizes, "key"), "lists")
+    few, many = met.where(F.col("n") <= PAIRED), met.where(F.col("n") > PAIRED)
+    pair = few.select("key", F.col("node").alias("a")).join(few.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b")
+    star = many.where("least <> node").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    pairs = stored(pair.unionByName(star).distinct(), "pairs")
+    sets = _held_sets(own, first, pairs)
+    near = checkpoint(verified(pairs, sets))
+    rooted = many.select("key", "node").join(components(near), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = checkpoint(rooted)
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    left = checkpoint(rooted.join(mixed, "key").groupBy("node", "root").agg(F.sort_array(F.collect_list("key")).alias("keys")).where(F.size("keys") > 1))
+    if left.isEmpty():
+        return near
+    twice = F.expr("flatten(transform(keys, (x, i) -> transform(slice(keys, i + 2, size(keys)), y -> xxhash64(x, y))))")
+    # grouped by component, so that members of one never meet
+    groups = left.select("node", "root", F.explode(twice).alias("key")).groupBy("key", "root").agg(F.collect_list("node").alias("nodes"))
+    open_ = groups.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    groups = stored(groups.join(open_, "key"), "groups")
+    side = lambda k: groups.select("key", F.col("root").alias(f"{k}r"), F.col("nodes").alias(f"{k}s"))
+    across = side("a").join(side("b"), "key").where("ar < br").select(F.explode("as").alias("a"), "bs").select("a", F.explode("bs").alias("b"))
+    rest = stored(likely(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), first), "rest")
+    return near.unionByName(verified(rest, sets))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one row of each class of similar texts (of one set of five-word shingles, or linked by pairs with a Jaccard
     similarity of 0.8 at least): that of the smallest doc_id (null ones last), then of the smallest row hash.
 
-    Fingerprints only propose pairs; each is held against its shingle sets before it links anything.
+    Bands only propose pairs; each is held against its shingle sets before it links anything.
     """
     columns = docs.columns
     own = docs.withColumn("__row", F.xxhash64(*[F.col(f"`{c}`") for c in columns]))
     rows = checkpoint(nodes(own, ["doc_id", "__row"]))
     order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc_id"), F.col("__row").alias("row"))
-    first = checkpoint(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("fp1").alias("fp1"), F.min(order).alias("first")))
-    # sets of one fp are held against the smallest of them, which stands for the fp
-    named = first.groupBy("fp").agg(F.min("node").alias("a"), F.min("fp1").alias("fp1"))
-    same = first.select("fp", F.col("node").alias("b")).join(named.select("fp", "a"), "fp").where("a <> b").select("a", "b")
-    name = lambda k: named.select(F.col("fp").alias(k), F.col("a").alias(f"n{k}"))
-    near = similar(named.select("fp", "fp1")).join(name("a"), "a").join(name("b"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
-    pairs = checkpoint(same.unionByName(near))
-    links = verified(pairs, _held_sets(own, first, pairs))
-    rooted = first.select("node", "first").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    first = checkpoint(rows.groupBy("node").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.min(order).alias("first")))
+    rooted = first.select("node", "first").join(components(linked(own, first)), "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = checkpoint(rooted.groupBy("root").agg(F.min("first").alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.row").alias("__row")).distinct())
     out = own.join(kept, ["__row"]).where(F.col("doc_id").eqNullSafe(F.col("__id")))
     ties = rows.groupBy("doc_id", "__row").count().where("count > 1").limit(1).count()

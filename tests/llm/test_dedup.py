@@ -95,6 +95,39 @@ def test_keep_one_holds_pairs_against_their_shingles(spark):
     assert {r.doc_id for r in simhash.keep_one(docs(spark, texts)).collect()} == {0, 1, 2, 3, 4, 5}
 
 
+def templated(n, shared=320, own=180, changed=5):
+    """n texts of one template and words of their own; each text 2k + 1 is text 2k but for `changed` spread words (similarity about 0.9)."""
+    rng = random.Random(n)
+    template = " ".join(f"site{i}" for i in range(shared))
+    out = []
+    for k in range(n // 2):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(own)]
+        other = list(words)
+        for i in rng.sample(range(10, own - 10), changed):
+            other[i] += "x"
+        out += [f"{template} {' '.join(words)}", f"{template} {' '.join(other)}"]
+    return out
+
+
+def test_keep_one_of_a_templated_source_is_whole(spark):
+    texts = templated(600)
+    assert [r.doc_id for r in simhash.keep_one(docs(spark, texts)).orderBy("doc_id").collect()] == list(range(0, 600, 2))
+
+
+def test_keep_one_of_long_lists(spark):
+    # one list holds all members, whose least is similar to its own partner only
+    sets = [[1000 * (k // 2) + i for i in range(90)] + [10**6 + k] for k in range(80)]
+    texts = docs(spark, [""] * 80)
+    first = spark.createDataFrame([(k, [7, 8, 100 + k], [0] * 8) for k in range(80)], "node long, bands array<long>, sketch array<long>")
+    held = spark.createDataFrame(list(enumerate(sets)), "node long, shingles array<long>")
+    keep, simhash._held_sets = simhash._held_sets, lambda *_: held
+    try:
+        got = {(r.a, r.b) for r in simhash.linked(texts, first).collect()}
+    finally:
+        simhash._held_sets = keep
+    assert got == {(k, k + 1) for k in range(0, 80, 2)}
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.integers(0, 3), min_size=1, max_size=40))
 def test_suffix_array(symbols):
