@@ -10,8 +10,6 @@ that the models did not see.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,10 +18,6 @@ from kinlink.llm.common import checkpoint
 #: (host, path, verdict)
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 ORDER = 5
-#: Labelled urls of each class that the models and the threshold are fitted on: those of the smallest hashes.
-SAMPLE = 8_000
-#: Grams that a model table keeps, the most frequent and shortest first; this bounds what is broadcast.
-GRAMS = 60_000
 #: Probability of a character before any is known.
 UNIFORM = 1 / 256
 #: Stands before and behind a scored text.
@@ -72,8 +66,7 @@ def fit(samples: DataFrame) -> DataFrame:
     sums = {f"{k}{c}": f(c) for c in "ar" for k, f in (("n", lambda c: F.sum(f"n{c}")), ("t", lambda c: F.sum((F.col(f"n{c}") > 0).cast("int"))))}
     # every context is a shorter gram's text: '' for single characters
     contexts = counts.groupBy(context.alias("ctx")).agg(*[v.alias(f"c{k}") for k, v in sums.items()])
-    kept = counts.orderBy(F.desc(F.col("na") + F.col("nr")), F.length("gram"), "gram").limit(GRAMS)
-    rows = checkpoint(kept.withColumn("ctx", context).join(contexts, "ctx").withColumn("shorter", F.expr("substr(gram, 2)")))
+    rows = checkpoint(counts.withColumn("ctx", context).join(contexts, "ctx").withColumn("shorter", F.expr("substr(gram, 2)")))
     done = None
     for order in range(1, ORDER + 1):
         here = rows.where(F.length("gram") == order)
@@ -93,18 +86,20 @@ def fit(samples: DataFrame) -> DataFrame:
 def scores(texts: DataFrame, model: DataFrame, key: str = "s") -> DataFrame:
     """key and score (log-likelihood difference a character) of the distinct texts s.
 
-    Grams of each order are looked up in the broadcast model, whose rows are bounded by GRAMS; the
-    longest known one counts, times what its longer contexts leave to unseen characters.
+    Each distinct gram is valued once: its shorter ones are looked up order by order, the longest known one counts,
+    times what its longer contexts leave to unseen characters.  Joins are by gram, whatever the model's size.
     """
-    rows = _characters(texts.select("s"))
+    rows = _characters(texts.select("s")).groupBy("s", "gram").agg(F.count(F.lit(1)).alias("n"))
     known = model.where("ratio is not null").select("gram", "ratio")
     left = model.where("back is not null").select("gram", "back")
-    value: Column = F.lit(0.0)
+    grams, value = rows.select("gram").distinct(), F.lit(0.0)
     for order in range(1, ORDER + 1):
-        rows = rows.join(F.broadcast(known.select(F.col("gram").alias(f"g{order}"), F.col("ratio").alias(f"r{order}")).where(F.length(f"g{order}") == order)), F.expr(f"right(gram, {order})") == F.col(f"g{order}"), "left").drop(f"g{order}")
-        rows = rows.join(F.broadcast(left.select(F.col("gram").alias(f"h{order}"), F.col("back").alias(f"b{order}")).where(F.length(f"h{order}") == order - 1)), F.expr(f"substr(gram, {ORDER + 1 - order}, {order - 1})") == F.col(f"h{order}"), "left").drop(f"h{order}")
+        grams = grams.withColumns({f"g{order}": F.expr(f"right(gram, {order})"), f"h{order}": F.expr(f"substr(gram, {ORDER + 1 - order}, {order - 1})")})
+        grams = grams.join(known.select(F.col("gram").alias(f"g{order}"), F.col("ratio").alias(f"r{order}")), f"g{order}", "left").drop(f"g{order}")
+        grams = grams.join(left.select(F.col("gram").alias(f"h{order}"), F.col("back").alias(f"b{order}")), f"h{order}", "left").drop(f"h{order}")
         value = F.coalesce(F.col(f"r{order}"), F.coalesce(F.col(f"b{order}"), F.lit(0.0)) + value)
-    return rows.withColumn("v", value).groupBy("s").agg((F.sum("v") / F.count(F.lit(1))).alias("score"))
+    valued = checkpoint(grams.select("gram", value.alias("v")))
+    return rows.join(valued, "gram").groupBy("s").agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("score"))
 
 
 def threshold(scored: DataFrame) -> float:
@@ -126,8 +121,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFr
     rows = pages.select(F.col("page_id"), host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     rows = ruled(rows, rules).withColumn("s", F.concat("host", "path"))
     labelled = rows.where("ruling is not null").select("s", (F.col("ruling") == "allow").alias("accepted")).distinct()
-    drawn = reduce(DataFrame.unionByName, [labelled.where(F.col("accepted") == c).orderBy(F.xxhash64("s"), "s").limit(SAMPLE) for c in (True, False)])
-    sample = checkpoint(drawn)
+    sample = checkpoint(labelled)
     unseen = F.crc32(F.col("s").cast("binary")) % 4 == 0
     model = fit(sample.where(~unseen))
     wanted = rows.where("ruling is null").select("s").distinct()

@@ -122,3 +122,19 @@ def test_url_scores_equal_brute_force(spark):
     for w in wanted:
         assert abs(got[w] - score(w)) < 1e-9, w
     assert got["good.site/abc"] > 0 > got["bad.host/zz"]
+
+
+def test_url_models_keep_all_grams_and_urls(spark):
+    rng = random.Random(2)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    rows = [(f"a.org/fr/{word(20)}" if k % 2 else f"b.net/{word(20)}", k % 2 == 1) for k in range(17_000)]
+    samples = spark.createDataFrame(rows[:4000], "s string, accepted boolean")
+    grams = {w[i + 5 - k : i + 5] for s, _ in rows[:4000] for w in [urls.EDGE * 4 + s + urls.EDGE] for i in range(len(s) + 1) for k in range(1, 6)}
+    assert len(grams) > 60_000 and urls.fit(samples).where("ratio is not null").count() == len(grams)
+    seen, keep = [], urls.fit
+    urls.fit = lambda df: (seen.append(df.count()), keep(df.limit(10)))[1]
+    try:
+        urls.judge(spark.createDataFrame([(i, "http://" + s) for i, (s, _) in enumerate(rows)], "page_id long, url string")).count()
+    finally:
+        urls.fit = keep
+    assert 12_000 < seen[0] < 13_500
