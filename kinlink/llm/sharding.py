@@ -38,9 +38,9 @@ def assign(df: DataFrame, key: str, weights: list[float], grown: list[float] | N
 
     Slots are numbered in buckets: hash buckets of about ROWS_A_BUCKET rows are counted for each
     shard, a running sum over those counts (a few numbers for each bucket) gives their first slots, and
-    rows are numbered inside their buckets.  No task sees a whole shard and no key is hot: a bucket is
-    chosen by the hash of all `order` columns, so repeated keys spread as far as those columns differ,
-    and rows that agree on all of them are salted by a number of their own.
+    rows are numbered inside their buckets.  A bucket is
+    chosen by the hash of all `order` columns, so repeated keys spread as far as those columns differ.
+    Rows that agree on all of them share a bucket, and one task numbers them, however many they are.
     Defined cases: null keys are one key; repeated rows each get a slot; an empty table stays empty;
     columns called like the new ones are replaced.
     """
