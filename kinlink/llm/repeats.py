@@ -1,16 +1,20 @@
 """Removal of byte strings that occur more than once in a corpus, by suffix arrays over shards.
 
 A shard holds every window (string of `length` bytes) that can equal one of its own.  To deal windows out
-so, each is filed under its anchor, the gram of GRAM bytes in it with the smallest hash, which depends on
-the window's bytes alone.  Neighbouring windows with one anchor form a segment, kept as one string.
-Anchors that occur once need no more work; segments of one anchor whose bytes all agree are repeated as
-a whole; only the distinct segments of an anchor with different ones go, once each, into a shard, whose
-suffix array (induced sorting) and permuted common prefixes say which windows occur twice.  An anchor
-with more distinct segments than LARGE does not fit a shard's bound: its windows are counted one by one
-by 128-bit hashes, with partial sums before the shuffle.
-
-Texts meet their lists by a 64-bit hash and a further 12 bits in every entry.  A text of many copies
-sends its segments from each; lists and strings are made once for each text.
+so, each is filed under a key that depends on its bytes alone.  Its anchor is the gram of GRAM bytes in it with
+the smallest hash; half of the bytes beside the anchor, or more, stand on one side of it, and the key is the hash of the anchor with
+that half.  Neighbouring windows with one key form a segment, kept as one string.  Keys that occur once need no more work.
+
+Whether windows repeat is what suffix arrays (induced sorting, permuted common prefixes) say, each over a shard:
+* Equal segments are found by their hashes.  Two of each, from different places, go into a shard, joined to runs where their
+  neighbours do so too.  The verdict on the two holds for all of them.
+* Segments that share a key but differ may share windows.  All distinct ones of a key go into one shard, once each.
+* A key of more than LARGE distinct segments is split: its windows are filed again under longer keys, each with half of
+  the bytes that the shorter one leaves out, until the segments of a key fit a shard; equal ones are put
+  together first.  A key of `length` bytes is a window itself and has one segment.
+
+Texts meet their lists by a 64-bit hash and a further 12 bits in every entry.  Lists are made once for each
+distinct text, however many copies it has.
 """
 
 from __future__ import annotations
@@ -21,22 +25,24 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from kinlink.llm.common import bounded_batches, checkpoint, steps, stored, text_pass
+from kinlink.llm.common import bounded_batches, steps, stored, text_pass
 from kinlink.llm.suffixes import repeated
 
 LENGTH = 200
 GRAM = 32
-#: Distinct segments of one anchor in a shard.
-LARGE = 3_000
-#: Bytes of a shard's text, beyond which a new one begins (an anchor's segments stay together).
+#: Distinct segments of one key in a shard; beyond that the key is split.
+LARGE = 256
+#: Bytes of a shard's text, beyond which a new one begins (a key's segments stay together).
 SHARD_BYTES = 1 << 20
 #: Bytes of text that are hashed at a time.
 PIECE = 1 << 16
+#: Equal segments are joined to runs inside stretches of 2 to this power bytes.
+STRETCH = 16
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F))
 
@@ -46,18 +52,27 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def gram_hashes(raw: np.ndarray, gram: int = GRAM) -> np.ndarray:
-    """A 64-bit hash of the `gram` (a power of two, 8 at least) bytes at each place, by doubling from eight."""
+def gram_hashes(raw: np.ndarray, *sizes: int) -> list[np.ndarray]:
+    """A 64-bit hash of the bytes at each place, for each size (rising powers of two, 8 at least), by doubling from eight."""
     h = np.lib.stride_tricks.sliding_window_view(raw, 8).copy().view("<u8").ravel()
-    h, size = _mix(h * _M1), 8
-    while size < gram:
-        h = _mix(h[:-size] * _M1 + h[size:] * _M3)
-        size *= 2
-    return h
+    h, size, out = _mix(h * _M1), 8, []
+    for wanted in sizes:
+        while size < wanted:
+            h = _mix(h[:-size] * _M1 + h[size:] * _M3)
+            size *= 2
+        out.append(h)
+    return out
+
+
+def sides(length: int = LENGTH, gram: int = GRAM) -> tuple[int, int]:
+    """Bytes of the key before the anchor for windows that have as many there, and behind it for all others."""
+    rest = length - gram
+    half = -(-rest // 2)
+    return half, rest - half + 1
 
 
 def segments(raws: list[bytes], length: int = LENGTH, gram: int = GRAM):
-    """Yields, buffer by buffer, the segments of texts: (buffer, text, begin in the buffer, begin in the text, windows, anchor hash, anchor's offset).
+    """Yields, buffer by buffer, the segments of texts: (buffer, text, begin in the buffer, begin in the text, windows, key, key's offset, side, hash).
 
     Texts are joined to buffers of about PIECE bytes, and longer texts cut into pieces that overlap by a window less a
     byte.  The smallest hash of each stretch of places is found from running minima in both directions
@@ -79,7 +94,7 @@ def segments(raws: list[bytes], length: int = LENGTH, gram: int = GRAM):
 def _cut(parts: list[tuple[int, int, bytes]], length: int, gram: int):
     span = length - gram + 1
     buffer = b"".join([p[2] for p in parts])
-    h = gram_hashes(np.frombuffer(buffer, np.uint8), gram)
+    h, wide, wider = gram_hashes(np.frombuffer(buffer, np.uint8), gram, 2 * gram, 4 * gram)
     n = len(h)
     keys = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(n, dtype=np.uint64)
     blocks = np.full(-(-n // span) * span, np.iinfo(np.uint64).max, np.uint64)
@@ -93,11 +108,20 @@ def _cut(parts: list[tuple[int, int, bytes]], length: int, gram: int):
     begins = np.cumsum(counts + length - 1) - (counts + length - 1)
     owner = np.repeat(np.arange(len(parts)), counts)
     at = np.arange(len(owner)) + np.repeat(begins - (np.cumsum(counts) - counts), counts)
-    place = least[at].astype(np.int64)
-    first = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]) | (owner[1:] != owner[:-1]))))
-    own, begin, anchor = owner[first], at[first], place[first]
+    anchor = least[at].astype(np.int64)
+    before, after = sides(length, gram)
+    # windows of one anchor with `before` bytes ahead of it come first
+    side = anchor - at < before
+    first = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1]) | (side[1:] != side[:-1]))))
+    own, begin, anchor, side = owner[first], at[first], anchor[first], side[first]
+    windows = np.diff(np.append(first, len(owner)))
+    place = anchor - np.where(side, 0, before)
+    last = anchor + gram + np.where(side, after, 0) - 2 * gram
+    key = _mix(wide[place] * _M1 + wide[last] * _M3 + side)
+    end = begin + windows + length - 1
+    seg = _mix(wider[begin] * _M1 + wider[(begin + end) // 2 - 2 * gram] * _M3 + wider[end - 4 * gram] * _M2 + windows.astype(np.uint64))
     texts, bases = (np.array([p[i] for p in parts])[own] for i in (0, 1))
-    return buffer, texts, begin, begin - begins[own] + bases, np.diff(np.append(first, len(owner))), h[anchor].view(np.int64), anchor - begin
+    return buffer, texts, begin, begin - begins[own] + bases, windows, key.view(np.int64), place - begin, side, seg.view(np.int64)
 
 
 def text_key(raw: bytes) -> tuple[int, int]:
@@ -106,19 +130,23 @@ def text_key(raw: bytes) -> tuple[int, int]:
     return (h & (1 << 64) - 1) - ((h >> 63 & 1) << 64), h >> 64 & 0xFFF
 
 
-def _pack(start: np.ndarray, windows: np.ndarray, offset: np.ndarray, check: np.ndarray) -> np.ndarray:
-    return (((start << 8 | (windows - 1)) << 8 | offset) << 12) | check
+def _pack(start: np.ndarray, windows: np.ndarray, offset: np.ndarray, side: np.ndarray, check: np.ndarray) -> np.ndarray:
+    return ((((start << 8 | (windows - 1)) << 7 | offset) << 1 | side) << 12) | check
+
 
+def _unpack(at: np.ndarray, check: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Which entries are of the text with these 12 bits, and their starts, windows, keys' offsets and sides."""
+    return (at & 0xFFF) == check, at >> 28, (at >> 20 & 0xFF) + 1, at >> 13 & 0x7F, at >> 12 & 1
 
-def _unpack(at: np.ndarray, check: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Which entries are of the text with these 12 bits, and their starts, windows and anchors' offsets."""
-    return (at & 0xFFF) == check, at >> 28, (at >> 20 & 0xFF) + 1, at >> 12 & 0xFF
+
+#: Bits of a packed place behind the start.
+_PLACE = 28
 
 
 def occurrences(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """anchor, seg (hash of the segment's bytes), tk (the text's key) and at (the packed place) of every segment."""
+    """key, seg (hash of the segment's bytes), tk (the text's key) and at (the packed place) of every segment."""
     bounded_batches(docs.sparkSession)
-    kinds = pa.schema([("anchor", pa.int64()), ("seg", pa.int64()), ("tk", pa.int64()), ("at", pa.int64())])
+    kinds = pa.schema([("key", pa.int64()), ("seg", pa.int64()), ("tk", pa.int64()), ("at", pa.int64())])
 
     def work(batches):
         for batch in batches:
@@ -126,16 +154,14 @@ def occurrences(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 raws = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column(0).slice(a, b - a)]
                 keyed = [text_key(r) if len(r) >= length else (0, 0) for r in raws]
                 keys, checks = np.array([k for k, _ in keyed], np.int64), np.array([c for _, c in keyed], np.int64)
-                for buffer, text, begin, start, windows, anchor, offset in segments(raws, length):
-                    cut = map(buffer.__getitem__, map(slice, begin.tolist(), (begin + windows + length - 1).tolist()))
-                    seg = np.fromiter(map(xxhash.xxh3_64_intdigest, cut), np.uint64, len(begin)).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (anchor, seg, keys[text], _pack(start, windows, offset, checks[text]))], schema=kinds)
+                for _, text, _, start, windows, key, offset, side, seg in segments(raws, length):
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (key, seg, keys[text], _pack(start, windows, offset, side, checks[text]))], schema=kinds)
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(work, "anchor long, seg long, tk long, at long")
+    return docs.select(F.col("text").cast("string")).mapInArrow(work, "key long, seg long, tk long, at long")
 
 
 def _packed(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """keep, tk and z: the text's key, and the text itself for a shuffle."""
+    """k0, k1, ... (keep), tk and z: the text's key, and the text itself for a shuffle."""
 
     def begin():
         shrink = zstandard.ZstdCompressor(level=3).compress
@@ -146,14 +172,21 @@ def _packed(docs: DataFrame, keep: list[str]) -> DataFrame:
 
         return apply
 
-    return text_pass(docs, keep, "text", [("tk", "long"), ("z", "binary")], begin)
+    own = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], "text")
+    return text_pass(own, own.columns[:-1], "text", [("tk", "long"), ("z", "binary")], begin)
+
+
+#: Whole segments that share a key, or (with `whole`) runs of equal ones from one of two places: grp deals them to shards, and parts
+#: are the segments whose windows begin in the string at `first`, in the first of the two places only.
+_STRINGS = "grp long, whole boolean, s binary, o int, k int, parts array<struct<key:long,seg:long,first:int,windows:int>>"
 
 
-def _strings(packed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """anchor, seg, n, q (the anchor's offset) and s (the bytes) of the wanted segments (tk, at, anchor, seg, n)."""
+def _strings(packed: DataFrame, wanted: DataFrame, length: int, gram: int = GRAM) -> DataFrame:
+    """The strings of the wanted places (tk, at, grp, role, key, seg); role 0: a segment, 1 and 2: of equal ones the first and second place."""
     # stored: a join of two plain shuffles can be split where a text has very many copies
-    lists = stored(wanted.groupBy("tk").agg(F.collect_list(F.struct("at", "anchor", "seg", "n")).alias("l")), "wanted")
-    kinds = pa.schema([("anchor", pa.int64()), ("seg", pa.int64()), ("n", pa.int64()), ("q", pa.int32()), ("s", pa.binary())])
+    lists = stored(wanted.groupBy("tk").agg(F.collect_list(F.struct("at", "grp", "role", "key", "seg")).alias("l")), "wanted")
+    kinds = to_arrow_schema(T._parse_datatype_string(_STRINGS))
+    before, after = sides(length, gram)
 
     def work(batches):
         grow, seen = zstandard.ZstdDecompressor().decompress, set()
@@ -162,16 +195,27 @@ def _strings(packed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 if tk in seen:  # a copy
                     continue
                 raw = grow(z.as_buffer())
-                check, rows = text_key(raw)[1], entries.values
-                at = rows.field(0).to_numpy()
-                mine, start, windows, offset = _unpack(at, check)
+                rows = entries.values
+                mine, start, windows, offset, side = _unpack(rows.field(0).to_numpy(), text_key(raw)[1])
                 if not mine.any():
                     continue
                 seen.add(tk)
-                made = [raw[a:b] for a, b in zip(start[mine].tolist(), (start + windows + length - 1)[mine].tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(rows.field(i).to_numpy()[mine]) for i in (1, 2, 3)] + [pa.array(offset[mine].astype(np.int32)), pa.array(made, pa.binary())], schema=kinds)
-
-    return packed.select("tk", "z").join(lists, "tk").select("tk", "z", "l").mapInArrow(work, "anchor long, seg long, n long, q int, s binary")
+                grp, role, key, seg = (rows.field(i).to_numpy()[mine] for i in (1, 2, 3, 4))
+                start, windows, offset, side = start[mine], windows[mine], offset[mine], side[mine]
+                order = np.lexsort((start, grp, role))
+                out = []
+                for r, g, a, w, q, d, y, h in zip(*(c[order].tolist() for c in (role, grp, start, windows, offset, side, key, seg))):
+                    if r and out and out[-1][0] == (r, g) and a <= out[-1][2]:
+                        last = out[-1]
+                        last[2] = max(last[2], a + w)
+                    else:
+                        out.append(last := [(r, g), a, a + w, q, gram + (after if d else before), []])
+                    if r < 2:
+                        last[5].append({"key": y, "seg": h, "first": a - last[1], "windows": w})
+                columns = [[x[0][1] for x in out], [x[0][0] > 0 for x in out], [raw[x[1] : x[2] + length - 1] for x in out], [x[3] for x in out], [x[4] for x in out], [x[5] for x in out]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds)], schema=kinds)
+
+    return packed.select("tk", "z").join(lists, "tk").select("tk", "z", "l").mapInArrow(work, _STRINGS)
 
 
 def _runs(marks: np.ndarray) -> list[dict]:
@@ -179,113 +223,119 @@ def _runs(marks: np.ndarray) -> list[dict]:
     return [{"a": int(a), "b": int(b)} for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1))]
 
 
-_VERDICT = "anchor long, seg long, runs array<struct<a:int,b:int>>"
+#: A verdict on a segment (runs of repeated windows, null for all of them), or, where s is not null, a piece of one whose
+#: windows begin there at `first`, filed again under grp.
+_VERDICT = "key long, seg long, runs array<struct<a:int,b:int>>, grp long, hash binary, first int, s binary, o int, k int"
 
 
-def _sharded(strings: DataFrame, length: int, gram: int = GRAM) -> DataFrame:
-    """anchor, seg and runs (of repeated windows) of segments, from one suffix array for each shard.
+def _refiled(s: bytes, o: int, k: int, length: int) -> list[tuple[int, int, bytes, int, int]]:
+    """A segment's windows under longer keys: for each side that has any (grp, first window, string, key's offset, key's bytes).
 
-    Before that, a segment's windows that hold more than half of the bytes beside the anchor on a side
-    which no other segment of the anchor shares are cut off: one of every two equal windows' sides is that long.
+    Windows with half of the bytes that the key s[o : o + k] leaves out before it take those into the key, the others the rest behind it.
     """
-    half = (length - gram + 1) // 2
+    rest = length - k
+    half = -(-rest // 2)
+    windows = len(s) - length + 1
+    cut = min(max(o - half + 1, 0), windows)
+    out = []
+    for first, stop, a, b in ((0, cut, o - half, o + k), (cut, windows, o, o + k + rest - half + 1)):
+        if stop > first:
+            h = xxhash.xxh3_64_intdigest(s[a:b], seed=2 * k + (first > 0 or cut == 0))
+            out.append((h - (h >> 63 << 64), first, s[first : stop + length - 1], a - first, b - a))
+    return out
+
+
+def _solved(strings: DataFrame, length: int, large: int) -> DataFrame:
+    """The verdicts of shards (see _VERDICT) on strings (see _STRINGS)."""
     kinds = to_arrow_schema(T._parse_datatype_string(_VERDICT))
 
-    def group(rows: list[tuple]) -> list[tuple]:
-        """(seg, first window, string) of one anchor's segments that can share a window."""
-        left, right = {}, {}
-        sides = []
-        for _, _, q, s in rows:
-            a = s[q - half : q] if q >= half else None
-            b = s[q + gram : q + gram + half] if len(s) >= q + gram + half else None
-            sides.append((a, b))
-            left[a] = left.get(a, 0) + 1
-            right[b] = right.get(b, 0) + 1
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), kinds)], schema=kinds)
+
+    def solve(shard: list[tuple]) -> list[tuple]:
         out = []
-        for (seg, n, q, s), (a, b) in zip(rows, sides):
-            first = 0 if a is None or left[a] > 1 else q - half + 1
-            stop = len(s) if b is None or right[b] > 1 else q + gram + half - 1
-            if stop - first >= length:
-                out.append((seg, n, first, s[first:stop], len(s) - length + 1))
-        return out if len(out) > 1 else []
-
-    def solve(shard: list[tuple]) -> pa.RecordBatch | None:
-        anchors, segs, runs = [], [], []
-        for (anchor, (seg, n, first, _, windows)), marks in zip(shard, repeated([x[1][3] for x in shard], length)):
-            if n == 1 and marks.any():
-                full = np.zeros(windows, bool)
-                full[first : first + len(marks)] = marks
-                anchors.append(anchor)
-                segs.append(seg)
-                runs.append(_runs(full))
-        return pa.RecordBatch.from_arrays([pa.array(anchors, kinds[0].type), pa.array(segs, kinds[1].type), pa.array(runs, kinds[2].type)], schema=kinds) if anchors else None
+        for (_, parts), marks in zip(shard, repeated([s for s, _ in shard], length)):
+            for key, seg, first, windows in parts:
+                own = marks[first : first + windows]
+                if own.any():
+                    out.append((key, seg, None if own.all() else _runs(own), *[None] * 6))
+        return out
+
+    def refiled(rows: list[tuple]) -> list[tuple]:
+        return [
+            (key, seg, None, grp, hashlib.blake2b(part, digest_size=16).digest(), first, part, at, size)
+            for s, o, k, parts in rows
+            for key, seg, _, _ in parts
+            for grp, first, part, at, size in _refiled(s, o, k, length)
+        ]
 
     def work(batches):
-        shard, held, now, rows = [], 0, None, {}
-
-        def close():
-            nonlocal held
-            if len(rows) > 1:
-                for x in group([(seg, *r) for seg, r in rows.items()]):
-                    shard.append((now, x))
-                    held += len(x[3])
-
-        for batch in batches:
-            for anchor, seg, n, q, s in zip(*(c.to_pylist() for c in batch.columns)):
-                if anchor != now:
-                    close()
-                    if held >= SHARD_BYTES:
-                        if (made := solve(shard)) is not None:
-                            yield made
-                        shard, held = [], 0
-                    now, rows = anchor, {}
-                rows[seg] = (n, q, s)
-        close()
-        if shard and (made := solve(shard)) is not None:
-            yield made
-
-    dealt = strings.select("anchor", "seg", "n", "q", "s").repartition("anchor").sortWithinPartitions("anchor")
-    return dealt.mapInArrow(work, _VERDICT)
-
-
-def _counted(strings: DataFrame, length: int) -> DataFrame:
-    """The same for segments of large anchors: every window's hash, counted over all of them."""
-    kinds = pa.schema([("h", pa.int64()), ("i", pa.int64()), ("anchor", pa.int64()), ("seg", pa.int64()), ("w", pa.int32())])
-
-    def windows(batches):
+        shard, held, now, rows, crowded = [], 0, None, [], False
         for batch in batches:
-            for anchor, seg, s in zip(*(c.to_pylist() for c in batch.columns)):
-                n = len(s) - length + 1
-                h = np.array([(x & (1 << 64) - 1, x >> 64) for x in (xxhash.xxh3_128_intdigest(s[k : k + length]) for k in range(n))], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array(np.full(n, anchor)), pa.array(np.full(n, seg)), pa.array(np.arange(n, dtype=np.int32))], schema=kinds)
-
-    rows = strings.select("anchor", "seg", "s").dropDuplicates(["anchor", "seg"]).mapInArrow(windows, "h long, i long, anchor long, seg long, w int")
-    rows = checkpoint(rows)
-    twice = rows.groupBy("h", "i").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "i")
-    marked = rows.join(twice, ["h", "i"]).groupBy("anchor", "seg").agg(F.collect_set("w").alias("w"))
-    return marked.select("anchor", "seg", F.expr("transform(w, x -> struct(x as a, x + 1 as b))").alias("runs"))
+            columns = [batch.column(i).to_pylist() for i in range(5)]
+            for grp, whole, s, o, k, parts in zip(*columns, batch.column(5).to_pylist()):
+                if (grp, whole) != now:
+                    if len(rows) > 1 and not crowded:
+                        shard += [(x[0], x[3]) for x in rows]
+                        held += sum(len(x[0]) for x in rows)
+                        if held >= SHARD_BYTES:
+                            if out := solve(shard):
+                                yield made(out)
+                            shard, held = [], 0
+                    now, rows, crowded = (grp, whole), [], False
+                rows.append((s, o, k, [tuple(p.values()) for p in parts]))
+                if not whole and k < length and (crowded or len(rows) > large):
+                    crowded = True
+                    if out := refiled(rows):
+                        yield made(out)
+                    rows = []
+        if len(rows) > 1 and not crowded:
+            shard += [(x[0], x[3]) for x in rows]
+        if shard and (out := solve(shard)):
+            yield made(out)
+
+    return strings.repartition("grp", "whole").sortWithinPartitions("grp", "whole").mapInArrow(work, _VERDICT)
+
+
+def verdicts(strings: DataFrame, length: int, large: int = LARGE) -> DataFrame:
+    """key, seg and runs (null: all windows) of the segments in strings with repeated windows, keys of many segments split as often as it takes."""
+    found = stored(_solved(strings, length, large), "verdicts")
+    judged, pieces = found.where("s is null").select("key", "seg", "runs"), found.where("s is not null")
+    if pieces.isEmpty():
+        return judged
+    # equal pieces are one, of two copies, whatever their number: shared ones are told by their hash
+    one = pieces.groupBy("grp", "hash").agg(F.count(F.lit(1)).alias("n"), *[f(F.struct("key", "seg", "first", "s", "o", "k")).alias(a) for a, f in (("lo", F.min), ("hi", F.max))])
+    shared = pieces.groupBy("grp").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("grp")
+    one = stored(one.join(shared, "grp"), "pieces")
+    number = F.xxhash64("hash")
+    part = F.array(F.struct(F.col("grp").alias("key"), number.alias("seg"), F.lit(0).alias("first"), (F.octet_length("lo.s") - (length - 1)).alias("windows")))
+    none = part.cast("array<struct<key:long,seg:long,first:int,windows:int>>")
+    row = lambda df, grp, whole, side, parts: df.select(grp.alias("grp"), F.lit(whole).alias("whole"), F.col(f"{side}.s").alias("s"), F.col(f"{side}.o").alias("o"), F.col(f"{side}.k").alias("k"), parts.alias("parts"))
+    equal, pair = one.where("n > 1"), F.xxhash64("grp", "hash")
+    again = row(one, F.col("grp"), False, "lo", none).unionByName(row(equal, pair, True, "lo", none)).unionByName(row(equal, pair, True, "hi", F.slice(none, 1, 0)))
+    deeper = verdicts(again, length, large).select(F.col("key").alias("grp"), F.col("seg").alias("number"), F.col("runs").alias("inner"))
+    # stored: skewed joins can be split
+    back = pieces.select("grp", number.alias("number"), "key", "seg", "first", (F.octet_length("s") - (length - 1)).alias("windows")).join(stored(deeper.distinct(), "deeper"), ["grp", "number"])
+    shifted = F.transform(F.coalesce("inner", F.array(F.struct(F.lit(0).alias("a"), F.col("windows").alias("b")))), lambda r: F.struct((r["a"] + F.col("first")).alias("a"), (r["b"] + F.col("first")).alias("b")))
+    return judged.unionByName(back.select("key", "seg", shifted.alias("runs")))
 
 
 def covers(docs: DataFrame, length: int = LENGTH, large: int = LARGE) -> DataFrame:
     """tk and l: for each text with repeated windows the packed places of its segments and their runs (null: all windows)."""
     found = occurrences(docs, length)
-    anchors = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("seg").alias("lo"), F.max("seg").alias("hi")).where("n > 1")
-    shared = stored(anchors.select("anchor", (F.col("lo") != F.col("hi")).alias("mixed")), "anchors")
-    flagged = stored(found.join(shared, "anchor"), "segments")
-    mixed = flagged.where("mixed")
-    each = checkpoint(mixed.groupBy("anchor", "seg").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("tk", "at")).alias("one")))
-    sizes = each.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > large)
-    many = checkpoint(sizes.select("anchor"))
-    packed = _packed(docs, [])
-    chosen = each.select("one.tk", "one.at", "anchor", "seg", "n")
-    verdicts = _sharded(_strings(packed, chosen.join(many, "anchor", "left_anti"), length), length)
-    if many.limit(1).count():
-        verdicts = verdicts.unionByName(_counted(_strings(packed, chosen.join(many, "anchor", "left_semi"), length), length))
-    whole = each.where("n > 1").select("anchor", "seg", F.lit(None).cast("array<struct<a:int,b:int>>").alias("runs"))
-    judged = checkpoint(verdicts.join(each.where("n > 1"), ["anchor", "seg"], "left_anti").unionByName(whole))
-    parts = mixed.join(judged, ["anchor", "seg"]).select("tk", "at", "runs")
-    full = flagged.where("not mixed").select("tk", "at", F.lit(None).cast("array<struct<a:int,b:int>>").alias("runs"))
-    return stored(parts.unionByName(full).groupBy("tk").agg(F.collect_set(F.struct("at", "runs")).alias("l")), "covers")
+    shared = stored(found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "keys")
+    # each place of a text once, however many copies the text has
+    places = found.join(shared, "key").repartition("key", "seg", "tk", "at").groupBy("key", "seg", "tk", "at").agg(F.count(F.lit(1)).alias("m"))
+    places = stored(places, "places")
+    place = F.struct("tk", "at", "m")
+    each = stored(places.groupBy("key", "seg").agg(F.sum("m").alias("n"), F.min(place).alias("lo"), F.max(place).alias("hi")), "each")
+    mixed = each.groupBy("key").agg(F.count(F.lit(1)).alias("d")).where("d > 1").select("key")
+    equal = each.where("n > 1")
+    pair = F.xxhash64("lo.tk", F.shiftright("lo.at", _PLACE + STRETCH), "hi.tk", F.lit(1))
+    ask = lambda df, side, grp, role: df.select(f"{side}.tk", f"{side}.at", grp.alias("grp"), F.lit(role).alias("role"), "key", "seg")
+    wanted = ask(each.join(mixed, "key"), "lo", F.col("key"), 0).unionByName(ask(equal, "lo", pair, 1)).unionByName(ask(equal, "hi", pair, 2))
+    judged = verdicts(_strings(_packed(docs, []), wanted, length), length, large)
+    return stored(places.join(judged, ["key", "seg"]).groupBy("tk").agg(F.collect_set(F.struct("at", "runs")).alias("l")), "covers")
 
 
 def removed(raw: bytes, entries, length: int = LENGTH) -> np.ndarray:
@@ -293,7 +343,7 @@ def removed(raw: bytes, entries, length: int = LENGTH) -> np.ndarray:
     depth = np.zeros(len(raw) + 1, np.int64)
     if entries is not None and len(entries):
         at = entries.field(0).to_numpy()
-        mine, start, windows, _ = _unpack(at, text_key(raw)[1])
+        mine, start, windows, _, _ = _unpack(at, text_key(raw)[1])
         runs = entries.field(1)
         whole = runs.is_null().to_numpy(zero_copy_only=False)
         all_ = mine & whole
@@ -311,7 +361,7 @@ def removed(raw: bytes, entries, length: int = LENGTH) -> np.ndarray:
 def _covered(docs: DataFrame, keep: list[str], made: list[tuple[str, str]], each, length: int) -> DataFrame:
     """keep, and what each(raw bytes, removed bytes) gives, for every row of docs."""
     kept = [f"k{i}" for i in range(len(keep))]
-    packed = _packed(docs, keep).toDF(*kept, "tk", "z")
+    packed = _packed(docs, keep)
     joined = packed.join(covers(docs, length), "tk", "left").select(*kept, "z", "l")
     out = T.StructType([T.StructField(c, docs.schema[c].dataType) for c in keep] + [T.StructField(n, T._parse_datatype_string(k)) for n, k in made])
     kinds = to_arrow_schema(out)

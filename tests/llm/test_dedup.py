@@ -171,27 +171,42 @@ def corpus():
 def test_segments_hold_each_window_once():
     raws = [(t or "").encode() for t in corpus()]
     keep = repeats.PIECE
+    before, after = repeats.sides()
     for piece in (keep, 300):
         repeats.PIECE = piece
-        anchor_of, seen = {}, set()
-        for buffer, text, begin, start, windows, anchor, offset in repeats.segments(raws):
-            for t, b, s, n, a, q in zip(*(x.tolist() for x in (text, begin, start, windows, anchor, offset))):
-                assert buffer[b : b + n + 199] == raws[t][s : s + n + 199] and n <= 169
+        key_of, seen, segs = {}, set(), {}
+        for buffer, *columns in repeats.segments(raws):
+            for t, b, s, n, key, q, side, seg in zip(*(x.tolist() for x in columns)):
+                assert buffer[b : b + n + 199] == raws[t][s : s + n + 199] and n <= after
+                assert segs.setdefault(seg, raws[t][s : s + n + 199]) == raws[t][s : s + n + 199]
+                size = repeats.GRAM + (after if side else before)
                 for i in range(n):
-                    assert (t, s + i) not in seen and i <= q <= i + 200 - repeats.GRAM
+                    assert (t, s + i) not in seen and i <= q and q + size <= i + 200
                     seen.add((t, s + i))
-                    assert anchor_of.setdefault(raws[t][s + i : s + i + 200], (a, q - i)) == (a, q - i)
+                    assert key_of.setdefault(raws[t][s + i : s + i + 200], (key, q - i)) == (key, q - i)
         assert seen == {(t, i) for t, r in enumerate(raws) for i in range(len(r) - 199)}
     repeats.PIECE = keep
 
 
+def test_refiled_pieces_hold_each_window_once():
+    rng = random.Random(1)
+    todo = [(0, bytes(rng.randrange(256) for _ in range(284)), 84, 116)]
+    while todo:
+        base, s, o, k = todo.pop()
+        found = repeats._refiled(s, o, k, 200)
+        assert [x for _, first, part, _, _ in found for x in range(first, first + len(part) - 199)] == list(range(len(s) - 199))
+        for _, first, part, at, size in found:
+            assert part == s[first : first + len(part)] and k < size <= 200 and len(part) - 200 <= at and at + size <= 200
+            todo += [(base + first, part, at, size)] if size < 200 else []
+
+
 def test_repeats_equal_brute_force(spark):
     texts = corpus()
     want = list(brute_removal(texts))
-    df = docs(spark, texts)
-    for large in (3000, 2):
+    df = docs(spark, texts).withColumn("tk", F.lit(1))
+    for large in (repeats.LARGE, 2):
         repeats.covers.__defaults__ = (200, large)
-        got = {r.doc_id: r for r in repeats.digests(df, ["doc_id"]).collect()}
+        got = {r.doc_id: r for r in repeats.digests(df, ["doc_id", "tk"]).collect()}
         for i, w in enumerate(want):
             r = got[i]
             assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == w, (large, i)
@@ -199,6 +214,25 @@ def test_repeats_equal_brute_force(spark):
     assert repeats.digests(df.limit(0), ["doc_id"]).count() == 0
 
 
+def test_repeats_of_a_very_long_text_and_many_copies(spark):
+    rng = random.Random(8)
+    long = " ".join(f"{rng.getrandbits(40):x}" for _ in range(30_000))
+    texts = [long, "head " + long[100_000:250_000], *["one passage " + long[:400]] * 300, "y" * 70_000]
+    got = {r.doc_id: r for r in repeats.digests(docs(spark, texts), ["doc_id"]).collect()}
+    for i, w in enumerate(brute_removal(texts)):
+        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == w, i
+    assert got[0].n_removed > 150_000 and got[0].n_spans == 2 and got[2].n_removed == got[2].n_bytes
+
+
+def test_suffix_arrays_give_every_verdict(spark):
+    # without suffix arrays nothing is repeated, whatever the hashes say
+    keep, repeats.repeated = repeats.repeated, lambda parts, length: [np.zeros(max(0, len(p) - length + 1), bool) for p in parts]
+    try:
+        assert repeats.digests(docs(spark, corpus()), ["doc_id"]).where("n_removed > 0").count() == 0
+    finally:
+        repeats.repeated = keep
+
+
 def test_cleaned_keeps_whole_characters(spark):
     shared = "日本語の文章" * 30
     rows = {r.doc_id: r for r in repeats.cleaned(docs(spark, ["é" + shared + "b", "本" + shared, None]), ["doc_id"]).collect()}
