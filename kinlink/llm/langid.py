@@ -2,7 +2,8 @@
 character n-grams, and a Viterbi pass with a penalty for switching labels spans of mixed-language text.
 
 The model is fitted on a bounded sample: about SAMPLE documents a language, chosen by a hash of id and
-text.  Its counts are hashed into BUCKETS numbers a language, so that it is bounded whatever the corpus.
+text.  Its counts are hashed into BUCKETS numbers a language, and a language needs a share of RARE of the documents
+whose language is known, so that the model is bounded whatever the corpus and however dirty its labels.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from kinlink.llm.common import text_pass
 
 #: Expected documents of each language that the model is fitted on.
 SAMPLE = 1_500
+#: The least share of documents of known language that a language must have to be learned: 1,000 languages at most.
+RARE = 0.001
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3, 4)
 SMOOTHING = 0.05
@@ -28,8 +31,9 @@ OWN_SCRIPT = 0.01
 #: Share of a text's letters that makes a language one of its main ones; the text is named after the first of these.
 MAIN = 0.25
 UNKNOWN = "und"
-#: Words of a text that are labelled side by side.
+#: Words of a text that are labelled side by side, and places of such blocks that are held at once.
 BLOCK = 256
+PLACES = 1 << 17
 
 #: First code points of script ranges (Unicode blocks), and the script from there on.
 SCRIPT_RANGES = [
@@ -118,8 +122,8 @@ class Model:
     def labels(self, scored: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The language number of each word on each text's best path.
 
-        Texts are cut into blocks of BLOCK words; each block is solved for every language before it, all blocks
-        side by side; blocks are then joined along their texts, and paths are traced back.
+        Texts are cut into blocks of BLOCK words; blocks of like size are solved side by side, for every language
+        before them, PLACES at a time; blocks are then joined along their texts, and paths are traced back.
         """
         states = len(self.languages)
         n = np.diff(ends)
@@ -131,50 +135,66 @@ class Model:
         count = len(begin)
         if not count:
             return np.zeros(0, np.int64)
-        steps = int(size.max())
-        at = np.minimum(begin[:, None] + np.arange(steps), len(scored) - 1)
-        emit = np.where((np.arange(steps) < size[:, None])[:, :, None], scored[at], 0)
-        value = np.where(np.eye(states, dtype=bool), 0.0, -1e9)[None].repeat(count, axis=0)
-        turned = np.zeros((steps, count, states, states), bool)
-        source = np.zeros((steps, count, states), np.int16)
-        for t in range(steps):
-            source[t] = value.argmax(axis=2)
-            other = np.take_along_axis(value, source[t][:, :, None].astype(np.int64), axis=2) - SWITCH
-            turned[t] = other > value
-            value = np.where(turned[t], other, value) + emit[:, t, None, :]
+        value, solved = np.empty((count, states, states)), []
+        by_size, a = np.argsort(-size, kind="stable"), 0
+        while a < count:
+            here = by_size[a : a + max(1, PLACES // int(size[by_size[a]]))]
+            value[here], turned, source = self._solved(scored, begin[here], size[here])
+            solved.append((here, turned, source))
+            a += len(here)
         # join blocks along texts
         entered = np.zeros((count, states), np.int64)
         last = np.repeat(self.prior[None], len(n), axis=0)
         for k in range(int(blocks.max(initial=0))):
             texts = np.flatnonzero(blocks > k)
-            here = first[texts] + k
-            paths = last[texts][:, :, None] + value[here]
-            entered[here] = paths.argmax(axis=1)
+            at = first[texts] + k
+            paths = last[texts][:, :, None] + value[at]
+            entered[at] = paths.argmax(axis=1)
             last[texts] = paths.max(axis=1)
         leave = last.argmax(axis=1)
         start, stop = np.zeros(count, np.int64), np.zeros(count, np.int64)
         for k in range(int(blocks.max(initial=0)) - 1, -1, -1):
             texts = np.flatnonzero(blocks > k)
-            here = first[texts] + k
-            stop[here] = leave[texts]
-            start[here] = leave[texts] = entered[here, leave[texts]]
-        out, state, row = np.zeros((count, steps), np.int64), stop, np.arange(count)
-        for t in range(steps - 1, -1, -1):
-            out[:, t] = state
-            state = np.where(turned[t, row, start, state], source[t, row, start], state)
-        return out[np.arange(steps) < size[:, None]]
+            at = first[texts] + k
+            stop[at] = leave[texts]
+            start[at] = leave[texts] = entered[at, leave[texts]]
+        out = np.empty(len(scored), np.int64)
+        for here, turned, source in solved:
+            state, row, began, long = stop[here], np.arange(len(here)), start[here], size[here]
+            for t in range(len(turned) - 1, -1, -1):
+                inside = long > t
+                out[begin[here][inside] + t] = state[inside]
+                state = np.where(turned[t, row, began, state], source[t, row, began], state)
+        return out
+
+    def _solved(self, scored: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For blocks of words the best value of each (language before, language at the end), and at each place whether a
+        path changed into a language there, and from which.  Places behind a block's end change nothing."""
+        states, steps, count = len(self.languages), int(size.max()), len(begin)
+        value = np.where(np.eye(states, dtype=bool), 0.0, -1e9)[None].repeat(count, axis=0)
+        turned = np.zeros((steps, count, states, states), bool)
+        source = np.zeros((steps, count, states), np.int16)
+        for t in range(steps):
+            emit = np.where((t < size)[:, None], scored[np.minimum(begin + t, len(scored) - 1)], 0)
+            source[t] = value.argmax(axis=2)
+            other = np.take_along_axis(value, source[t][:, :, None].astype(np.int64), axis=2) - SWITCH
+            turned[t] = other > value
+            value = np.where(turned[t], other, value) + emit[:, None, :]
+        return value, turned, source
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Language and score of each text: of the languages with MAIN of the letters on the best path the one that comes
-        first (without any, that with most letters), and its share of the letters."""
+        first (without any, that with most letters; of equal ones the smaller name), and its share of the letters.
+        Letters of scripts that no learned language has count in the whole, not in the share: 0 where there are no others."""
         words, codes, ends = split(texts)
         if not self.languages:
             return [UNKNOWN] * len(texts), [0.0] * len(texts)
         path = self.labels(self.scores(words)[codes], ends)
         sizes = np.array([len(w) for w in words], np.int64)[codes] if len(codes) else codes
+        known = self.scripts.any(axis=0)[script_of(words)][codes] if len(codes) else codes
         text = np.repeat(np.arange(len(texts)), np.diff(ends))
-        weights = np.bincount(text * len(self.languages) + path, sizes, len(texts) * len(self.languages)).reshape(len(texts), -1)
-        total, best = weights.sum(axis=1), weights.argmax(axis=1)
+        weights = np.bincount(text * len(self.languages) + path, sizes * known, len(texts) * len(self.languages)).reshape(len(texts), -1)
+        total, best = np.bincount(text, sizes, len(texts)), weights.argmax(axis=1)
         main = weights >= MAIN * np.maximum(total, 1)[:, None]
         open_ = np.flatnonzero(main[text, path])
         held, first = np.unique(text[open_], return_index=True)
@@ -195,10 +215,12 @@ class Model:
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """A model of the non-null languages of docs (doc_id, text, lang), from about `sample` documents of each.
 
-    Documents are chosen by a hash of id and text below a share of all hashes, the same on every run.
+    Documents are chosen by a hash of id and text below a share of all hashes, the same on every run: repeated rows are
+    all chosen or none.  Languages below a share of RARE teach nothing; without documents no language is known.
     """
     known = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
-    sizes = sorted((r.lang, r.n) for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect())
+    counted = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sorted((r.lang, r.n) for r in counted.join(F.broadcast(counted.agg(F.sum("n").alias("all"))), F.col("n") >= RARE * F.col("all")).collect())
     if not sizes:
         return Model([], np.zeros(0), np.zeros((0, BUCKETS)), np.zeros((0, len(SCRIPTS))))
     names = [a for a, _ in sizes]
@@ -242,7 +264,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
 def identify(docs: DataFrame, model: Model, keep: list[str], with_spans: bool = False) -> DataFrame:
     """keep, lang_pred and score; with_spans adds spans (language, start, end in characters).
 
-    `und` with score 0 for null texts and texts without a letter, and where no language was learned.
+    `und` with score 0 for null texts and texts without a letter, and where no language was learned.  A text whose
+    letters are all of scripts that no learned language has is named after the likeliest language, with score 0.
+    Repeated rows are told alike, an empty table stays empty, texts of any length are told as a whole (a worker holds some
+    30 bytes a word), and a kept column called like a new one gives way to it.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
