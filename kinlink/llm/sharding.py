@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from kinlink.llm.common import stored
+
 #: Rows that one task numbers at a time; the count of buckets grows with the rows.
 ROWS_A_BUCKET = 20_000
 
@@ -36,32 +38,36 @@ def rendezvous(key: Column, weights: list[float]) -> Column:
 def assign(df: DataFrame, key: str, weights: list[float], grown: list[float] | None = None, order: list[str] | None = None) -> DataFrame:
     """df with shard, slot (gapless from 0 in each shard) and, where `grown` weights are given, grown_shard.
 
-    Slots are numbered in buckets: hash buckets of about ROWS_A_BUCKET rows are counted for each
-    shard, a running sum over those counts (a few numbers for each bucket) gives their first slots, and
-    rows are numbered inside their buckets.  A bucket is
-    chosen by the hash of all `order` columns, so repeated keys spread as far as those columns differ.
-    Rows that agree on all of them share a bucket, and one task numbers them, however many they are.
+    Slots are numbered in hash buckets of about ROWS_A_BUCKET rows, which are counted for each
+    shard; a running sum over those counts (a few numbers for each bucket) gives their first slots, and
+    rows are numbered inside their buckets by `order` (as a rule the key).  A bucket is chosen by the hash of those columns
+    and of a number that each row has of its own, so that repeated keys and rows equal in all columns
+    spread over buckets as other rows do.  The rows are stored once with that number, so that it is the same wherever it is read.
     Defined cases: null keys are one key; repeated rows each get a slot; an empty table stays empty;
-    columns called like the new ones are replaced.
+    columns called like the new ones are replaced, and no other name clashes.
     """
     order = order or [key]
-    rows = df.count()
-    buckets = max(1, -(-rows // (ROWS_A_BUCKET * len(weights))))
-    at = df.withColumns({"shard": rendezvous(F.col(key), weights).cast("int"), "__bucket": F.pmod(F.xxhash64(*[F.col(c) for c in order]), F.lit(buckets)).cast("int")})
+    taken = set(df.columns) | {"shard", "slot", "grown_shard"}
+    salt, bucket, n, first_, in_ = (next(x for i in range(len(taken) + 1) if (x := f"__{c}{i or ''}") not in taken) for c in ("salt", "bucket", "n", "first", "in"))
+    made = {"shard": rendezvous(F.col(f"`{key}`"), weights).cast("int"), salt: F.monotonically_increasing_id()}
     if grown is not None:
-        at = at.withColumn("grown_shard", rendezvous(F.col(key), grown).cast("int"))
-    counts = at.groupBy("shard", "__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy("shard").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.select("shard", "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
-    inside = Window.partitionBy("shard", "__bucket").orderBy(*order)
-    numbered = at.withColumn("__in", F.row_number().over(inside) - 1)
-    return numbered.join(first, ["shard", "__bucket"]).withColumn("slot", (F.col("__first") + F.col("__in")).cast("long")).drop("__bucket", "__first", "__in")
+        made["grown_shard"] = rendezvous(F.col(f"`{key}`"), grown).cast("int")
+    told = stored(df.withColumns(made), "sharded")
+    rows = told.count()
+    buckets = max(1, -(-rows // (ROWS_A_BUCKET * len(weights))))
+    by = [F.col(f"`{c}`") for c in order] + [F.col(salt)]
+    at = told.withColumn(bucket, F.pmod(F.xxhash64(*by), F.lit(buckets)).cast("int"))
+    counts = at.groupBy("shard", bucket).agg(F.count(F.lit(1)).alias(n))
+    before = Window.partitionBy("shard").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select("shard", bucket, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(first_))
+    numbered = at.withColumn(in_, F.row_number().over(Window.partitionBy("shard", bucket).orderBy(*by)) - 1)
+    return numbered.join(first, ["shard", bucket]).withColumn("slot", (F.col(first_) + F.col(in_)).cast("long")).drop(salt, bucket, first_, in_)
 
 
 def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every document, law `key`.
 
-    Null text: size 1 and the crc32 of no bytes.  Null doc_ids share one key.
+    Null text: size 1 and the crc32 of no bytes.  Null doc_ids share one key.  Texts of any length count as a whole.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).cast("long").alias("text_crc32"))
