@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import tempfile
 import uuid
@@ -27,12 +28,15 @@ def bounded_batches(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir, which driver and executors share.
 
-    Where it is unset (tests on one machine) a temporary folder is set as the checkpoint folder.
+    Where it is unset and all runs on one machine (tests) a temporary folder is set as the checkpoint folder;
+    on a cluster that is refused, since each executor would write to a disk of its own.
     """
     set_to = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if set_to is None:
         set_to = spark.sparkContext.getCheckpointDir()
         if set_to is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
             spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="checkpoint-"))
             set_to = spark.sparkContext.getCheckpointDir()
     elif spark.sparkContext.getCheckpointDir() is None:
@@ -46,9 +50,35 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Folders that new_path() named since the outermost scratch() began; None outside of one.
+_SCRATCH: list = [None]
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Deletes the tables that were stored inside it when it ends; what was made from them must be stored elsewhere by then."""
+    kept, _SCRATCH[0] = _SCRATCH[0], []
+    try:
+        yield
+    finally:
+        made, _SCRATCH[0] = _SCRATCH[0], kept
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in made:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A new folder's name below the shared one."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if _SCRATCH[0] is not None:
+        _SCRATCH[0].append(path)
+    return path
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written as zstd Parquet to a new folder below the shared one, and read back."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """df, written as zstd Parquet to a new folder below the shared one, and read back.  It stays there unless a scratch() ends."""
+    path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -79,10 +109,9 @@ def text_pass(df: DataFrame, keep: list[str], text: str, made: list[tuple[str, s
 
     begin() runs once in each Python task and gives a function from a list of texts (str or None) to
     one list of values for each made column.  Rows are passed in steps bounded by bytes.  Only `keep`
-    and `text` leave the scan; made names that clash with kept ones are refused.
+    and `text` leave the scan.  A kept column called like a made one gives way to it.
     """
-    if clash := {n for n, _ in made} & set(keep):
-        raise ValueError(f"made columns clash with kept ones: {sorted(clash)}")
+    keep = [c for c in keep if c not in {n for n, _ in made}]
     bounded_batches(df.sparkSession)
     source = df.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{text}`").cast("string").alias("t"))
     out = T.StructType([T.StructField(c, df.schema[c].dataType) for c in keep] + [T.StructField(n, T._parse_datatype_string(k)) for n, k in made])

@@ -1,9 +1,9 @@
 """Media columns as ISO base media files.
 
 A payload is stored as a track of uncompressed 8-bit grey frames of 24 x 24 pixels, 576 bytes a sample.
-Reading walks the nested boxes, decodes the sample tables (stsd, stts, stsc, stsz, stco or co64, stss) and
-gives codec, duration and the byte ranges of samples and keyframes; sample payloads are never decoded,
-only located.
+Reading walks the nested boxes, decodes the sample tables (stsd, stts, stsc, stsz, stco or co64, stss) and those of
+movie fragments (trex, tfhd, trun), and gives codec, duration and the byte ranges of samples and keyframes; sample
+payloads are never decoded, only located.  Every count is held against the bytes there are before anything is allocated for it.
 """
 
 from __future__ import annotations
@@ -111,39 +111,96 @@ def _table(media, at: int, end: int, width: str, columns: int = 1, skip: int = 4
     return np.frombuffer(media, kind, n * columns, at + skip + 4).astype(np.int64).reshape(n, columns)
 
 
+def _boxes(media, start: int, end: int) -> dict[bytes, tuple[int, int]]:
+    """The first box of each kind below a container."""
+    found: dict[bytes, tuple[int, int]] = {}
+    for path, a, b in walk(media, start, end):
+        found.setdefault(path[-1], (a, b))
+    return found
+
+
 class Track:
-    """Codec, timing and byte ranges of a container's first video or other track with samples."""
-
-    def __init__(self, media: bytes):
-        found: dict[bytes, tuple[int, int]] = {}
-        for path, a, b in walk(media):
-            if path[:2] == (b"moov", b"trak") and path[-1] not in found:
-                found[path[-1]] = (a, b)
-            elif path == (b"moov", b"trak") and b"stsz" in found:
-                break
+    """Codec, timing and byte ranges of one track: the given one, or of a container's tracks the first video one with
+    samples, else the first with samples, else the first."""
+
+    def __init__(self, media: bytes, boxes: dict[bytes, tuple[int, int]] | None = None, fragments: list | None = None):
+        if boxes is None:
+            found = tracks(media)
+            if not found:
+                raise MediaError("no track")
+            best = min(range(len(found)), key=lambda i: (not len(found[i].sizes), found[i].handler != b"vide", i))
+            self.__dict__ = found[best].__dict__
+            return
         try:
-            a, _ = found[b"mdhd"]
-            self.timescale, self.duration = struct.unpack_from(">IQ", media, a + 20) if media[a] == 1 else struct.unpack_from(">II", media, a + 12)
-            self.codec = bytes(media[found[b"stsd"][0] + 12 : found[b"stsd"][0] + 16]).decode("latin-1")
-            a, b = found[b"stsz"]
-            one, n = struct.unpack_from(">II", media, a + 4)
-            sizes = np.full(n, one, np.int64) if one else _table(media, a, b, ">u4", skip=8).ravel()
-            places = (_table(media, *found[b"co64"], ">u8") if b"co64" in found else _table(media, *found[b"stco"], ">u4")).ravel()
-            runs = _table(media, *found[b"stsc"], ">u4", 3)
-            times = _table(media, *found[b"stts"], ">u4", 2)
-            self.keys = _table(media, *found[b"stss"], ">u4").ravel() - 1 if b"stss" in found else np.arange(n)
+            self._read(media, boxes)
+            self._append(media, boxes, fragments or [])
         except (KeyError, struct.error, IndexError) as error:
             raise MediaError(f"no readable sample tables: {error}") from error
-        in_chunk = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0] - 1, len(places)))) if len(runs) else np.zeros(0, np.int64)
-        if in_chunk.sum() != n or times[:, 0].sum() != n or len(in_chunk) != len(places) or ((self.keys < 0) | (self.keys >= n)).any():
+        if len(self.sizes) and (self.starts + self.sizes).max() > len(media):
+            raise MediaError("samples lie behind the end")
+
+    def _read(self, media, found) -> None:
+        a, _ = found[b"mdhd"]
+        self.timescale, self.duration = struct.unpack_from(">IQ", media, a + 20) if media[a] == 1 else struct.unpack_from(">II", media, a + 12)
+        a, b = found.get(b"hdlr", (0, 0))
+        self.handler = bytes(media[a + 8 : a + 12]) if b - a >= 12 else b""
+        a, b = found[b"stsd"]
+        if b - a < 16:
+            raise MediaError("no sample description")
+        self.codec = bytes(media[a + 12 : a + 16]).decode("latin-1")
+        a, b = found[b"stsz"]
+        one, n = struct.unpack_from(">II", media, a + 4)
+        if one and n * one > len(media):
+            raise MediaError("samples lie behind the end")
+        sizes = np.full(n, one, np.int64) if one else _table(media, a, b, ">u4", skip=8).ravel()
+        places = (_table(media, *found[b"co64"], ">u8") if b"co64" in found else _table(media, *found[b"stco"], ">u4")).ravel()
+        runs = _table(media, *found[b"stsc"], ">u4", 3)
+        times = _table(media, *found[b"stts"], ">u4", 2)
+        self.keys = _table(media, *found[b"stss"], ">u4").ravel() - 1 if b"stss" in found else np.arange(n)
+        if ((places < 0) | (places > len(media))).any():
+            raise MediaError("chunks lie behind the end")
+        chunks = np.diff(np.append(runs[:, 0] - 1, len(places))) if len(runs) else np.zeros(0, np.int64)
+        if (len(runs) and runs[0, 0] != 1) or (chunks < 0).any() or (runs[:, 1] > n).any() or (times[:, 0] > n).any():
+            raise MediaError("the sample tables disagree")
+        if (chunks * runs[:, 1]).sum() != n or times[:, 0].sum() != n or chunks.sum() != len(places) or ((self.keys < 0) | (self.keys >= n)).any():
             raise MediaError("the sample tables disagree")
+        in_chunk = np.repeat(runs[:, 1], chunks)
         before = np.concatenate(([0], np.cumsum(sizes)))
         first = np.concatenate(([0], np.cumsum(in_chunk)))[:-1]
         self.chunks = np.stack([places, before[first + in_chunk] - before[first]], axis=1) if n else np.zeros((0, 2), np.int64)
         self.starts = np.repeat(places, in_chunk) + before[:-1] - np.repeat(before[first], in_chunk) if n else np.zeros(0, np.int64)
         self.sizes = sizes
-        if n and (self.starts + sizes).max() > len(media):
-            raise MediaError("samples lie behind the end")
+
+    def _append(self, media, boxes, fragments) -> None:
+        """Adds the samples of movie fragments: (track's number, defaults, data's base, tfhd and its truns)."""
+        a, _ = boxes.get(b"tkhd", (0, 0))
+        own = struct.unpack_from(">I", media, a + (20 if media[a] == 1 else 12))[0] if a else 0
+        for number, (duration, size, flags), base, runs in fragments:
+            if number != own:
+                continue
+            at = base
+            for start, end in runs:
+                given = int.from_bytes(media[start + 1 : start + 4], "big")
+                (n,) = struct.unpack_from(">I", media, start + 4)
+                place, first = start + 8, None
+                if given & 1:
+                    at, place = base + struct.unpack_from(">i", media, place)[0], place + 4
+                if given & 4:
+                    (first,), place = struct.unpack_from(">I", media, place), place + 4
+                columns = [bit for bit in (0x100, 0x200, 0x400, 0x800) if given & bit]
+                if n > len(media) or place + 4 * n * len(columns) > end or at < 0:
+                    raise MediaError("a fragment's table is cut off")
+                table = np.frombuffer(media, ">u4", n * len(columns), place).astype(np.int64).reshape(n, len(columns))
+                told = {bit: table[:, i] for i, bit in enumerate(columns)}
+                sizes, marks = told.get(0x200, np.full(n, size, np.int64)), told.get(0x400, np.full(n, flags, np.int64)).copy()
+                if n and first is not None:
+                    marks[0] = first
+                self.duration += int(told.get(0x100, np.full(n, duration, np.int64)).sum())
+                self.keys = np.concatenate([self.keys, len(self.sizes) + np.flatnonzero(marks & 0x10000 == 0)])
+                self.starts = np.concatenate([self.starts, at + np.cumsum(sizes) - sizes])
+                self.sizes = np.concatenate([self.sizes, sizes])
+                self.chunks = np.concatenate([self.chunks, [[at, int(sizes.sum())]]])
+                at += int(sizes.sum())
 
     def keyframes(self) -> list[tuple[int, int]]:
         return list(zip(self.starts[self.keys].tolist(), self.sizes[self.keys].tolist()))
@@ -157,8 +214,49 @@ class Track:
         return f"{self.codec}|{self.duration / self.timescale:.2f}s|{len(self.sizes)}|{len(self.keys)}|{zlib.crc32(ranges.encode()):08x}"
 
 
+def tracks(media: bytes) -> list[Track]:
+    """All tracks of a container, samples of movie fragments included."""
+    found, defaults, fragments, own = [], {}, [], 0
+    for path, a, b in walk(media):
+        if path == (b"moov", b"trak"):
+            found.append(_boxes(media, a, b))
+        elif path == (b"moov", b"mvex", b"trex") and b - a >= 24:
+            number, _, *rest = struct.unpack_from(">IIIII", media, a + 4)
+            defaults[number] = rest
+        elif path == (b"moof",):
+            own = a - (8 if media[a - 4 : a] == b"moof" else 16)
+        elif path == (b"moof", b"traf"):
+            fragments.append(_fragment(media, a, b, own, defaults))
+    return [Track(media, f, fragments) for f in found]
+
+
+def _fragment(media, start: int, end: int, moof: int, defaults: dict) -> tuple:
+    """The track's number, its defaults (duration, size, flags), where its data's offsets begin, and the places of its truns."""
+    number, told, base, runs = -1, (0, 0, 0), moof, []
+    try:
+        for path, a, b in walk(media, start, end):
+            if path == (b"tfhd",):
+                given = int.from_bytes(media[a + 1 : a + 4], "big")
+                (number,) = struct.unpack_from(">I", media, a + 4)
+                told, place = list(defaults.get(number, (0, 0, 0))), a + 8
+                if given & 1:
+                    (base,), place = struct.unpack_from(">Q", media, place), place + 8
+                place += 4 if given & 2 else 0
+                for i, bit in enumerate((8, 16, 32)):
+                    if given & bit:
+                        (told[i],), place = struct.unpack_from(">I", media, place), place + 4
+            elif path == (b"trun",):
+                runs.append((a, b))
+    except struct.error as error:
+        raise MediaError(f"a fragment's header is cut off: {error}") from error
+    return number, told, min(base, len(media)), runs
+
+
 def store_texts(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """keep, n_bytes and media: each text's UTF-8 bytes as a container, written to the shared folder and read back.  Null: empty."""
+    """keep, n_bytes and media: each text's UTF-8 bytes as a container, written to the shared folder and read back.
+
+    Null and empty texts are one sample of padding; equal texts give equal bytes; a text of any length is stored whole.
+    """
 
     def begin():
         def apply(texts):
@@ -174,6 +272,7 @@ def _media_pass(df: DataFrame, keep: list[str], column: str, made: list[tuple[st
     from pyspark.sql import types as T
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    keep = [c for c in keep if c not in {n for n, _ in made}]
     out = T.StructType([T.StructField(c, df.schema[c].dataType) for c in keep] + [T.StructField(n, T._parse_datatype_string(k)) for n, k in made])
     kinds = to_arrow_schema(out)
 
@@ -193,7 +292,8 @@ def _media_pass(df: DataFrame, keep: list[str], column: str, made: list[tuple[st
 def probe(df: DataFrame, keep: list[str], column: str = "media") -> DataFrame:
     """keep, codec, seconds, samples, keyframes (byte ranges) and error of a column of containers.
 
-    Null or unreadable bytes: error says why, the other columns are null.
+    Of several tracks see Track.  Null or unreadable bytes: error says why, the other columns are null.  Repeated rows are
+    read alike, an empty table stays empty; a kept column called like a new one gives way to it.
     """
 
     def each(media):
