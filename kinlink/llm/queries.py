@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinlink.llm import bpe, decontaminate, langid, media, quality, repeats, sharding, simhash, tokens, urls
-from kinlink.llm.common import held_out
+from kinlink.llm.common import held_out, new_path
 from kinlink.llm.oracles import ORACLES
 
 
@@ -35,7 +35,7 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
         described = f.read()
-    path = tokens.new_path(spark)
+    path = new_path(spark, "tokens")
     tokens.write(_table(spark, sf_dir, "documents"), described, path)
     return tokens.digests(spark, path)
 

@@ -12,9 +12,9 @@ counts, the control bytes and the data bytes.  A file needs the table of ranks,
 
 from __future__ import annotations
 
+import json
 import os
 import re
-import uuid
 import zlib
 
 import numpy as np
@@ -23,13 +23,25 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinlink.llm.common import BATCH_BYTES, bounded_batches, shared_dir, steps, stored
+from kinlink.llm.common import BATCH_BYTES, bounded_batches, new_path, steps, stored
 
 END = 1
 #: Ids after which a block ends; a document is never cut.
 BLOCK = 1 << 18
-#: Distinct words that a worker remembers.
-REMEMBERED = 1_000_000
+#: Bytes of distinct words that a worker remembers, and what each takes beside its characters.
+REMEMBERED, ENTRY = 128 << 20, 120
+
+#: Normaliser and pattern of descriptions whose words may be encoded one by one.
+BY_WORDS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
 
 _PLAIN = re.compile("[a-zß-öø-ÿ]+").fullmatch
 
@@ -60,13 +72,25 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
+def by_words(described: str) -> bool:
+    """Whether a tokenizer's description lets words be encoded one by one: BY_WORDS, and a BPE model without dropout or prefixes."""
+    d = json.loads(described)
+    model = d["model"]
+    return {k: d.get(k) for k in BY_WORDS} == BY_WORDS and model.get("type", "BPE") == "BPE" and not model.get("dropout") and not model.get("continuing_subword_prefix") and not d.get("truncation") and not d.get("padding")
+
+
+def _taken(words: list[str]) -> int:
+    return sum(map(len, words)) + ENTRY * len(words)
+
+
 class WordEncoder:
-    """Ids of texts by the tokenizers library, each distinct word encoded once while remembered.
+    """Ids of texts by the tokenizers library, as it encodes whole texts; each distinct word is encoded once while remembered.
 
-    The library's normaliser and pattern treat white-space-separated words apart, and a mark after a
+    A normaliser and pattern as in BY_WORDS treat white-space-separated words apart, and a mark after a
     letter of Latin-1 always begins a new piece, so a text's ids are its words' ids in turn.  Only lower-casing of
     A-Z is done before; everything else is the library's.  Words of Latin-1 letters are one piece each, so
-    that many are encoded as one text and cut behind the ids that end a word.
+    that many are encoded as one text and cut behind the ids that end a word.  Texts that hold the string of an added
+    token, whatever the case, and all texts under another description go to the library whole and unchanged.
     """
 
     def __init__(self, described: str):
@@ -74,7 +98,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(described)
-        self.tokenizer.encode_special_tokens = True
+        self.by_words = by_words(described)
         vocabulary = self.tokenizer.get_vocab()
         size = max(vocabulary.values()) + 1
         self.wide = np.dtype("<u2" if size <= 1 << 16 else "<u4")
@@ -82,7 +106,14 @@ class WordEncoder:
         self.last = np.zeros(size, bool)
         if suffix:
             self.last[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+        added = [t["content"].lower() for t in json.loads(described).get("added_tokens") or []]
+        # characters that only some take for white space, and added tokens: such texts stay whole
+        self.odd = "|".join(["[\x1c-\x1f]", *map(re.escape, added)])
         self.known: dict[str, bytes] = {}
+        self.held = 0
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.wide).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, new: list[str]) -> None:
         plain = list(filter(_PLAIN, new)) if self.last.any() else []
@@ -95,24 +126,29 @@ class WordEncoder:
                 self.known.update(zip(part, map(raw.__getitem__, map(slice, [0, *ends[:-1].tolist()], ends.tolist()))))
         rest = [w for w in new if w not in self.known]
         for a in range(0, len(rest), 20_000):
-            part = rest[a : a + 20_000]
-            self.known.update((w, np.array(e.ids, self.wide).tobytes()) for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)))
+            self.known.update(zip(rest[a : a + 20_000], self.whole(rest[a : a + 20_000])))
+        self.held += _taken(new)
 
     def encoded(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, pa.Buffer]:
         """Where each text's ids begin (and the last end), in bytes, and the ids' bytes; `end` follows each text."""
-        texts = pc.ascii_lower(texts.fill_null(""))
-        odd = pc.match_substring_regex(texts, "[\x1c-\x1f]")
-        lists = pc.utf8_split_whitespace(pc.replace_substring_regex(texts, r"([a-zÀ-ÖØ-öø-ÿ])([.,;:!?]+)", r"\1 \2"))
-        if pc.any(odd).as_py():  # characters that only some take for white space: such texts stay whole
-            lists = pa.array([[t] if o else x for t, o, x in zip(texts.to_pylist(), odd.to_pylist(), lists.to_pylist())], pa.list_(pa.string()))
+        texts = texts.fill_null("")
+        lower = pc.ascii_lower(texts)
+        odd = pc.match_substring_regex(lower, self.odd) if self.by_words else pa.array([True] * len(texts), pa.bool_())
+        lists = pc.utf8_split_whitespace(pc.replace_substring_regex(lower, r"([a-zÀ-ÖØ-öø-ÿ])([.,;:!?]+)", r"\1 \2"))
+        whole: dict[str, bytes] = {}
+        if pc.any(odd).as_py():
+            own = texts.filter(odd).unique().to_pylist()
+            # no word holds a space: such keys meet none
+            whole = {f" {t}": w for t, w in zip(own, self.whole(own))}
+            lists = pa.array([[f" {t}"] if o else x for t, o, x in zip(texts.to_pylist(), odd.to_pylist(), lists.to_pylist())], pa.list_(pa.string()))
         flat = lists.flatten().dictionary_encode()
         words = flat.dictionary.to_pylist()
-        if new := [w for w in words if w not in self.known]:
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known = {}
-                new = words
+        if new := [w for w in words if w not in self.known and w not in whole]:
+            if self.held + _taken(new) > REMEMBERED:
+                self.known, self.held = {}, 0
+                new = [w for w in words if w not in whole]
             self.learn(new)
-        ids = list(map(self.known.__getitem__, words))
+        ids = [whole[w] if w in whole else self.known[w] for w in words] if whole else list(map(self.known.__getitem__, words))
         rows = lists.offsets.to_numpy().astype(np.int64)
         rows = rows - rows[0]
         codes = flat.indices.to_numpy()
@@ -141,7 +177,11 @@ def encoder_of(described: str) -> WordEncoder:
 
 
 def encode(docs: DataFrame, tokenizer_json: str, end: int = END) -> DataFrame:
-    """doc_id and ids (16 bits each where the vocabulary fits, else 32, the end id last) of every document.  Null text: the end id alone."""
+    """doc_id and ids (16 bits each where the vocabulary fits, else 32, the end id last) of every document.
+
+    Null or empty text: the end id alone.  Strings of added tokens in a text become those tokens, as in the library.
+    Repeated rows each get their ids; a text of any length is encoded as a whole.
+    """
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
     kind = dict(docs.dtypes)["doc_id"]
@@ -266,7 +306,3 @@ def _decoded(spark, path: str, made: list[tuple[str, str]], each) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids, kinds[0].type), pa.array(ends - n + before + first[part])] + [pa.array([r[i] for r in rows], kinds[2 + i].type) for i in range(len(made))], schema=kinds)
 
     return blocks.select("part", "before", "doc_ids", "counts", "control", "data").mapInArrow(work, out)
-
-
-def new_path(spark) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"

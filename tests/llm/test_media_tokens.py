@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from kinlink.llm import media, queries, tokens
+from kinlink.llm.common import new_path
 from tests.llm.test_text_ops import ODD, docs
 
 
@@ -59,22 +60,32 @@ def test_packing_round_trip(ranks):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.text(alphabet="aB.,!éÉ́İ1 \n\x1c\x85'sßΣ日%<>|", max_size=20))
+@given(st.lists(st.one_of(st.text(alphabet="aB.,!éÉ́İ1 \n\x1c\x85'sßΣ日%<>|", max_size=20), st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|endoftext", "|>"])), max_size=4).map("".join))
 def test_word_encoder_equals_whole_texts(text):
     described = open(P.path("word_bpe_49k.json"), encoding="utf-8").read()
     encoder = tokens.encoder_of(described)
+    assert encoder.by_words
     ids, counts = encoder.encode(pa.array([text, None, text]))
-    want = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    want = Tokenizer.from_str(described).encode(text, add_special_tokens=False).ids if "<|" in text else encoder.tokenizer.encode(text, add_special_tokens=False).ids
     assert ids.tolist() == want + want and counts.tolist() == [len(want), 0, len(want)]
 
 
+def test_other_tokenizers_encode_whole_texts():
+    described = open(P.path("byte_bpe_50k.json"), encoding="utf-8").read()
+    encoder, library = tokens.WordEncoder(described), Tokenizer.from_str(described)
+    assert not encoder.by_words
+    texts = ["Two  words\n\nand <|endoftext|> more", "", "don't"]
+    ids, counts = encoder.encode(pa.array(texts))
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert ids.tolist() == sum(want, []) and counts.tolist() == list(map(len, want))
+
+
 def test_token_files(spark):
     described = open(P.path("word_bpe_49k.json"), encoding="utf-8").read()
     library = Tokenizer.from_str(described)
-    library.encode_special_tokens = True
     texts = ODD + ["hot text"] * 30 + ["<|endoftext|> a"]
     ids = [5, 3, 9, None, 1, 0, 2, 4, 7, 8] + [6] * 30 + [11]
-    path = tokens.new_path(spark)
+    path = new_path(spark, "tokens")
     tokens.write(docs(spark, texts, ids).withColumn("ids", F.lit(1)), described, path, block_ids=40)
     rows = tokens.read(spark, path).toPandas().sort_values("start")
     assert rows.doc_id.fillna(-1).tolist() == sorted(-1 if i is None else i for i in ids)
@@ -84,7 +95,7 @@ def test_token_files(spark):
         assert list(r.ids) == want[None if r.doc_id != r.doc_id else int(r.doc_id)]
     first = tokens.digests(spark, path).where("doc_id = 11").head()
     assert first.ids_crc32 == zlib.crc32(np.array(want[11], "<u4").tobytes()) and first.n_tokens == len(want[11])
-    empty = tokens.new_path(spark)
+    empty = new_path(spark, "tokens")
     tokens.write(docs(spark, []), described, empty)
     assert tokens.digests(spark, empty).count() == 0
 
