@@ -11,8 +11,11 @@ A posting list longer than LISTED would give a square of pairs.  Its members are
 each posts itself and its 64 one-bit neighbours, and members that share a post are within two bits of
 each other, and the other way round; each post links its members to their smallest one.
 
-Similarity search (keep_one) posts bands of least hashes of the five-word shingle sets, and holds each
-pair against those sets; see linked().
+Similarity search (keep_one) indexes positions of another signature, the least hashes of the five-word shingle sets: it posts
+combinations of eight positions, tallies the shared positional bytes of each pair that meets, drops pairs below the
+minimum, and verifies the rest by their sets; see linked().
+
+Texts of any length count as a whole; a worker holds some 30 bytes for each word of the text at hand.
 """
 
 from __future__ import annotations
@@ -150,8 +153,9 @@ def classes(fps: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, key: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
     """key, fp and component_id (the smallest key reachable over links, itself included) of every row.
 
-    Equal fingerprints, zero ones included, are one class.  Repeated rows each get a row; null keys are
-    never a component_id unless a component has no other.  An empty table stays empty.
+    Equal fingerprints, zero ones included, are one class.  Null and empty texts have fingerprint zero.  Repeated rows each get a row; null keys are
+    never a component_id unless a component has no other.  An empty table stays empty, a text of any length counts as a whole,
+    and other columns of docs, whatever their names, play no part.
     """
     rows = checkpoint(fingerprints(docs, [key], shingle))
     first = rows.groupBy("fp").agg(F.min(key).alias("first"))
@@ -164,9 +168,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", shingle: int = SHINGLE
 #: Similarity search: words of a shingle, bands of a set's signature and least hashes in a band.  Two sets of similarity 0.8
 #: agree in no band with a chance of (1 - 0.8 ** 8) ** 48, about 1 in 6,800.
 WORDS, BANDS, ROWS = 5, 48, 8
-#: Least hashes of which a sketch has four bits each, 16 in a long, and how many of them may differ: of two sets of
-#: similarity 0.8 24 differ with a deviation of 4.4, so that more do with a chance under one in a million.
-SKETCHED, DIFFERING = 128, 48
+#: Positional bytes of a sketch, eight in a long, each from one of the least hashes, and how many a pair must share: two sets of
+#: similarity 0.8 share 102 with a deviation of 4.5, and so fewer than this with a chance under one in a million.
+SKETCHED, SHARED = 128, 80
 #: The least Jaccard similarity of two documents' shingle sets, as a fraction.
 ALIKE = (4, 5)
 #: Members of a band's list that are paired at once; longer lists are linked through one member first, see linked().
@@ -195,9 +199,9 @@ def _signature(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for row in wide.reshape(BANDS, ROWS).T:
         bands = (bands ^ row) * np.uint64(0x9E3779B97F4A7C15)
         bands ^= bands >> np.uint64(29)
-    # the low bits of a product are those of few bits of its factors: four bits of another product
-    bits = wide[:SKETCHED] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(60)
-    return bands, np.bitwise_or.reduce(bits.reshape(-1, 16) << np.arange(0, 64, 4, dtype=np.uint64), axis=1)
+    # the low bits of a product are those of few bits of its factors: the high byte of another product
+    high = wide[:SKETCHED] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(56)
+    return bands, np.bitwise_or.reduce(high.reshape(-1, 8) << np.arange(0, 64, 8, dtype=np.uint64), axis=1)
 
 
 def nodes(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -212,16 +216,18 @@ def nodes(docs: DataFrame, keep: list[str]) -> DataFrame:
     return text_pass(docs, keep, "text", made, lambda: lambda texts: list(zip(*map(told, texts))) or [[]] * 3)
 
 
-def likely(pairs: DataFrame, first: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes of first (node, sketch) whose sketches differ in DIFFERING places at most."""
+def tallied(pairs: DataFrame, first: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes of first (node, sketch) whose sketches share SHARED positional bytes at least."""
     side = lambda k: first.select(F.col("node").alias(k), F.col("sketch").alias(f"{k}k"))
 
     def differing(i: int) -> Column:
         x = F.col("ak")[i].bitwiseXOR(F.col("bk")[i])
-        return F.bit_count(reduce(Column.bitwiseOR, [F.shiftrightunsigned(x, k) for k in range(4)]).bitwiseAND(F.lit(0x1111111111111111)))
+        for k in (4, 2, 1):  # the lowest bit of each byte that is not zero
+            x = x.bitwiseOR(F.shiftrightunsigned(x, k))
+        return F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
 
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.where(sum((differing(i) for i in range(SKETCHED // 16)), F.lit(0)) <= DIFFERING).select("a", "b")
+    return both.where(sum((differing(i) for i in range(SKETCHED // 8)), F.lit(0)) <= SKETCHED - SHARED).select("a", "b")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -236,17 +242,17 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _held_sets(own: DataFrame, first: DataFrame, pairs: DataFrame) -> DataFrame:
-    """node and shingles of the nodes in pairs, read again from the text of each node's first row."""
+    """node and shingles of the nodes in pairs, read again from the text of each node's first row (own: id, row, text)."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    at = first.join(wanted, "node").select("node", F.col("first.doc_id").alias("__id"), F.col("first.row").alias("__row"))
-    texts = own.select("doc_id", "__row", "text").join(at, "__row").where(F.col("doc_id").eqNullSafe(F.col("__id"))).select("node", "text")
+    at = first.join(wanted, "node").select("node", F.col("first.id").alias("other"), F.col("first.row").alias("row"))
+    texts = own.select("id", "row", "text").join(at, "row").where(F.col("id").eqNullSafe(F.col("other"))).select("node", "text")
     return stored(shingle_sets(texts, ["node"]).groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
 
 
 def linked(own: DataFrame, first: DataFrame) -> DataFrame:
     """Links (a, b) between nodes of first (node, bands, sketch, first): enough to give the components of the similar nodes that share bands.
 
-    Nodes that share a band are in its list.  All pairs of a list of up to PAIRED members are held against
+    Nodes that share a band are in its list.  All pairs of a list of up to PAIRED members that share enough positional bytes are held against
     their sets.  Members of a longer one are first held against its smallest; where that leaves more than one component in
     the list, all its members of different components that share another such list too are held against each
     other, however many they are.  Two similar nodes are passed over only where they share no band, or a single one of a
@@ -259,7 +265,7 @@ def linked(own: DataFrame, first: DataFrame) -> DataFrame:
     few, many = met.where(F.col("n") <= PAIRED), met.where(F.col("n") > PAIRED)
     pair = few.select("key", F.col("node").alias("a")).join(few.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b")
     star = many.where("least <> node").select(F.col("least").alias("a"), F.col("node").alias("b"))
-    pairs = stored(pair.unionByName(star).distinct(), "pairs")
+    pairs = stored(tallied(pair.unionByName(star).distinct(), first), "pairs")
     sets = _held_sets(own, first, pairs)
     near = checkpoint(verified(pairs, sets))
     rooted = many.select("key", "node").join(components(near), "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -275,7 +281,7 @@ def linked(own: DataFrame, first: DataFrame) -> DataFrame:
     groups = stored(groups.join(open_, "key"), "groups")
     side = lambda k: groups.select("key", F.col("root").alias(f"{k}r"), F.col("nodes").alias(f"{k}s"))
     across = side("a").join(side("b"), "key").where("ar < br").select(F.explode("as").alias("a"), "bs").select("a", F.explode("bs").alias("b"))
-    rest = stored(likely(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), first), "rest")
+    rest = stored(tallied(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), first), "rest")
     return near.unionByName(verified(rest, sets))
 
 
@@ -284,14 +290,16 @@ def keep_one(docs: DataFrame) -> DataFrame:
     similarity of 0.8 at least): that of the smallest doc_id (null ones last), then of the smallest row hash.
 
     Bands only propose pairs; each is held against its shingle sets before it links anything.
+    A text without five words has the set of its whole sequence, one without words the empty set; null counts as empty.
+    Repeated rows leave one; an empty table stays empty; no column's name clashes.
     """
-    columns = docs.columns
-    own = docs.withColumn("__row", F.xxhash64(*[F.col(f"`{c}`") for c in columns]))
-    rows = checkpoint(nodes(own, ["doc_id", "__row"]))
-    order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc_id"), F.col("__row").alias("row"))
+    cells = [F.col(f"`{c}`") for c in docs.columns]
+    own = docs.select(F.struct(*cells).alias("rest"), F.col("doc_id").alias("id"), F.col("text"), F.xxhash64(*cells).alias("row"))
+    rows = checkpoint(nodes(own, ["id", "row"]))
+    order = F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("row").alias("row"))
     first = checkpoint(rows.groupBy("node").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.min(order).alias("first")))
     rooted = first.select("node", "first").join(components(linked(own, first)), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    kept = checkpoint(rooted.groupBy("root").agg(F.min("first").alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.row").alias("__row")).distinct())
-    out = own.join(kept, ["__row"]).where(F.col("doc_id").eqNullSafe(F.col("__id")))
-    ties = rows.groupBy("doc_id", "__row").count().where("count > 1").limit(1).count()
-    return (out.dropDuplicates(["__row", "__id"]) if ties else out).select(*[F.col(f"`{c}`") for c in columns])
+    kept = checkpoint(rooted.groupBy("root").agg(F.min("first").alias("k")).select(F.col("k.id").alias("other"), F.col("k.row").alias("row")).distinct())
+    out = own.join(kept, "row").where(F.col("id").eqNullSafe(F.col("other")))
+    ties = rows.groupBy("id", "row").count().where("count > 1").limit(1).count()
+    return (out.dropDuplicates(["row", "id"]) if ties else out).select("rest.*")

@@ -74,15 +74,16 @@ def test_links_and_components_of_fingerprints(spark):
 def test_near_duplicates(spark):
     base = " ".join(f"word{i}" for i in range(300))
     texts = [base, base + " x", None, "", base.upper(), "other text of its own kind", base]
-    df = docs(spark, texts, [5, 6, 9, 8, 7, 10, None]).withColumn("fp", F.lit("clash"))
+    df = docs(spark, texts, [5, 6, 9, 8, 7, 10, None]).withColumns({c: F.lit("clash") for c in ("fp", "row", "__row", "root", "component_id")})
     rows = simhash.near_duplicates(df).collect()
     fps = [brute_fingerprint(t) for t in texts]
     got = {(r.doc_id, r.fp) for r in rows}
     assert got == {(i, signed(f)) for i, f in zip([5, 6, 9, 8, 7, 10, None], fps)}
     comp = {r.doc_id: r.component_id for r in rows}
     assert comp[9] == comp[8] == 8 and comp[7] == comp[5] == comp[None] == 5 and comp[10] == 10
-    kept = simhash.keep_one(docs(spark, texts + [base], [5, 6, 9, 8, 7, 10, None, 5])).collect()
-    assert sorted(r.doc_id for r in kept).count(5) == 1 and 7 not in {r.doc_id for r in kept}
+    named = docs(spark, texts + [base], [5, 6, 9, 8, 7, 10, None, 5]).withColumns({c: F.lit("clash") for c in ("row", "__row", "node")})
+    kept = simhash.keep_one(named).collect()
+    assert [(r.doc_id, r.row, r["__row"]) for r in kept].count((5, "clash", "clash")) == 1 and 7 not in {r.doc_id for r in kept}
     assert simhash.near_duplicates(df.limit(0)).count() == 0 and simhash.keep_one(docs(spark, [])).count() == 0
 
 
@@ -118,7 +119,7 @@ def test_keep_one_of_long_lists(spark):
     # one list holds all members, whose least is similar to its own partner only
     sets = [[1000 * (k // 2) + i for i in range(90)] + [10**6 + k] for k in range(80)]
     texts = docs(spark, [""] * 80)
-    first = spark.createDataFrame([(k, [7, 8, 100 + k], [0] * 8) for k in range(80)], "node long, bands array<long>, sketch array<long>")
+    first = spark.createDataFrame([(k, [7, 8, 100 + k], [0] * 16) for k in range(80)], "node long, bands array<long>, sketch array<long>")
     held = spark.createDataFrame(list(enumerate(sets)), "node long, shingles array<long>")
     keep, simhash._held_sets = simhash._held_sets, lambda *_: held
     try:
