@@ -1,7 +1,8 @@
 """Candidate generation: TF-IDF posting lists, top-k similarity joins, channel unions and a key channel.
 
-Posting tables have (grp, id, f, w); grp keeps groups such as countries apart.  Joins are equi-joins on
-(grp, f), summed by a partial aggregate; ranks are exact, with the id as tie-break.
+Posting tables have (grp, id, f, w) and, where the records had it, src (1 for entities); grp keeps groups such as
+countries apart.  Joins are equi-joins of two shuffles on (grp, f), so that a feature of very many records can be split, summed by
+a partial aggregate; ranks are exact, with the id as tie-break.
 """
 
 from __future__ import annotations
@@ -30,35 +31,48 @@ def word_grams(text: Column) -> Column:
 def normalised(postings: DataFrame) -> DataFrame:
     """Weights divided by their document's Euclidean norm; one shuffle by document, whose features are its window."""
     square = F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("grp", "id"))
-    return postings.withColumn("__s", square).where("__s > 0").select("grp", "id", "f", (F.col("w") / F.sqrt("__s")).alias("w"))
+    return postings.withColumn("__s", square).where("__s > 0").withColumn("w", F.col("w") / F.sqrt("__s")).drop("__s")
 
 
 def postings(records: DataFrame, features: Column, min_df: int = 1) -> DataFrame:
-    """Sublinear TF-IDF postings of records (grp, id), fitted for each group: (1 + ln tf)(ln((1 + N) / (1 + df)) + 1), norm 1."""
-    tf = records.select("grp", "id", F.explode(features).alias("f")).groupBy("grp", "id", "f").agg(F.count(F.lit(1)).alias("tf"))
+    """Sublinear TF-IDF postings of records (grp, id and src if they have it), fitted for each group: (1 + ln tf)(ln((1 + N) / (1 + df)) + 1), norm 1."""
+    key = ["grp", "id", *[c for c in records.columns if c == "src"]]
+    tf = records.select(*key, F.explode(features).alias("f")).groupBy(*key, "f").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("grp", "f").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_df)
     n = records.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
     weight = (1 + F.ln("tf")) * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1)
-    return normalised(tf.join(df.join(n, "grp"), ["grp", "f"]).select("grp", "id", "f", weight.alias("w")))
+    return normalised(tf.join(df.join(n, "grp"), ["grp", "f"]).select(*key, "f", weight.alias("w")))
 
 
-def capped(entities: DataFrame, records: DataFrame, cap: int) -> tuple[DataFrame, DataFrame]:
-    """Both posting tables without the features that more than `cap` entities have, normalised again."""
-    kept = entities.groupBy("grp", "f").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= cap).select("grp", "f")
-    return normalised(entities.join(kept, ["grp", "f"])), normalised(records.join(kept, ["grp", "f"]))
+def entities(postings: DataFrame) -> DataFrame:
+    return postings.where("src = 1").drop("src")
+
+
+def others(postings: DataFrame) -> DataFrame:
+    return postings.where("src > 1").drop("src")
+
+
+def capped(postings: DataFrame, cap: int, counted: DataFrame | None = None) -> DataFrame:
+    """Postings without the features that more than `cap` of the counted postings (entities, if not given) have, normalised again.
+
+    Features that no entity has stay, as they belong to their records' norms.
+    """
+    seen = entities(postings) if counted is None else counted
+    over = seen.groupBy("grp", "f").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cap).select("grp", "f")
+    return normalised(postings.join(over, ["grp", "f"], "left_anti"))
 
 
 def combined(names: DataFrame, addresses: DataFrame, name_weight: float = 0.6) -> DataFrame:
     """One vector of both: names times their weight beside addresses, normalised."""
-    tag = lambda df, t, k: df.select("grp", "id", F.concat(F.lit(t), F.col("f")).alias("f"), (F.col("w") * k).alias("w"))
+    tag = lambda df, t, k: df.withColumns({"f": F.concat(F.lit(t), F.col("f")), "w": F.col("w") * k})
     return normalised(tag(names, "n:", name_weight).unionByName(tag(addresses, "a:", 1.0)))
 
 
 def cosines(left: DataFrame, right: DataFrame, same: bool = False) -> DataFrame:
-    """(grp, j, i1, cos) of every pair with a common feature; same drops pairs of one id."""
+    """(grp, j, i1, cos) of every pair with a common feature; same: of one table with itself, each pair once with j < i1."""
     pairs = left.select("grp", F.col("id").alias("j"), "f", F.col("w").alias("wj")).join(right.select("grp", F.col("id").alias("i1"), "f", F.col("w").alias("wi")), ["grp", "f"])
     if same:
-        pairs = pairs.where("j <> i1")
+        pairs = pairs.where("j < i1")
     return pairs.groupBy("grp", "j", "i1").agg(F.round(F.sum(F.col("wj") * F.col("wi")), DIGITS).alias("cos"))
 
 
@@ -112,12 +126,12 @@ def new_pairs(found: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def idf_sets(records: DataFrame, tokens: Column) -> DataFrame:
-    """(id, t, idf): the distinct tokens of each record with ln((N + 1) / (df + 1)) + 1 over all of them."""
-    rows = records.select("id", F.explode(F.array_distinct(tokens)).alias("t")).where("t <> ''")
-    df = rows.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
-    n = records.agg(F.count(F.lit(1))).scalar()
-    idf = df.select("t", (F.ln((n + 1) / (F.col("df") + 1)) + 1).alias("idf"))
-    return rows.join(idf, "t").select("id", "t", "idf")
+    """(id, t, idf): the distinct tokens of each record (grp, id) with ln((N + 1) / (df + 1)) + 1 over its group."""
+    rows = records.select("grp", "id", F.explode(F.array_distinct(tokens)).alias("t")).where("t <> ''")
+    df = rows.groupBy("grp", "t").agg(F.count(F.lit(1)).alias("df"))
+    n = records.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
+    idf = df.join(n, "grp").select("grp", "t", (F.ln((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    return rows.join(idf, ["grp", "t"]).select("id", "t", "idf")
 
 
 def overlap(pairs: DataFrame, sets: DataFrame, p: str) -> DataFrame:
@@ -126,7 +140,7 @@ def overlap(pairs: DataFrame, sets: DataFrame, p: str) -> DataFrame:
     sums = sets.groupBy("id").agg(F.sum("idf").alias("sum"), F.count(F.lit(1)).alias("cnt"))
     one, two = sets.select(F.col("id").alias("i1"), "t", "idf"), sets.select(F.col("id").alias("j"), "t")
     common = pairs.select("i1", "j").distinct().join(one, "i1").join(two, ["j", "t"]).groupBy("i1", "j").agg(F.sum("idf").alias("w"), F.count(F.lit(1)).alias("c"))
-    out = pairs.join(common, ["i1", "j"], "left").join(sums.select(F.col("id").alias("i1"), F.col("sum").alias("s1"), F.col("cnt").alias("n1")), "i1", "left").join(sums.select(F.col("id").alias("j"), F.col("sum").alias("s2"), F.col("cnt").alias("n2")), "j", "left").na.fill(0)
+    out = pairs.join(common, ["i1", "j"], "left").join(sums.select(F.col("id").alias("i1"), F.col("sum").alias("s1"), F.col("cnt").alias("n1")), "i1", "left").join(sums.select(F.col("id").alias("j"), F.col("sum").alias("s2"), F.col("cnt").alias("n2")), "j", "left").na.fill(0, ["w", "c", "s1", "n1", "s2", "n2"])
     made = {
         "iw_jac": F.col("w") / (F.col("s1") + F.col("s2") - F.col("w") + eps), "iw_cov1": F.col("w") / (F.col("s1") + eps), "iw_cov2": F.col("w") / (F.col("s2") + eps),
         "c_jac": F.col("c") / (F.col("n1") + F.col("n2") - F.col("c") + eps), "c_inter": F.col("c"), "c_n1": F.col("n1"), "c_n2": F.col("n2"),

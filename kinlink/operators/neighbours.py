@@ -12,9 +12,11 @@ EPS = 1e-6
 
 def nearest(postings: DataFrame, k: int, least: float = 0.5, cap: int = 3000) -> DataFrame:
     """(grp, j, nb, sim): up to k most similar other records of at least `least`, over features that at most `cap` records have."""
-    kept, _ = blocking.capped(postings, postings, cap)
+    kept = blocking.capped(postings, cap, postings).select("grp", "id", "f", "w")
     pairs = blocking.cosines(kept, kept, same=True).where(F.col("cos") >= least)
-    return blocking.ranked(pairs, "j", "i1", k).select("grp", "j", F.col("i1").alias("nb"), F.col("cos").alias("sim"))
+    ends = F.explode(F.array(*[F.struct(F.col(a).alias("j"), F.col(b).alias("i1")) for a, b in (("j", "i1"), ("i1", "j"))]))
+    both = pairs.select("grp", "cos", ends.alias("e")).select("grp", "e.j", "e.i1", "cos")
+    return blocking.ranked(both, "j", "i1", k).select("grp", "j", F.col("i1").alias("nb"), F.col("cos").alias("sim"))
 
 
 def consensus(pairs: DataFrame, near: DataFrame, records: DataFrame, entities: DataFrame, high: float = 0.8) -> DataFrame:
@@ -30,7 +32,7 @@ def consensus(pairs: DataFrame, near: DataFrame, records: DataFrame, entities: D
     tests = {"nr": has * (F.col("nn") == F.col("rn")).cast("int"), "na": has * (F.col("nn") == F.col("en")).cast("int"), "cr": (F.col("nc") == F.col("rc")).cast("int"), "ca": (F.col("nc") == F.col("ec")).cast("int")}
     sums = [F.sum(v).alias(k) for k, v in tests.items()] + [F.sum(v * hi).alias(f"{k}h") for k, v in tests.items()]
     made = met.groupBy("j", "i1").agg(F.count(F.lit(1)).alias("nb_n"), F.sum(hi).alias("nb_hi"), F.sum(has).alias("h"), *sums)
-    out = pairs.join(made, ["j", "i1"], "left").na.fill(0)
+    out = pairs.join(made, ["j", "i1"], "left").na.fill(0, [c for c in made.columns if c not in ("j", "i1")])
     h, n = F.col("h") + EPS, F.col("nb_n") + EPS
     r = lambda c: F.round(c, 6)
     out = out.withColumns({
@@ -53,6 +55,6 @@ def votes(pairs: DataFrame, near: DataFrame) -> DataFrame:
         F.sum("sim").alias("w"), F.sum(only(same, F.col("sim") * F.col("bp"))).alias("va"), F.sum(only(other, F.col("sim") * F.col("bp"))).alias("vo"),
         F.sum(only(same, F.lit(1.0))).alias("nv_cnt_a"), F.sum(only(other, F.lit(1.0))).alias("nv_cnt_other"), F.max(only(same, F.col("bp"))).alias("nv_pmax_a"), F.max(only(other, F.col("bp"))).alias("nv_pmax_other"),
     )
-    out = pairs.join(made, ["j", "i1"], "left").na.fill(0.0)
+    out = pairs.join(made, ["j", "i1"], "left").na.fill(0.0, [c for c in made.columns if c not in ("j", "i1")])
     w = F.col("w") + EPS
     return out.withColumns({"nv_vote_a": F.round(F.col("va") / w, 6), "nv_vote_other": F.round(F.col("vo") / w, 6), "nv_margin": F.round((F.col("va") - F.col("vo")) / w, 6)}).drop("w", "va", "vo")
