@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import math
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinlink.operators.learn import drawn
+
 
 def assign(pairs: DataFrame, record: str, score: str, tie: str) -> DataFrame:
     """The best pair of each record, ties by the smaller `tie`."""
@@ -60,13 +62,15 @@ def macro_f(counts: DataFrame, beta: float = 0.5) -> DataFrame:
 
 
 def threshold_sweep(entities: DataFrame, pairs: DataFrame, truth: DataFrame, entity: str, score: str, label: str, thresholds: list[float]) -> DataFrame:
-    """(threshold, macro_f) over all entities.  Pairs are counted once for each threshold that they reach; entities that never appear are added as a number."""
-    at = F.explode(F.array(*[F.lit(t) for t in thresholds]))
+    """(threshold, macro_f) over all entities: two sums for each threshold in one aggregate by entity, one average for each over all."""
+    at = list(enumerate(thresholds))
+    hit = F.col(label).cast("long")
+    sums = [f for i, t in at for f in (F.sum(F.when(F.col(score) >= t, hit).otherwise(0)).alias(f"tp{i}"), F.sum(F.when(F.col(score) >= t, 1).otherwise(0)).alias(f"npred{i}"))]
     true = truth.groupBy(entity).agg(F.count(F.lit(1)).alias("ntrue"))
-    every = entities.select(entity).distinct().join(true, entity, "left").na.fill(0, ["ntrue"]).withColumn("threshold", at)
-    made = pairs.withColumn("threshold", at).where(F.col(score) >= F.col("threshold")).groupBy(entity, "threshold").agg(F.sum(F.col(label).cast("long")).alias("tp"), F.count(F.lit(1)).alias("npred"))
-    counts = every.join(made, [entity, "threshold"], "left").na.fill(0, ["tp", "npred"])
-    return counts.groupBy("threshold").agg(F.round(F.avg(f_beta(F.col("tp"), F.col("npred"), F.col("ntrue"))), 9).alias("macro_f"))
+    counts = entities.select(entity).distinct().join(true, entity, "left").join(pairs.groupBy(entity).agg(*sums), entity, "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    wide = counts.agg(*[F.round(F.avg(f_beta(zero(F.col(f"tp{i}")), zero(F.col(f"npred{i}")), zero(F.col("ntrue")))), 9).alias(f"f{i}") for i, _ in at])
+    return wide.select(F.explode(F.array(*[F.struct(F.lit(t).alias("threshold"), F.col(f"f{i}").alias("macro_f")) for i, t in at])).alias("r")).select("r.*")
 
 
 def ceiling(entities: DataFrame, pairs: DataFrame, truth: DataFrame, entity: str, label: str) -> DataFrame:
@@ -83,25 +87,34 @@ def scaled_odds(p: Column, m: float) -> Column:
     return p * m / (p * m + 1 - p)
 
 
-def match_prior(entities: DataFrame, pairs: DataFrame, entity: str, record: str, score: str, target: float, level: float = 0.5, steps: int = 12) -> float:
+def match_prior(entities: DataFrame, pairs: DataFrame, entity: str, score: str, target: float, level: float = 0.5, steps: int = 12) -> float:
     """The odds factor in [0.05, 1] at which the share of entities without a pair of at least `level` meets the target.
 
-    A geometric bisection; each step is one aggregate.  1 where the share is high enough already.
+    A geometric bisection: a step's middle lifts the low end where the share there is above the target, else lowers the
+    high end.  A best score falls below the level at a factor m if and only if m is below level (1 - p) / (p (1 - level)), so
+    one aggregate counts the entities between all factors that any step can visit, and the steps read its sums.
+    1 where the share is high enough already, or without entities.
     """
     best = pairs.groupBy(entity).agg(F.max(score).alias("best"))
-    held = entities.select(entity).distinct().join(best, entity, "left").na.fill(0.0, ["best"]).cache()
-
-    def share(m: float) -> float:
-        return held.agg(F.avg((scaled_odds(F.col("best"), m) < level).cast("double"))).head()[0] or 0.0
-
-    low, high = 0.05, 1.0
-    if share(1.0) >= target:
+    held = entities.select(entity).distinct().join(best, entity, "left").na.fill(0.0, ["best"])
+    turn = F.when(F.col("best") > 0, level * (1 - F.col("best")) / (F.col("best") * (1 - level))).otherwise(F.lit(float("inf")))
+    # in logarithms the steps' middles are the inner points of 2 ** steps equal parts of [0.05, 1]
+    parts, low = 1 << steps, math.log(0.05)
+    place = F.when(turn <= 0, 0).otherwise(F.least(F.greatest(F.ceil((F.ln(turn) - low) / -low * parts), F.lit(0)), F.lit(parts + 1)))
+    counts = dict(held.groupBy(place.cast("int").alias("place")).agg(F.count(F.lit(1)).alias("n")).collect())
+    total = sum(counts.values())
+    # entities empty at the factor of point k are those that turn above it
+    below = [0]
+    for k in range(parts + 1):
+        below.append(below[-1] + counts.get(k, 0))
+    share = lambda k: (total - below[k + 1]) / total
+    if not total or share(parts) >= target:
         return 1.0
+    a, b = 0, parts
     for _ in range(steps):
-        mid = (low * high) ** 0.5
-        low, high = (mid, high) if share(mid) >= target else (low, mid)
-    held.unpersist()
-    return (low * high) ** 0.5
+        mid = (a + b) // 2
+        a, b = (mid, b) if share(mid) > target else (a, mid)
+    return math.exp(low - low * (a + b) / 2 / parts)
 
 
 def mean_of_present(columns: list[str]) -> Column:
@@ -120,6 +133,36 @@ def blend_report(pairs: DataFrame, models: list[str], label: str) -> DataFrame:
     return wide.select(F.explode(F.array(*[F.struct(F.lit(c).alias("models"), F.col(f"`{c}`").alias("rmse")) for c in wide.columns])).alias("r")).select("r.*")
 
 
+def kept(best: DataFrame, entity: str, record: str, score: str, mode: str = "expf", level: float = 0.5) -> DataFrame:
+    """The rows of assigned pairs that are output: by `expf` as many of an entity's best as maximise expected F, by `threshold` those of `level`."""
+    if mode == "threshold":
+        return best.where(F.col(score) >= level)
+    order = Window.partitionBy(entity).orderBy(F.desc(score), record)
+    counts = selected(best, entity, record, score).select(entity, "n_keep")
+    return best.withColumn("__rk", F.row_number().over(order)).join(counts, entity).where("__rk <= n_keep").drop("__rk", "n_keep")
+
+
+def evaluated(entities: DataFrame, pairs: DataFrame, truth: DataFrame, entity: str, record: str, score: str, label: str) -> DataFrame:
+    """(macro_f) of scored pairs: each record at its best entity, then as many as maximise expected F."""
+    return macro_f(entity_counts(entities, kept(assign(pairs, record, score, entity), entity, record, score), truth, entity, label))
+
+
+def blends_compared(entities: DataFrame, pairs: DataFrame, truth: DataFrame, entity: str, record: str, label: str, main: str, others: list[str]) -> DataFrame:
+    """(models, macro_f) of the mean of `main` and every subset of the other models' scores, missing ones left out."""
+    out = None
+    for combo in [(), *subsets(others)]:
+        blend = pairs.withColumn("__p", F.round(mean_of_present([main, *combo]), 9))
+        made = evaluated(entities, blend, truth, entity, record, "__p", label).select(F.lit("+".join((main, *combo))).alias("models"), "macro_f")
+        out = made if out is None else out.unionByName(made)
+    return out
+
+
+def best_blend(compared: DataFrame) -> list[str]:
+    """The models of the blend of the largest macro F; of equal ones the fewest."""
+    rows = compared.collect()  # a row for each subset
+    return max(rows, key=lambda r: (r.macro_f, -r.models.count("+"))).models.split("+")
+
+
 def error_kinds(pairs: DataFrame, truth: DataFrame, entity: str, record: str, group: str) -> DataFrame:
     """(group, kind, n): hits, false positives and misses of chosen pairs against true ones."""
     both = pairs.select(entity, record, group, F.lit(True).alias("chosen")).join(truth.select(entity, record, F.col(group).alias("__g"), F.lit(True).alias("real")), [entity, record], "full")
@@ -127,8 +170,19 @@ def error_kinds(pairs: DataFrame, truth: DataFrame, entity: str, record: str, gr
     return both.groupBy(F.coalesce(group, "__g").alias(group), kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def either(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, columns)
+def error_examples(chosen: DataFrame, candidates: DataFrame, truth: DataFrame, entity: str, record: str, score: str, n: int) -> DataFrame:
+    """(kind, entity, record, score, true entity, in_candidates): n examples of false positives and of misses, drawn by a stable hash.
+
+    A false positive names the record's true entity (null if it has none); a miss says whether it was among the candidates.
+    """
+    true = truth.select(F.col(record), F.col(entity).alias("true_entity"))
+    seen = candidates.select(entity, record, F.col(score).alias("score"), F.lit(True).alias("seen"))
+    false = chosen.select(entity, record).join(truth, [entity, record], "left_anti").join(true, record, "left").withColumn("kind", F.lit("false"))
+    missed = truth.select(entity, record).join(chosen, [entity, record], "left_anti").withColumns({"true_entity": F.col(entity), "kind": F.lit("missed")})
+    rows = false.unionByName(missed).join(seen, [entity, record], "left")
+    draw = Window.partitionBy("kind").orderBy(drawn(entity, record), entity, record)
+    rows = rows.select("kind", entity, record, "score", "true_entity", F.coalesce("seen", F.lit(False)).alias("in_candidates"), F.row_number().over(draw).alias("__rk"))
+    return rows.where(F.col("__rk") <= n).drop("__rk")
 
 
 def aligned(union: DataFrame, scored: DataFrame, entity: str, record: str, score: str, name: str) -> DataFrame:

@@ -35,18 +35,18 @@ def rules_compared(entities: DataFrame, pairs: DataFrame, truth: DataFrame, enti
     """(rule, macro_f) of thresholds and of expected-F selection at several odds factors, over assigned pairs."""
     best = decide.assign(pairs, record, score, entity)
     out = decide.threshold_sweep(entities, best, truth, entity, score, label, thresholds).select(F.concat(F.lit("threshold "), F.col("threshold").cast("string")).alias("rule"), "macro_f")
-    from pyspark.sql import Window
-
-    order = Window.partitionBy(entity).orderBy(F.desc(score), record)
     for m in odds:
         scaled = best.withColumn(score, F.round(decide.scaled_odds(F.col(score), m), 9))
-        keep = decide.selected(scaled, entity, record, score)
-        chosen = scaled.withColumn("__rk", F.row_number().over(order)).join(keep.select(entity, "n_keep"), entity).where("__rk <= n_keep")
-        made = decide.macro_f(decide.entity_counts(entities, chosen, truth, entity, label))
+        made = decide.macro_f(decide.entity_counts(entities, decide.kept(scaled, entity, record, score), truth, entity, label))
         out = out.unionByName(made.select(F.lit(f"expected f, odds {m}").alias("rule"), "macro_f"))
     return out
 
 
+def unseen_groups(known: DataFrame, new: DataFrame, group: str) -> DataFrame:
+    """The groups of new that known lacks."""
+    return new.select(group).distinct().join(known.select(group).distinct(), group, "left_anti")
+
+
 def overridden(table: DataFrame, own: DataFrame, support: Column, least: int = 20) -> DataFrame:
     """(group, token, lo): a group's own value where its support is large enough, else the common one (0 if unknown).
 

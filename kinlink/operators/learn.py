@@ -1,4 +1,7 @@
-"""Learned tables and models: alignments, aliases, token log-odds, isotonic maps, and grouped cross-fitting."""
+"""Learned tables and models: alignments, aliases, token log-odds, isotonic maps, grouped cross-fitting and self-training.
+
+Draws and halves use md5, so that other systems can repeat them.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +9,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
+from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,8 +101,41 @@ def pseudo_counts(pairs: DataFrame) -> DataFrame:
 
 def isotonic(points: DataFrame, x: str, y: str, weight: str) -> DataFrame:
     """points with fitted: an increasing map from x to y, weighted by the root of the counts, constant beyond its ends."""
-    model = IsotonicRegression(featuresCol=x, labelCol=y, weightCol="__w", predictionCol="fitted").fit(points.withColumn("__w", F.sqrt(weight)))
-    return model.transform(points)
+    return fitted_map(points, x, y, weight).setPredictionCol("fitted").transform(points)
+
+
+def fitted_map(points: DataFrame, x: str, y: str, weight: str) -> IsotonicRegressionModel:
+    return IsotonicRegression(featuresCol=x, labelCol=y, weightCol="__w").fit(points.withColumn("__w", F.sqrt(weight)))
+
+
+def tokens_by_label(pairs: DataFrame) -> DataFrame:
+    """(kind, token, p, n): how often true and false pairs of one first core token differ in a token.  pairs has core1, core2 and y."""
+    first = lambda c: F.get(F.col(c), F.lit(0))
+    parts = F.array(*[F.struct(F.lit(k).alias("kind"), F.array_except(a, b).alias("t")) for k, a, b in (("extra", "core2", "core1"), ("missing", "core1", "core2"))])
+    rows = pairs.where(first("core1") == first("core2")).select(F.col("y").cast("long").alias("y"), F.explode(parts).alias("k"))
+    return rows.select("y", "k.kind", F.explode("k.t").alias("token")).groupBy("kind", "token").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"))
+
+
+def calibration(pseudo: DataFrame, true: DataFrame, least: int = 100) -> DataFrame:
+    """(kind, token, x, y, n): pseudo and true add-one log ratios of the tokens that `least` labelled pairs differ in; both have (kind, token, p, n)."""
+    known = true.where(F.col("p") + F.col("n") >= least).select("kind", "token", add_one_ratio(F.col("p"), F.col("n")).alias("y"), (F.col("p") + F.col("n")).alias("n"))
+    ratio = F.coalesce(add_one_ratio(F.col("p"), F.col("m")), F.lit(0.0))
+    return known.join(pseudo.select("kind", "token", "p", F.col("n").alias("m")), ["kind", "token"], "left").select("kind", "token", ratio.alias("x"), "y", "n")
+
+
+def adapted(table: DataFrame, maps: dict[str, IsotonicRegressionModel], pseudo: DataFrame, least: int = 20) -> DataFrame:
+    """(kind, token, lo) for an unseen group: its own pseudo ratios, mapped to true ones, where `least` of its pairs differ in the token, else table's.
+
+    pseudo has (kind, token, p, n) of the group; a kind without a map keeps the table's values.
+    """
+    own = None
+    for kind, model in maps.items():
+        points = pseudo.where((F.col("kind") == kind) & (F.col("p") + F.col("n") >= least)).withColumn("x", add_one_ratio(F.col("p"), F.col("n")))
+        part = model.setFeaturesCol("x").setPredictionCol("own").transform(points).select("kind", "token", "own")
+        own = part if own is None else own.unionByName(part)
+    if own is None:
+        return table.select("kind", "token", "lo")
+    return table.select("kind", "token", "lo").join(own, ["kind", "token"], "full").select("kind", "token", F.coalesce("own", "lo").alias("lo"))
 
 
 def fold_of(key: Column | str, k: int, seed: int = 0) -> Column:
@@ -107,25 +143,30 @@ def fold_of(key: Column | str, k: int, seed: int = 0) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), key), F.lit(k)).cast("int")
 
 
+def drawn(*keys: Column | str) -> Column:
+    """A stable number from 0 to 2 ** 32 - 1 of a key, from the first digits of the md5 of its text."""
+    text = F.concat_ws("|", *[F.col(k).cast("string") if isinstance(k, str) else k.cast("string") for k in keys])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
+
+
 def in_share(key: Column | str, share: float) -> Column:
     """A stable draw of a share of keys."""
-    return F.pmod(F.shiftrightunsigned(F.xxhash64(key), 7), F.lit(1000)) < share * 1000
+    return drawn(key) < share * (1 << 32)
 
 
 def easy_negatives_thinned(pairs: DataFrame, label: str, prior: str, key: list[str], keep: float, floor: float = 0.01) -> DataFrame:
     """Positives and pairs of at least `floor`, and a stable share of the others, which weigh 1 / keep."""
-    hard = F.col(label) | (F.col(prior) >= floor)
-    draw = F.pmod(F.xxhash64(*key), F.lit(1 << 20)) < keep * (1 << 20)
-    return pairs.where(hard | draw).withColumn("weight", F.when(hard, 1.0).otherwise(1.0 / keep))
+    hard = F.col(label).cast("boolean") | (F.col(prior) >= floor)
+    return pairs.where(hard | in_share(F.concat_ws("|", *[F.col(k).cast("string") for k in key]), keep)).withColumn("weight", F.when(hard, 1.0).otherwise(1.0 / keep))
 
 
 def _features(columns: list[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=columns, outputCol="__x", handleInvalid="keep")
 
 
-def booster(columns: list[str], label: str, rounds: int = 20, depth: int = 5, rate: float = 0.1, weight: str | None = None, validation: str | None = None) -> Pipeline:
-    """Gradient-boosted trees over columns, with row and column sampling."""
-    trees = GBTClassifier(featuresCol="__x", labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=0.7, featureSubsetStrategy="0.7", seed=7, predictionCol="__y")
+def booster(columns: list[str], label: str, rounds: int = 20, depth: int = 5, rate: float = 0.1, weight: str | None = None, validation: str | None = None, least: int = 1, share: float = 0.7) -> Pipeline:
+    """Gradient-boosted trees over columns, with row and column sampling; `least` rows a leaf, `share` of the columns a split."""
+    trees = GBTClassifier(featuresCol="__x", labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=0.7, featureSubsetStrategy=str(share), minInstancesPerNode=least, seed=7, predictionCol="__y")
     trees = trees.setProbabilityCol("__p").setRawPredictionCol("__raw")
     if weight:
         trees = trees.setWeightCol(weight)
@@ -144,17 +185,35 @@ def scored(model: PipelineModel, df: DataFrame, name: str = "p") -> DataFrame:
     return model.transform(df).withColumn(name, vector_to_array("__p")[1]).drop("__x", "__raw", "__p", "__y")
 
 
-def out_of_fold(df: DataFrame, pipeline: Pipeline, fold: str, k: int, name: str = "p") -> tuple[DataFrame, list[PipelineModel]]:
-    """df with each fold's rows scored by a model of the other folds, and the models."""
+def out_of_fold(df: DataFrame, pipeline: Pipeline, fold: str, k: int, name: str = "p", thin=None, validation: str | None = None) -> tuple[DataFrame, list[PipelineModel]]:
+    """df with each fold's rows scored by a model of the other folds, and the models.
+
+    thin(rows) leaves the rows, with their weight, that a model learns from.  With `validation`, the name that the
+    pipeline has for it, the fold left out says when a model stops.
+    """
     models, parts = [], None
     for f in range(k):
-        model = pipeline.fit(df.where(F.col(fold) != f))
+        held, rest = df.where(F.col(fold) == f), df.where(F.col(fold) != f)
+        rest = thin(rest) if thin else rest
+        if validation:
+            held_ = held.withColumn("weight", F.lit(1.0)) if thin else held
+            rest = rest.withColumn(validation, F.lit(False)).unionByName(held_.withColumn(validation, F.lit(True)))
+        model = pipeline.fit(rest)
         models.append(model)
-        part = scored(model, df.where(F.col(fold) == f), name)
+        part = scored(model, held, name)
         parts = part if parts is None else parts.unionByName(part)
     return parts, models
 
 
+def oof_again(df: DataFrame, models: list[PipelineModel], fold: str, name: str = "p") -> DataFrame:
+    """df with each fold's rows scored by that fold's saved model."""
+    parts = None
+    for f, model in enumerate(models):
+        part = scored(model, df.where(F.col(fold) == f), name)
+        parts = part if parts is None else parts.unionByName(part)
+    return parts
+
+
 def fold_average(models: list[PipelineModel], df: DataFrame, name: str = "p") -> DataFrame:
     """df with the mean score of several models."""
     out = df
@@ -179,6 +238,20 @@ def importances(models: list[PipelineModel], columns: list[str]) -> list[tuple[s
     return sorted(zip(columns, total), key=lambda x: -x[1])
 
 
+def top_tokens(table: DataFrame, value: str, n: int, kind: str = "kind") -> DataFrame:
+    """The n least and n largest tokens of each kind by value, with their place from either end; ties by token."""
+    up, down = Window.partitionBy(kind).orderBy(value, "token"), Window.partitionBy(kind).orderBy(F.desc(value), "token")
+    ranked = table.withColumns({"from_least": F.row_number().over(up), "from_largest": F.row_number().over(down)})
+    return ranked.where((F.col("from_least") <= n) | (F.col("from_largest") <= n))
+
+
 def pseudo_labelled(df: DataFrame, score: str, high: float = 0.95, low: float = 0.05) -> DataFrame:
     """Confident rows of another group with their own predictions as labels."""
-    return df.where((F.col(score) >= high) | (F.col(score) <= low)).withColumn("label", (F.col(score) >= high).cast("int"))
+    return df.where((F.col(score) >= high) | (F.col(score) <= low)).withColumn("label", (F.col(score) >= high).cast("double"))
+
+
+def self_trained(source: DataFrame, target: DataFrame, pipeline: Pipeline, high: float = 0.95, low: float = 0.05, name: str = "p") -> DataFrame:
+    """target scored by a model of source (label) and of target's own confident predictions under a model of source alone (source_only)."""
+    first = scored(pipeline.fit(source), target.drop("label"), "source_only")
+    both = source.unionByName(pseudo_labelled(first, "source_only", high, low).select(*source.columns))
+    return scored(pipeline.fit(both), first, name)

@@ -75,19 +75,21 @@ def pruned(pairs: DataFrame, key: str, score: str, tie: str, most: int = 10, flo
 
 
 def prune_sweep(pairs: DataFrame, key: str, score: str, label: str, tie: str, tops: list[int], floors: list[float]) -> DataFrame:
-    """(top, floor, kept, hits) for every setting, from one ranking and one aggregate."""
+    """(top, floor, kept, hits) for every setting, from one ranking and one aggregate of conditional sums."""
     best = Window.partitionBy(key).orderBy(F.desc(score), tie)
-    settings = F.array(*[F.struct(F.lit(m).alias("top"), F.lit(f).alias("floor")) for m in tops for f in floors])
-    rows = pairs.withColumn("__rk", F.row_number().over(best)).withColumn("s", F.explode(settings))
-    keep = (F.col("__rk") <= F.col("s.top")) & (F.col(score) >= F.col("s.floor"))
-    return rows.groupBy(F.col("s.top").alias("top"), F.col("s.floor").alias("floor")).agg(F.sum(keep.cast("long")).alias("kept"), F.sum((keep & F.col(label)).cast("long")).alias("hits"))
+    settings = list(enumerate((m, f) for m in tops for f in floors))
+    keep = lambda m, f: (F.col("__rk") <= m) & (F.col(score) >= f)
+    sums = [x for i, (m, f) in settings for x in (F.sum(keep(m, f).cast("long")).alias(f"kept{i}"), F.sum((keep(m, f) & F.col(label)).cast("long")).alias(f"hits{i}"))]
+    wide = pairs.withColumn("__rk", F.row_number().over(best)).agg(*sums)
+    rows = [F.struct(F.lit(m).alias("top"), F.lit(f).alias("floor"), F.col(f"kept{i}").alias("kept"), F.col(f"hits{i}").alias("hits")) for i, (m, f) in settings]
+    return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
 def collective(pairs: DataFrame, strong: float = 0.5) -> DataFrame:
     """The second pass's eleven columns of pairs (r_id, s1_id, p, src3) from first-pass scores."""
     hit = (F.col("p") >= strong).cast("int")
     made = {
-        "p1": F.col("p"), "p1_r_other_max": max_of_others("r_id", "p"), "p1_r_rank": rank("r_id", "p"), "p1_r_sum": sum_of_others("r_id", "p"),
+        "p1": F.col("p"), "p1_r_other_max": max_of_others("r_id", "p"), "p1_r_rank": rank("r_id", "p"), "p1_r_sum": F.sum("p").over(Window.partitionBy("r_id")),
         "p1_a_sum_excl": sum_of_others("s1_id", "p"), "p1_a_nstrong_excl": sum_of_others("s1_id", hit),
         "p1_a_nstrong_s3_excl": F.sum(hit * F.col("src3")).over(Window.partitionBy("s1_id")) - hit * F.col("src3"),
         "p1_a_nstrong_s2_excl": F.sum(hit * (1 - F.col("src3"))).over(Window.partitionBy("s1_id")) - hit * (1 - F.col("src3")),
@@ -96,13 +98,25 @@ def collective(pairs: DataFrame, strong: float = 0.5) -> DataFrame:
     return pairs.withColumns(made).withColumn("p1_r_margin", F.col("p1") - F.col("p1_r_other_max"))
 
 
+def sibling_pairs(pairs: DataFrame, strong: float = 0.5, keep: list[str] | None = None) -> DataFrame:
+    """(s1_id, r_id, rs_id, ps) and `keep`: each pair's record beside the other records of its entity that score `strong` at least."""
+    held = pairs.where(F.col("p") >= strong).select("s1_id", F.col("r_id").alias("rs_id"), F.col("p").alias("ps"))
+    return pairs.select(*(keep or []), "s1_id", "r_id").join(held, "s1_id").where("r_id <> rs_id")
+
+
 def siblings(pairs: DataFrame, similarity: DataFrame, name: str, strong: float = 0.5) -> DataFrame:
-    """max, mean and score-weighted max of a pair's record's similarity to the entity's other strong records, and their number.
+    """max, mean and score-weighted max of a pair's record's similarity to the entity's other strong records, the largest max
+    of the record's other pairs, and the number of those records.
 
     similarity has (r_id, rs_id, sim); missing pairs count as 0.
     """
-    held = pairs.where(F.col("p") >= strong).select("s1_id", F.col("r_id").alias("rs_id"), F.col("p").alias("ps"))
-    met = pairs.select("s1_id", "r_id").join(held, "s1_id").where("r_id <> rs_id").join(similarity, ["r_id", "rs_id"], "left").withColumn("sim", F.coalesce("sim", F.lit(0.0)))
-    made = met.groupBy("s1_id", "r_id").agg(F.max("sim").alias(f"sib_{name}_smax"), F.avg("sim").alias(f"sib_{name}_smean"), F.max(F.col("sim") * F.col("ps")).alias(f"sib_{name}_swmax"), F.count(F.lit(1)).alias("sib_n"))
-    out = pairs.join(made, ["s1_id", "r_id"], "left").na.fill(0, [f"sib_{name}_smax", f"sib_{name}_smean", f"sib_{name}_swmax", "sib_n"])
-    return out.withColumn(f"sib_{name}_rival_max", max_of_others("r_id", f"sib_{name}_smax"))
+    met = sibling_pairs(pairs, strong).join(similarity, ["r_id", "rs_id"], "left")
+    return sibling_columns(pairs, met.withColumn("sim", F.coalesce("sim", F.lit(0.0))), {name: "sim"})
+
+
+def sibling_columns(pairs: DataFrame, met: DataFrame, similarities: dict[str, str]) -> DataFrame:
+    """pairs with the columns of siblings() for each name; met has (s1_id, r_id, ps) and the similarities' columns."""
+    made = [f(x).alias(f"sib_{n}_{k}") for n, c in similarities.items() for k, f, x in (("smax", F.max, F.col(c)), ("smean", F.avg, F.col(c)), ("swmax", F.max, F.col(c) * F.col("ps")))]
+    sums = met.groupBy("s1_id", "r_id").agg(*made, F.count(F.lit(1)).alias("sib_n"))
+    out = pairs.join(sums, ["s1_id", "r_id"], "left").na.fill(0, [c for c in sums.columns if c.startswith("sib_")])
+    return out.withColumns({f"sib_{n}_rival_max": max_of_others("r_id", f"sib_{n}_smax") for n in similarities})
