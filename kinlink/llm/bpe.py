@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 
 from kinlink.llm.common import text_pass
 
-#: Distinct pieces that a worker remembers; beyond that it forgets and begins again.
-REMEMBERED = 200_000
+#: Bytes of distinct pieces that a worker remembers, and what each takes beside its characters; beyond that it forgets and begins again.
+REMEMBERED, ENTRY = 32 << 20, 120
 
 
 def byte_characters() -> list[str]:
@@ -71,14 +71,18 @@ class ByteBPE:
         #: Ids as bytes: small, and joined without a list for each piece.
         self.wide = np.dtype("<u2" if len(self.bytes) <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         pieces = [self.find(t) for t in texts]
         known = self.known
         if new := list(set(chain.from_iterable(pieces)).difference(known)):
-            if len(known) + len(new) > REMEMBERED:
+            taken = sum(map(len, new)) + ENTRY * len(new)
+            if self.held + taken > REMEMBERED:
                 known.clear()
                 new = list(set(chain.from_iterable(pieces)))
+                self.held, taken = 0, sum(map(len, new)) + ENTRY * len(new)
+            self.held += taken
             for a in range(0, len(new), 20_000):
                 part = new[a : a + 20_000]
                 known.update(zip(part, [np.array(e.ids, self.wide).tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]))
@@ -140,7 +144,8 @@ def encode(docs: DataFrame, keep: list[str], path: str, pattern: str, with_offse
 def digests(docs: DataFrame, keep: list[str], path: str, pattern: str) -> DataFrame:
     """keep, n_tokens, ids_sha256 (decimal ids joined by a space) and decoded_sha256 (the bytes that the ids decode to).
 
-    Null or empty text: no ids, the digests of no bytes.
+    Null or empty text: no ids, the digests of no bytes.  Repeated rows are encoded alike, an empty table stays empty, a text of
+    any length is encoded as a whole, and a kept column called like a new one gives way to it.
     """
     shared = _spread(docs.sparkSession, path)
 

@@ -129,7 +129,8 @@ def classify(docs: DataFrame, labels: DataFrame, level: float = LEVEL) -> DataFr
     """doc_id, held_out, score and predicted of every document.
 
     Learns from labels (doc_id, quality 0 or 1) of documents that are not held out; null or other
-    labels teach nothing, repeated ones each count.  Null and empty texts are scored by their statistics.
+    labels teach nothing, repeated ones each count.  Null and empty texts are scored by their statistics.  Repeated documents
+    each get a row, an empty table stays empty, a text of any length counts as a whole, and no other column plays a part.
     """
     rows = checkpoint(measured(docs, ["doc_id"]).withColumn("held_out", held_out()))
     taught = rows.where("not held_out").join(labels.where("quality in (0, 1)").select("doc_id", F.col("quality").cast("int").alias("label")), "doc_id")

@@ -35,6 +35,10 @@ def rendezvous(key: Column, weights: list[float]) -> Column:
     return (F.least(*costs) if len(costs) > 1 else costs[0])["s"]
 
 
+def _bucket(by: list[Column], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*by), F.lit(buckets)).cast("int")
+
+
 def assign(df: DataFrame, key: str, weights: list[float], grown: list[float] | None = None, order: list[str] | None = None) -> DataFrame:
     """df with shard, slot (gapless from 0 in each shard) and, where `grown` weights are given, grown_shard.
 
@@ -56,7 +60,7 @@ def assign(df: DataFrame, key: str, weights: list[float], grown: list[float] | N
     rows = told.count()
     buckets = max(1, -(-rows // (ROWS_A_BUCKET * len(weights))))
     by = [F.col(f"`{c}`") for c in order] + [F.col(salt)]
-    at = told.withColumn(bucket, F.pmod(F.xxhash64(*by), F.lit(buckets)).cast("int"))
+    at = told.withColumn(bucket, _bucket(by, buckets))
     counts = at.groupBy("shard", bucket).agg(F.count(F.lit(1)).alias(n))
     before = Window.partitionBy("shard").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("shard", bucket, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(first_))

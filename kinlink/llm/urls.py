@@ -116,7 +116,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFr
 
     A rule's verdict stands; other urls are allowed where their score reaches the threshold.  Null urls and
     those without `://` have empty host and path and are scored as the empty text.  score is null where a
-    rule decides.  Repeated rows are judged alike; an empty table stays empty.
+    rule decides.  Repeated rows are judged alike; an empty table stays empty; a url of any length is scored as a whole (a
+    row for each of its characters); other columns, whatever their names, play no part.  Joins are by url and by gram, free to
+    shuffle: what is broadcast is up to the session's threshold.
     """
     rows = pages.select(F.col("page_id"), host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     rows = ruled(rows, rules).withColumn("s", F.concat("host", "path"))

@@ -1,5 +1,6 @@
 import hashlib
 import os
+import random
 import struct
 import zlib
 
@@ -39,9 +40,50 @@ def test_odd_containers(spark):
     assert all(rows[i + 2].error and rows[i + 2].codec is None for i in range(len(bad)))
 
 
+def movie(flags, samples, extra=b""):
+    """A container with one fragmented track: no samples in moov, one moof with a trun of (size, flags)."""
+    full = lambda kind, *parts, f=0: media._full(kind, *parts, flags=f)
+    empty = media._box(b"stbl", full(b"stsd", struct.pack(">I", 1), media._box(b"avc1", bytes(16))), full(b"stts", struct.pack(">I", 0)), full(b"stsc", struct.pack(">I", 0)), full(b"stsz", struct.pack(">II", 0, 0)), full(b"stco", struct.pack(">I", 0)))
+    trak = media._box(b"trak", full(b"tkhd", struct.pack(">III", 0, 0, 7), bytes(68)), media._box(b"mdia", full(b"mdhd", struct.pack(">IIII", 0, 0, 10, 0)), full(b"hdlr", struct.pack(">I4s", 0, b"vide")), media._box(b"minf", empty)))
+    moov = media._box(b"moov", trak, media._box(b"mvex", full(b"trex", struct.pack(">IIIII", 7, 1, 5, 0, 0x10000))))
+    table = b"".join(struct.pack(">I", n) for n in samples)
+    frag = lambda at: media._box(b"moof", media._box(b"traf", full(b"tfhd", struct.pack(">I", 7), f=0x20000), full(b"trun", struct.pack(">IiI", len(samples), at, 0), table, f=0x205)))
+    return moov + frag(len(frag(0)) + 8) + media._box(b"mdat", b"".join(bytes([i]) * n for i, n in enumerate(samples)))
+
+
+def test_fragments_and_several_tracks():
+    m = movie(0, [30, 40, 50])
+    t = media.Track(m)
+    assert t.codec == "avc1" and t.sizes.tolist() == [30, 40, 50] and t.keys.tolist() == [0] and t.duration == 15
+    assert [m[a : a + n] for a, n in zip(t.starts.tolist(), t.sizes.tolist())] == [bytes([0]) * 30, bytes([1]) * 40, bytes([2]) * 50]
+    # sound first: the video track is chosen, and both are listed
+    good = media.store(b"abc" * 500)
+    (at, end), = [(a, b) for p, a, b in media.walk(good) if p == (b"moov", b"trak")]
+    video = good[at - 8 : end]
+    sound = video.replace(b"vide", b"soun").replace(b"raw ", b"twos")
+    start = good.index(b"moov") - 4
+    (size,) = struct.unpack_from(">I", good, start)
+    both = good[:start] + struct.pack(">I", size + len(sound)) + good[start + 4 : at - 8] + sound + good[at - 8 :]
+    assert [t.handler for t in media.tracks(both)] == [b"soun", b"vide"] and media.Track(both).codec == "raw "
+
+
+def test_broken_containers_give_error_rows(spark):
+    rng, good = random.Random(0), [media.store(bytes(range(256)) * 40), movie(0, [30, 40, 50])]
+    rows = [good[0], good[1]]
+    for k in range(3000):
+        b = bytearray(good[k % 2])
+        for _ in range(rng.randrange(1, 5)):
+            b[rng.randrange(min(len(b), 900))] = rng.choice([0, 1, 127, 255, rng.randrange(256)])
+        rows.append(bytes(b))
+    df = spark.createDataFrame([(i, m, "own") for i, m in enumerate(rows)], "id int, media binary, error string")
+    got = media.probe(df, ["id", "error"]).collect()
+    assert len(got) == len(rows) and sum(r.error is not None for r in got) > 1000 and all((r.error is None) != (r.codec is None) for r in got)
+    assert media.probe(df.limit(0), ["id"]).count() == 0
+
+
 def test_media_query_columns(spark):
-    df = docs(spark, ODD)
-    got = {r.doc_id: r for r in media.digests(media.store_texts(df, ["doc_id"]), ["doc_id", "n_bytes"]).collect()}
+    df = docs(spark, ODD).withColumn("media", F.lit("clash"))
+    got = {r.doc_id: r for r in media.digests(media.store_texts(df, ["doc_id", "media"]), ["doc_id", "n_bytes"]).collect()}
     for i, t in enumerate(ODD):
         raw = (t or "").encode()
         data = media.padded(raw)

@@ -1,7 +1,11 @@
+import math
 import random
 import zlib
+from collections import Counter
+from functools import cache
 
 import numpy as np
+import regex as re
 from pyspark.sql import functions as F
 
 from kinlink.llm import langid, quality, queries, urls
@@ -32,6 +36,88 @@ def test_viterbi_path_is_best():
     langid.BLOCK = keep
 
 
+def brute_words(text):
+    return re.findall(r"\p{L}[\p{L}\p{M}]*", (text or "").lower())
+
+
+def brute_grams(word):
+    points = [2, *map(ord, word), 3]
+    for n in langid.ORDERS:
+        for i in range(len(points) - n + 1):
+            h = 0
+            for c in points[i : i + n]:
+                h = (h * 0x100000001B3 + c + 1) % 2**64
+            h = h * 0x9E3779B97F4A7C15 % 2**64
+            yield ((h ^ h >> 29) >> 13) % langid.BUCKETS
+
+
+def brute_script(word):
+    return [s for a, s in langid.SCRIPT_RANGES if a <= ord(word[0])][-1]
+
+
+class BruteLanguage:
+    """The whole identification in plain Python: counts, scripts, scores, a path over all words, the text's language and score."""
+
+    def __init__(self, rows):
+        self.names = sorted({a for _, a in rows})
+        self.counts, self.letters, self.documents = {a: Counter() for a in self.names}, {a: Counter() for a in self.names}, Counter(a for _, a in rows)
+        for text, a in rows:
+            for w in brute_words(text):
+                self.counts[a].update(brute_grams(w))
+                self.letters[a][brute_script(w)] += len(w)
+
+    def writes(self, a, script):
+        return self.letters[a][script] > langid.OWN_SCRIPT * max(sum(self.letters[a].values()), 1)
+
+    def scores(self, word):
+        own = {}
+        for a in self.names:
+            total = sum(self.counts[a].values()) + langid.SMOOTHING * langid.BUCKETS
+            if self.writes(a, brute_script(word)):
+                own[a] = sum(math.log((self.counts[a][g] + langid.SMOOTHING) / total) for g in brute_grams(word)) / (len(langid.ORDERS) / 2)
+        best = max(own.values(), default=0.0)
+        return [max(own[a] - best, -30.0) if a in own else -30.0 if own else 0.0 for a in self.names]
+
+    def predict(self, text):
+        words = brute_words(text)
+        if not words:
+            return "und", 0.0
+        prior = [math.log((self.documents[a] + 1) / (sum(self.documents.values()) + len(self.names))) for a in self.names]
+        value, back = [p + e for p, e in zip(prior, self.scores(words[0]))], []
+        for w in words[1:]:
+            stay = max(range(len(value)), key=lambda k: value[k])
+            back.append([k if value[k] >= value[stay] - langid.SWITCH else stay for k in range(len(value))])
+            value = [max(v, value[stay] - langid.SWITCH) + e for v, e in zip(value, self.scores(w))]
+        path = [max(range(len(value)), key=lambda k: value[k])]
+        for b in reversed(back):
+            path.append(b[path[-1]])
+        path.reverse()
+        weights, total = Counter(), sum(map(len, words))
+        for w, k in zip(words, path):
+            weights[k] += len(w) * any(self.writes(a, brute_script(w)) for a in self.names)
+        main = [k for k in path if weights[k] >= langid.MAIN * total]
+        k = main[0] if main else max(range(len(self.names)), key=lambda k: weights[k])
+        return self.names[k], weights[k] / total
+
+
+def test_language_equals_brute_force(spark):
+    docs_ = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("text is not null and lang is not null").limit(120).select("doc_id", "text", "lang").collect()
+    taught = [(" ".join(r.text.split()[:60]), r.lang) for r in docs_] + [("кот и собака на дороге", "ru"), ("собака и кот дома", "ru")] * 3
+    model = langid.fit(docs(spark, [t for t, _ in taught]).drop("lang").join(spark.createDataFrame([(i, a) for i, (_, a) in enumerate(taught)], "doc_id long, lang string"), "doc_id"))
+    brute = BruteLanguage(taught)
+    half = lambda t: " ".join(t.split()[:25])
+    texts = [half(t) for t, _ in taught[:40]] + [half(taught[i][0]) + " " + half(taught[-1 - i][0]) for i in range(30)]
+    texts += ["кот " + half(taught[3][0]), "日本語 " + half(taught[5][0]), "日本", "", None, "12 %", "a", half(taught[0][0]) + " " + " ".join([taught[9][0]] * 40)]
+    keep, langid.BLOCK = langid.BLOCK, 16
+    try:
+        got = list(zip(*model.predict(texts)))
+    finally:
+        langid.BLOCK = keep
+    for t, (lang, score) in zip(texts, got):
+        want = brute.predict(t)
+        assert lang == want[0] and abs(score - want[1]) < 1e-9, (t, lang, score, want)
+
+
 def test_language_held_out_accuracy(spark):
     got = queries.op1_language(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").toPandas()
     assert len(got) == 1000 and got.score.between(0, 1).all()
@@ -48,7 +134,12 @@ def test_language_cases(spark):
     rows = {r.doc_id: r for r in langid.identify(mixed, model, ["doc_id"], with_spans=True).collect()}
     assert [s.lang for s in rows[0].spans] == ["en", "ru"] and rows[0].lang_pred == "ru"
     assert rows[1].lang_pred == rows[2].lang_pred == "und" and rows[1].score == 0 and rows[3].lang_pred == "ru"
-    assert rows[4].lang_pred in ("en", "ru") and rows[5].lang_pred == "en"
+    assert rows[4].lang_pred in ("en", "ru") and rows[4].score == 0 and rows[5].lang_pred == "en"
+    odd = docs(spark, ["кот " * 200_000, "кот", "кот"]).withColumns({"score": F.lit("own"), "lang_pred": F.lit("own")})
+    assert [(r.doc_id, r.lang_pred, r.score) for r in langid.identify(odd, model, ["doc_id", "score"]).orderBy("doc_id").collect()] == [(i, "ru", 1.0) for i in range(3)]
+    assert langid.identify(odd.limit(0), model, ["doc_id"]).count() == 0
+    rare = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("the cat").alias("text"), F.when(F.col("id") == 7, "zz").otherwise("en").alias("lang"))
+    assert langid.fit(rare).languages == ["en"]
     assert langid.identify(mixed, langid.fit(df.limit(0)), ["doc_id"]).where("lang_pred <> 'und'").count() == 0
     assert df.where(held_out()).count() < df.count()
 
@@ -60,6 +151,48 @@ def test_quality_held_out_accuracy(spark):
     assert (out.predicted == out.quality).mean() > 0.95
 
 
+def brute_statistics(text):
+    """The statistics of a text, character class by character class."""
+    raw = (text or "").encode()
+    kind = lambda cs: sum(b in cs for b in raw)
+    odds = lambda part, whole: math.log((part + 1) / (max(whole - part, 0) + 1))
+    low, up, digit = kind(bytes(range(97, 123))), kind(bytes(range(65, 91))), kind(b"0123456789")
+    mark, other, beyond = kind(b".,;:?"), kind(b"'\"-()/"), kind(bytes(range(128, 256)))
+    symbol = len(raw) - low - up - digit - kind(b" \t\n\r\x0b\x0c") - mark - other - beyond
+    ws = re.findall(rb"[^ \t\n\r\x0b\x0c]+", raw)
+    lines = [x for x in raw.split(b"\n") if x]
+    ends = sum(not (chr(w[-1]).isalnum() or w[-1] >= 128) for w in ws)
+    alpha = low + up + beyond
+    return [
+        math.log(len(raw) + 1), math.log(len(ws) + 1), odds(up, low + up), odds(digit, len(raw)), odds(mark, len(raw)), odds(other, len(raw)), odds(symbol, len(raw)), odds(beyond, alpha),
+        math.log((alpha + 5) / (len(ws) + 1)), odds(len(set(ws)), len(ws)), odds(sum(a == b for a, b in zip(ws, ws[1:])), len(ws)), odds(ends, len(ws)), odds(len(lines) - len(set(lines)), len(lines)),
+    ]
+
+
+def test_quality_equals_brute_force(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").join(spark.read.parquet("/root/testdata/sf0.001/labels.parquet"), "doc_id").select("doc_id", "text", "quality").collect()
+    texts = [r.text for r in rows] + [None, "", "%%% $$$", "é\nline\nline\n", "word " * 100_000, rows[0].text]
+    labels = [r.quality for r in rows] + [None] * 6
+    df = docs(spark, texts).withColumns({c: F.lit("own") for c in ("x", "score", "label", "quality")})
+    given = spark.createDataFrame([(i, q) for i, q in enumerate(labels)], "doc_id long, quality int")
+    got = {r.doc_id: r for r in quality.classify(df, given).collect()}
+    x = np.array([brute_statistics(t) for t in texts])
+    taught = [i for i, q in enumerate(labels) if q is not None and zlib.crc32(str(i).encode()) % 4 != 2]
+    own = {k: x[[i for i in taught if labels[i] == k]] for k in (0, 1)}
+    cov = {k: np.cov(v.T, bias=True) for k, v in own.items()}
+    pooled = sum(len(own[k]) * cov[k] for k in (0, 1)) / len(taught)
+    density = []
+    for k in (0, 1):
+        c = (1 - quality.POOLED) * cov[k] + quality.POOLED * pooled
+        c = (1 - quality.DIAGONAL) * c + quality.DIAGONAL * np.diag(np.diag(c)) + quality.RIDGE * np.eye(len(c))
+        d = x - own[k].mean(axis=0)
+        density.append(-0.5 * (d * np.linalg.solve(c, d.T).T).sum(axis=1) - 0.5 * np.linalg.slogdet(c)[1])
+    z = quality.DAMP * (density[1] - density[0]) + math.log(len(own[1]) / len(own[0]))
+    for i, v in enumerate(z):
+        assert abs(got[i].score - 1 / (1 + math.exp(-min(max(v, -500), 500)))) < 1e-6, (i, texts[i])
+        assert got[i].predicted == (got[i].score >= 0.7) and got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2)
+
+
 def test_quality_cases(spark):
     df = docs(spark, [None, "", "good words here", "%%% $$$ !!!"] * 5)
     none = spark.createDataFrame([], "doc_id long, quality int")
@@ -96,6 +229,7 @@ def brute_models(samples, order=urls.ORDER):
                 tables.setdefault(accepted, {}).setdefault(g, 0)
                 tables[accepted][g] += 1
 
+    @cache
     def chance(c, gram):
         counts = tables.get(c, {})
         if not gram:
@@ -124,6 +258,28 @@ def test_url_scores_equal_brute_force(spark):
     assert got["good.site/abc"] > 0 > got["bad.host/zz"]
 
 
+def test_url_verdicts_equal_brute_force(spark):
+    rng = random.Random(4)
+    part = lambda cs: "".join(rng.choice(cs) for _ in range(rng.randrange(2, 8)))
+    urls_ = [f"http://a{i % 5}.org/fr/{part('abcd/')}" for i in range(60)] + [f"http://b.net/{part('wxyz0')}" for _ in range(60)] + [f"http://other{i % 3}.site/{part('abcdwxyz')}" for i in range(40)]
+    urls_ += [None, "no parts", "http://other.site/" + "abc/" * 20_000, urls_[-1], urls_[-1]]
+    df = spark.createDataFrame([(i, u, 1) for i, u in enumerate(urls_)], "page_id long, url string, gram int")
+    got = {r.page_id: r for r in urls.judge(df).collect()}
+    text = {i: r.host + r.path for i, r in got.items()}
+    labelled = {(text[i], r.verdict == "allow") for i, r in got.items() if r.rule}
+    unseen = lambda s: zlib.crc32(s.encode()) % 4 == 0
+    score = brute_models([x for x in labelled if not unseen(x[0])])
+    held = {c: [score(s) for s, a in labelled if unseen(s) and a == c] for c in (True, False)}
+    mean, wide = ({c: f(v) for c, v in held.items()} for f in (np.mean, np.std))
+    limit = (mean[True] * wide[False] + mean[False] * wide[True]) / (wide[True] + wide[False])
+    assert sum(not r.rule for r in got.values()) == 45 and len({r.verdict for r in got.values() if not r.rule}) == 2
+    known = {}
+    for i, r in got.items():
+        if not r.rule:
+            v = known.setdefault(text[i], score(text[i]))
+            assert abs(r.score - v) < 1e-9 and r.verdict == ("allow" if v >= limit else "block"), text[i][:40]
+
+
 def test_url_models_keep_all_grams_and_urls(spark):
     rng = random.Random(2)
     word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))

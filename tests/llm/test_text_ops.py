@@ -4,6 +4,8 @@ import zlib
 
 import public_tokenizers as P
 import tiktoken
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from kinlink.llm import bpe, decontaminate, sharding
@@ -20,7 +22,9 @@ def docs(spark, texts, ids=None):
 def test_bpe_equals_rank_encoder(spark):
     path = P.path("byte_bpe_50k.tiktoken")
     want = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
-    got = {r.doc_id: r for r in bpe.digests(docs(spark, ODD), ["doc_id"], path, P.PATTERN).collect()}
+    named = docs(spark, ODD).withColumns({"ids": F.lit("own"), "n_tokens": F.lit("own")})
+    got = {r.doc_id: r for r in bpe.digests(named, ["doc_id", "ids", "n_tokens"], path, P.PATTERN).collect()}
+    assert got[0].ids == "own" and bpe.digests(named.limit(0), ["doc_id"], path, P.PATTERN).count() == 0
     for i, t in enumerate(ODD):
         ids = want.encode_ordinary(t or "")
         assert got[i].n_tokens == len(ids)
@@ -50,17 +54,18 @@ def brute(texts, items):
             for k in range(len(w) - len(x) + 1):
                 if w[k : k + len(x)] == x:
                     hit |= set(range(k, k + len(x)))
-                    ids.add(i)
+                    ids |= {i} - {None}
         yield len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(map(str, ids))).encode()).hexdigest()
 
 
 def test_decontaminate_equals_brute_force(spark):
     passage = " ".join(f"w{i}" for i in range(25))
-    items = [(10, passage), (9, "Two words"), (11, passage), (12, ""), (13, None), (14, "é1 é2"), (None, "lost item")]
-    texts = [None, "", passage.upper() + "!", "x " + " ".join(f"w{i}," for i in range(3, 14)) + " y", "two  WORDS two", "twowords two wordsx", "É1 é2 é1 é2", " ".join(f"w{i}" for i in range(9)), "two words"]
+    items = [(10, passage), (9, "Two words"), (11, passage), (12, ""), (13, None), (14, "é1 é2"), (None, "item without id")]
+    texts = [None, "", passage.upper() + "!", "x " + " ".join(f"w{i}," for i in range(3, 14)) + " y", "two  WORDS two", "twowords two wordsx", "É1 é2 é1 é2", " ".join(f"w{i}" for i in range(9)), "two words", "an ITEM without id"]
+    texts += [texts[3], "z " * 60_000 + passage + " z" * 60_000]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    out = {r.doc_id: r for r in decontaminate.contaminated(docs(spark, texts), bench, ["doc_id"]).collect()}
-    for i, want in enumerate(brute(texts, [x for x in items if x[0] is not None])):
+    out = {r.doc_id: r for r in decontaminate.contaminated(docs(spark, texts).withColumn("n_hit", F.lit("own")), bench, ["doc_id"]).collect()}
+    for i, want in enumerate(brute(texts, items)):
         r = out[i]
         assert (r.n_words, r.n_hit, r.n_items, r.items_sha256) == want, i
         assert r.contaminated == (r.n_hit > 0)
@@ -81,6 +86,51 @@ def test_decontaminate_blocks(spark):
     assert one[0].n_items == 3 and one[0].n_hit == 24 and one[3].n_items == 1 and not one[2].contaminated
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text("abc ", max_size=40), max_size=4), st.text("abcd ", max_size=60), st.sampled_from([1, 2, 3, 4, 10]))
+def test_scanner_equals_all_windows(items, text, window):
+    ((ws, runs, found),) = decontaminate.Scanner([(str(i), t) for i, t in enumerate(items)], window).scan([text])
+    hit, seen = set(), set()
+    for i, t in enumerate(items):
+        own = t.split()
+        for a in range(max(1, len(own) - window + 1) if own else 0):
+            part = own[a : a + window]
+            for b in range(len(ws) - len(part) + 1):
+                if [w.decode() for w in ws[b : b + len(part)]] == part:
+                    hit |= set(range(b, b + len(part)))
+                    seen.add(i)
+    assert {x for a, b in runs for x in range(a, b)} == hit and found == seen
+
+
+def test_automaton_has_two_nodes_for_each_word():
+    items = [(str(i), " ".join(f"w{i * 7 + k}" for k in range(50))) for i in range(2000)]
+    scanner = decontaminate.Scanner(items)
+    assert scanner.auto.get_stats()["nodes_count"] <= 2 * 2000 * 50 + 1
+    assert scanner.scan([items[7][1]])[0][1:] == ([(0, 50)], {6, 7, 8})
+
+
+def test_item_ids_of_any_type(spark):
+    bench = spark.createDataFrame([("q/10", "two words"), ("q/9", "words two"), (None, "no id")], "item_id string, text string")
+    out = {r.doc_id: r for r in decontaminate.contaminated(docs(spark, ["two words two", "no id"]), bench, ["doc_id"]).collect()}
+    assert (out[0].n_items, out[0].items_sha256) == (2, hashlib.sha256(b"q/10,q/9").hexdigest())
+    assert (out[1].n_hit, out[1].n_items, out[1].contaminated) == (2, 0, True)
+
+
+def test_shard_spreads_equal_rows(spark):
+    rows = spark.range(400_000, numPartitions=4).select(F.lit(1).alias("a"), F.lit("x").alias("b"), F.monotonically_increasing_id().alias("salt"))
+    n = sorted(r["count"] for r in rows.groupBy(sharding._bucket([F.col("a"), F.col("b"), F.col("salt")], 40)).count().collect())
+    assert len(n) == 40 and n[-1] <= 2 * n[20]
+    keep, sharding.ROWS_A_BUCKET = sharding.ROWS_A_BUCKET, 100
+    try:
+        named = spark.range(3000).select(F.lit(5).alias("doc_id"), F.lit("y" * 100_000).alias("text"), F.lit(1).alias("__bucket"), F.lit(2).alias("slot"))
+        out = sharding.assign(named.drop("text"), "doc_id", [1.0] * 8)
+        assert out.columns == ["doc_id", "__bucket", "slot", "shard"] and sorted(r.slot for r in out.collect()) == list(range(3000))
+    finally:
+        sharding.ROWS_A_BUCKET = keep
+    long = sharding.shard_documents(docs(spark, ["é" * 3_000_000, None])).orderBy("doc_id").collect()
+    assert [r["size"] for r in long] == [6_000_001, 1] and long[0].text_crc32 == zlib.crc32(("é" * 3_000_000).encode())
+
+
 def test_shard_documents(spark):
     texts = ["x" * (i % 7) for i in range(3000)] + [None] * 500 + ["hot"] * 1500
     ids = [*range(4000), *([7] * 500), *([None] * 500)]
