@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from kinlink.functions import text
-from kinlink.plans.queries import CAP, THRESHOLDS
+from kinlink.plans.queries import THRESHOLDS
 
 _BRAND = "lower(replace(p_brand, '#', ' '))"
 _REC = f"""rec AS (SELECT p_type AS grp, p_partkey AS id, CAST(p_partkey % 3 + 1 AS INT) AS src, lower(p_name) || ' ' || {_BRAND} AS name,
@@ -20,11 +20,15 @@ def _vectors(tag: str, grams: str, least: int) -> str:
 {tag}v AS (SELECT grp, id, src, f, w / sqrt(sum(w * w) OVER (PARTITION BY grp, id)) AS w FROM {tag}w)"""
 
 
+def _capped(tag: str, cap: int) -> str:
+    """{tag}p: {tag}v without the features that more than `cap` entities have, normalised again."""
+    return f"""{tag}o AS (SELECT grp, f FROM {tag}v WHERE src = 1 GROUP BY ALL HAVING count(*) > {cap}),
+{tag}p AS (SELECT grp, id, src, f, w / sqrt(sum(w * w) OVER (PARTITION BY grp, id)) AS w FROM {tag}v ANTI JOIN {tag}o USING (grp, f))"""
+
+
 def _cosines(tag: str) -> str:
-    """{tag}c (grp, j, i1, cos) of records against entities over capped features."""
-    return f"""{tag}k AS (SELECT grp, f FROM {tag}v WHERE src = 1 GROUP BY ALL HAVING count(*) <= {CAP}),
-{tag}p AS (SELECT grp, id, src, f, w / sqrt(sum(w * w) OVER (PARTITION BY grp, id)) AS w FROM {tag}v JOIN {tag}k USING (grp, f)),
-{tag}c AS (SELECT r.grp, r.id AS j, e.id AS i1, round(sum(r.w * e.w), 6) AS cos FROM {tag}p r JOIN {tag}p e USING (grp, f) WHERE r.src > 1 AND e.src = 1 GROUP BY ALL)"""
+    """{tag}c (grp, j, i1, cos) of records against entities over {tag}p."""
+    return f"{tag}c AS (SELECT r.grp, r.id AS j, e.id AS i1, round(sum(r.w * e.w), 6) AS cos FROM {tag}p r JOIN {tag}p e USING (grp, f) WHERE r.src > 1 AND e.src = 1 GROUP BY ALL)"
 
 
 def _topk(tag: str, k: int, key: str = "j", other: str = "i1") -> str:
@@ -32,13 +36,15 @@ def _topk(tag: str, k: int, key: str = "j", other: str = "i1") -> str:
 
 
 def _channel(tag: str, grams: str, least: int, k: int) -> str:
-    return ",\n".join((_vectors(tag, grams, least), _cosines(tag), _topk(tag, k)))
+    return ",\n".join((_vectors(tag, grams, least), _capped(tag, _CAPS[tag]), _cosines(tag), _topk(tag, k)))
 
 
+# entities that a name's gram and an address's word may have
+_CAPS = {"n": 20_000, "ad": 5_000}
 _NAME5, _ADDR5 = _channel("n", _NAME_GRAMS, 2, 5), _channel("ad", _ADDR_GRAMS, 1, 5)
-_COMB = f"""{_vectors("n", _NAME_GRAMS, 2)}, {_vectors("ad", _ADDR_GRAMS, 1)},
-bu AS (SELECT grp, id, src, 'n:' || f AS f, w * 0.6 AS w FROM nv UNION ALL SELECT grp, id, src, 'a:' || f, w FROM adv),
-bv AS (SELECT grp, id, src, f, w / sqrt(sum(w * w) OVER (PARTITION BY grp, id)) AS w FROM bu), {_cosines("b")}"""
+_COMB = f"""{_vectors("n", _NAME_GRAMS, 2)}, {_capped("n", _CAPS["n"])}, {_vectors("ad", _ADDR_GRAMS, 1)}, {_capped("ad", _CAPS["ad"])},
+bu AS (SELECT grp, id, src, 'n:' || f AS f, w * 0.6 AS w FROM np UNION ALL SELECT grp, id, src, 'a:' || f, w FROM adp),
+bp AS (SELECT grp, id, src, f, w / sqrt(sum(w * w) OVER (PARTITION BY grp, id)) AS w FROM bu), {_cosines("b")}"""
 _KEYS = """ks AS (SELECT grp, id, src, unnest(list_distinct(regexp_extract_all(addr, '[0-9]+')[1:CASE WHEN src = 1 THEN 3 ELSE 1 END])) AS number, string_split(addr, ' ')[2] AS loc, string_split(name, ' ')[2] AS tok FROM rec),
 ky AS (SELECT DISTINCT grp, id, src, number || '|' || loc || '|' || tok AS key FROM ks),
 kf AS (SELECT grp, key FROM ky WHERE src = 1 GROUP BY ALL HAVING count(*) <= 50),
@@ -73,7 +79,7 @@ _PMF = "list_reduce(list_transform({q}, lambda x: [x]), lambda a, b: list_transf
 _NAMED = """named AS (SELECT p_partkey AS id,
   CASE WHEN p_size % 11 = 0 THEN upper(substr(p_name, 1, 1)) || substr(split_part(p_name, ' ', 1), 2) || ' ' || upper(substr(split_part(p_name, ' ', 2), 1, 1)) || substr(split_part(p_name, ' ', 2), 2) || ' fka Old ' || lower(p_type)
        WHEN p_size % 7 = 0 THEN replace(p_name, 'o', '0') ELSE p_name END
-  || CASE p_size % 5 WHEN 0 THEN ' Incorporated' WHEN 1 THEN ' & Sons Ltd' WHEN 2 THEN ' of France SA' WHEN 3 THEN ' (ID: ' || p_partkey || ') LLC' ELSE ' Company St' END AS business_name,
+  || CASE p_size % 5 WHEN 0 THEN ' Incorporated' WHEN 1 THEN '  & Sons Ltd' WHEN 2 THEN ' of France SA' WHEN 3 THEN ' (ID: ' || p_partkey || ') LLC' ELSE ' Company St' END AS business_name,
   '#00' || p_size || ', ' || CASE p_size % 4 WHEN 0 THEN 'Fourth Street' WHEN 1 THEN '12th Avenue' WHEN 2 THEN '58bis R. Hugo' ELSE 'Main Road' END || ', ' || upper(substr(p_type, 1, 1)) || lower(substr(p_type, 2)) || ' City, ' || CASE p_size % 3 WHEN 0 THEN 'Arizona' WHEN 1 THEN 'TX' ELSE 'NULL' END AS business_address,
   CASE WHEN p_size % 2 = 0 THEN 'US' ELSE 'France' END AS country FROM part)"""
 _PAIRED = _NAMED + ", two AS (SELECT a.id, a.business_name AS n1, a.business_address AS a1, b.business_name AS n2, b.business_address AS a2 FROM named a JOIN named b ON b.id = a.id + 1)"
@@ -106,7 +112,7 @@ _RISE = "CASE WHEN len({p}) < 2 THEN -1.0 ELSE round(len(list_filter(range(1, le
 _NEAR = """rv AS (SELECT * FROM rec WHERE src > 1),
 xt AS (SELECT grp, id, f, count(*) AS tf FROM (SELECT grp, id, unnest({g}) AS f FROM {r}) GROUP BY ALL),
 xd AS (SELECT grp, f, count(*) AS df FROM xt GROUP BY ALL),
-xw AS (SELECT grp, id, f, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) AS w FROM xt JOIN xd USING (grp, f) JOIN (SELECT grp, count(*) AS n FROM {r} GROUP BY grp) USING (grp) WHERE df <= 300),
+xw AS (SELECT grp, id, f, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) AS w FROM xt JOIN xd USING (grp, f) JOIN (SELECT grp, count(*) AS n FROM {r} GROUP BY grp) USING (grp) WHERE df <= 3000),
 xv AS (SELECT grp, id, f, w / sqrt(sum(w * w) OVER (PARTITION BY grp, id)) AS w FROM xw),
 xc AS (SELECT a.grp, a.id AS j, b.id AS nb, round(sum(a.w * b.w), 6) AS sim FROM xv a JOIN xv b USING (grp, f) WHERE a.id <> b.id GROUP BY ALL HAVING round(sum(a.w * b.w), 6) >= {m}),
 near AS (SELECT grp, j, nb, sim FROM (SELECT *, row_number() OVER (PARTITION BY grp, j ORDER BY sim DESC, nb) AS rk FROM xc) WHERE rk <= 5)"""
@@ -126,8 +132,8 @@ def _made() -> dict[str, str]:
     q["candidate_union"] = f"WITH {_REC}, {_KEYS}, {_NAME5} SELECT grp, j, i1, 'name' AS channel FROM nr UNION ALL SELECT kp.*, 'key' FROM kp ANTI JOIN nr USING (grp, j, i1)"
     q["name_freq"] = f"WITH {_REC} SELECT id, count(*) FILTER (src = 1) OVER (PARTITION BY grp, name) AS r_name_freq_s1, count(*) OVER (PARTITION BY grp, name) AS r_name_freq_all, count(*) FILTER (src = 1) OVER (PARTITION BY grp, addr) AS r_addr_freq_s1 FROM rec"
     q["name_oov"] = f"WITH {_REC}, t AS (SELECT grp, id, src, unnest(string_split(name, ' ')) AS t FROM rec) SELECT id, round(avg(CASE WHEN EXISTS (SELECT 1 FROM t e WHERE e.src = 1 AND e.grp = t.grp AND e.t = t.t) THEN 0.0 ELSE 1.0 END), 6) AS r_name_oov FROM t WHERE src > 1 GROUP BY id"
-    q["idf_overlap"] = f"""WITH {_REC}, {_channel('n', _NAME_GRAMS, 2, 3)}, s AS (SELECT DISTINCT id, unnest(string_split(addr, ' ')) AS t FROM rec),
-d AS (SELECT t, ln(((SELECT count(*) FROM rec) + 1) / (count(*) + 1)) + 1 AS idf FROM s GROUP BY t), z AS (SELECT s.id, s.t, idf FROM s JOIN d USING (t)),
+    q["idf_overlap"] = f"""WITH {_REC}, {_channel('n', _NAME_GRAMS, 2, 3)}, s AS (SELECT DISTINCT grp, id, unnest(string_split(addr, ' ')) AS t FROM rec), n AS (SELECT grp, count(*) AS n FROM rec GROUP BY grp),
+d AS (SELECT grp, t, ln((n + 1) / (count(*) + 1)) + 1 AS idf FROM s JOIN n USING (grp) GROUP BY grp, t, n), z AS (SELECT s.id, s.t, idf FROM s JOIN d USING (grp, t)),
 a AS (SELECT id, sum(idf) AS s, count(*) AS n FROM z GROUP BY id),
 x AS (SELECT nr.j, nr.i1, coalesce(sum(e.idf), 0) AS w, count(e.idf) AS c FROM nr LEFT JOIN (z e JOIN z r USING (t)) ON e.id = nr.i1 AND r.id = nr.j GROUP BY ALL)
 SELECT j, i1, round(w / (b.s + c2.s - w + 1e-6), 6) AS oa_iw_jac, round(w / (b.s + 1e-6), 6) AS oa_iw_cov1, round(w / (c2.s + 1e-6), 6) AS oa_iw_cov2, round(c / (b.n + c2.n - c + 1e-6), 6) AS oa_c_jac, CAST(c AS DOUBLE) AS oa_c_inter, CAST(b.n AS DOUBLE) AS oa_c_n1, CAST(c2.n AS DOUBLE) AS oa_c_n2, round(b.s - w, 6) AS oa_iw_miss1, round(c2.s - w, 6) AS oa_iw_miss2
@@ -139,7 +145,7 @@ FROM x JOIN a b ON b.id = i1 JOIN a c2 ON c2.id = j"""
     rank = "row_number() OVER (PARTITION BY r_id ORDER BY p DESC, s1_id)"
     q["prune_topm"] = f"WITH {_UNIQUE} SELECT r_id, s1_id, p FROM u QUALIFY {rank} <= 10 AND p >= 0.1"
     q["prune_sweep"] = f"WITH {_UNIQUE}, k AS (SELECT *, {rank} AS rk FROM u) SELECT top, floor, CAST(sum(CASE WHEN rk <= top AND p >= floor THEN 1 ELSE 0 END) AS BIGINT) AS kept, CAST(sum(CASE WHEN rk <= top AND p >= floor AND y THEN 1 ELSE 0 END) AS BIGINT) AS hits FROM k, (SELECT unnest([5, 8, 10, 12, 15]) AS top), (SELECT unnest([0.0001, 0.1, 0.5])::DOUBLE AS floor) GROUP BY ALL"
-    q["collective_features"] = f"""WITH {_UNIQUE}, h AS (SELECT r_id, s1_id, p, src3, CAST(p >= 0.5 AS INT) AS hit FROM u), c AS (SELECT r_id, s1_id, src3, p AS p1, {jp['others']} AS p1_r_other_max, {jp['rank']} AS p1_r_rank, {jp['rest']} AS p1_r_sum, {ip['rest']} AS p1_a_sum_excl,
+    q["collective_features"] = f"""WITH {_UNIQUE}, h AS (SELECT r_id, s1_id, p, src3, CAST(p >= 0.5 AS INT) AS hit FROM u), c AS (SELECT r_id, s1_id, src3, p AS p1, {jp['others']} AS p1_r_other_max, {jp['rank']} AS p1_r_rank, round(sum(p) OVER (PARTITION BY r_id), 6) AS p1_r_sum, {ip['rest']} AS p1_a_sum_excl,
 CAST(sum(hit) OVER (PARTITION BY s1_id) - hit AS BIGINT) AS p1_a_nstrong_excl, CAST(sum(hit * src3) OVER (PARTITION BY s1_id) - hit * src3 AS BIGINT) AS p1_a_nstrong_s3_excl, CAST(sum(hit * (1 - src3)) OVER (PARTITION BY s1_id) - hit * (1 - src3) AS BIGINT) AS p1_a_nstrong_s2_excl, {ip['others']} AS p1_a_max_excl, {ip['rank']} AS p1_a_rank FROM h) SELECT *, round(p1 - p1_r_other_max, 6) AS p1_r_margin FROM c"""
     q["sibling_features"] = f"""WITH {_UNIQUE}, m AS (SELECT a.r_id, a.s1_id, b.r_id AS rs_id, b.p AS ps, CAST(CASE WHEN x.p_brand = z.p_brand THEN 0.75 WHEN abs(x.p_size - z.p_size) < 8 THEN 0.5 ELSE 0.25 END AS DOUBLE) AS sim FROM u a JOIN u b ON a.s1_id = b.s1_id AND a.r_id <> b.r_id AND b.p >= 0.5 JOIN part x ON x.p_partkey = a.r_id JOIN part z ON z.p_partkey = b.r_id),
 g AS (SELECT r_id, s1_id, max(sim) AS a, avg(sim) AS b, max(sim * ps) AS c, count(*) AS n FROM m GROUP BY ALL), s AS (SELECT u.r_id, u.s1_id, u.p, coalesce(a, 0) AS smax, coalesce(b, 0) AS smean, coalesce(c, 0) AS swmax, coalesce(n, 0) AS sib_n FROM u LEFT JOIN g USING (r_id, s1_id))
@@ -170,15 +176,17 @@ SELECT id, array_to_string(nf, ' ') AS nf, array_to_string(CASE WHEN len({core})
 s AS (SELECT id, k, c, CASE WHEN {_case(_STATES, 'c')} <> c THEN {_case(_STATES, 'c')} WHEN country = 'US' AND c = 'tx' THEN 's_us_tx' WHEN country NOT IN ('US', 'India') AND c = 'tx' THEN 's_x_tx' END AS st FROM c WHERE c NOT IN {_in(text.EMPTY_COMPONENTS)}),
 w AS (SELECT id, k, st, CASE WHEN st IS NOT NULL THEN [st] ELSE list_filter(list_transform(regexp_extract_all(regexp_replace(c, '\\b([0-9]+)(st|nd|rd|th)\\b', '\\1', 'g'), '[0-9]+|[a-z]+'), lambda t: {_ADDRESS_WORD}), lambda t: t NOT IN {_in(text.ADDRESS_DROP + text.LOCALITY_DROP)}) END AS ws FROM s)
 SELECT id, array_to_string(flatten(list(ws ORDER BY k)), ' ') AS at, array_to_string(list_filter(flatten(list(ws ORDER BY k)), lambda t: regexp_full_match(t, '[0-9]+')), ' ') AS an, coalesce(first(st ORDER BY k) FILTER (st IS NOT NULL), '') AS ast, array_to_string(list(array_to_string(ws, ' ') ORDER BY k) FILTER (st IS NULL AND len(ws) > 0), '|') AS ac FROM w GROUP BY id"""
-    stem = "regexp_extract(regexp_extract(url, '://([^/?#]*)', 1), '(?i)^\\s*@?\\s*(?:https?://)?(?:www\\.)?([\\pL\\pN][\\pL\\pN.-]*?)\\.(?:com|c0m|co\\.in|in|net|org|fr|biz|info|co|io|us)\\s*$', 1)"
+    host, ending = "regexp_replace(regexp_extract(url, '://([^/?#]*)', 1), '^www\\.', '')", "'\\.(com|net|org|info|biz|co\\.in|in|fr|co|io|us)$'"
+    stem = f"CASE WHEN regexp_matches({host}, {ending}) AND regexp_matches({host}, '^[\\pL\\pN]') THEN regexp_replace({host}, {ending}, '') END"
     q["norm_web"] = f"SELECT page_id, coalesce({stem}, '') AS stem, regexp_replace(translate(lower(coalesce({stem}, '')), '0134578@$', 'oleastbas'), '[^a-z0-9]', '', 'g') AS web FROM pages"
     q["ascii_fold"] = "SELECT doc_id, md5(lower(strip_accents(replace(text, 'ß', 'ss')))) AS folded_md5, CAST(length(strip_accents(replace(text, 'ß', 'ss'))) AS INT) AS n FROM documents"
     flag = lambda e: f"CAST(coalesce({e}, FALSE) AS INT)"
     q["fmt_features"] = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS n, coalesce(source, '') AS a FROM documents) SELECT doc_id, {flag("n = upper(n) AND regexp_matches(n, '[A-Za-z]')")} AS fm_name_upper, {flag("n = lower(n) AND regexp_matches(n, '[A-Za-z]')")} AS fm_name_lower, {flag("contains(n, '  ')")} AS fm_name_dbl, {flag("regexp_matches(n, '^[^\\pL\\pN_\\s]')")} AS fm_name_lead_punct, {flag("regexp_matches(n, '[^\\pL\\pN_\\s)\\].]$')")} AS fm_name_trail_punct, {flag("regexp_matches(n, '[\\[\\]()]')")} AS fm_name_brackets,
 {flag("a = upper(a) AND a <> ''")} AS fm_addr_upper, {flag("a = ''")} AS fm_addr_empty, {flag("contains(a, '  ')")} AS fm_addr_dbl, {flag("regexp_matches(a, '(^|[ ,#])0[0-9]')")} AS fm_addr_lead0, {flag("contains(a, '#')")} AS fm_addr_hash, {flag("regexp_matches(lower(a), '\\bnull\\b|n/a|<null>')")} AS fm_addr_null, {flag("regexp_matches(lower(a), '\\b(po box|pmb)\\b')")} AS fm_addr_pobox, CAST(length(a) - length(replace(a, ',', '')) AS INT) AS fm_addr_ncomma, CAST(length(n) AS INT) AS fm_name_len, CAST(length(a) AS INT) AS fm_addr_len FROM d"""
     sig = "array_to_string(list_sort(regexp_extract_all({c}, '[,.&''()\\-/#\\[\\]|@*+]')), '')"
+    one = "array_to_string(list_filter(string_split(lower({c}), ' '), lambda x: x <> ''), ' ')"
     q["raw_pair"] = f"""WITH {_PAIRED}, c AS (SELECT *, {_COMPS.format(c='a1')} AS ca, {_COMPS.format(c='a2')} AS cb, regexp_extract_all(n1, '{_TOK}') AS ta, regexp_extract_all(n2, '{_TOK}') AS tb FROM two), p AS (SELECT *, list_filter(list_transform(cb, lambda x: coalesce(list_position(ca, x), 0)), lambda i: i > 0) AS pos, lower(array_to_string(list_transform(ta, lambda t: t[1:1]), '')) AS ia, coalesce(lower(array_to_string(list_transform(list_filter(ta, lambda t: regexp_matches(t, '^[A-ZÀ-ÖØ-Þ]')), lambda t: t[1:1]), '')), '') AS ic, len(tb) = 1 AND length(tb[1]) BETWEEN 2 AND 6 AND regexp_full_match(tb[1], '[A-Za-zÀ-ÿ]+') AS short FROM c)
-SELECT id, CAST(lower(n1) = lower(n2) AS DOUBLE) AS rp_name_eq_ci, CASE WHEN a2 = '' THEN -1.0 ELSE CAST(lower(a1) = lower(a2) AS DOUBLE) END AS rp_addr_eq_ci, CAST(n1 = n2 AS DOUBLE) AS rp_name_eq_cs, CAST({sig.format(c='n1')} = {sig.format(c='n2')} AS DOUBLE) AS rp_punct_eq, CAST(length(n2) - length(n1) AS DOUBLE) AS rp_name_dlen, CAST(length(a2) - length(a1) AS DOUBLE) AS rp_addr_dlen,
+SELECT id, CAST({one.format(c='n1')} = {one.format(c='n2')} AS DOUBLE) AS rp_name_eq_ci, CASE WHEN a2 = '' THEN -1.0 ELSE CAST({one.format(c='a1')} = {one.format(c='a2')} AS DOUBLE) END AS rp_addr_eq_ci, CAST(n1 = n2 AS DOUBLE) AS rp_name_eq_cs, CAST({sig.format(c='n1')} = {sig.format(c='n2')} AS DOUBLE) AS rp_punct_eq, CAST(length(n2) - length(n1) AS DOUBLE) AS rp_name_dlen, CAST(length(a2) - length(a1) AS DOUBLE) AS rp_addr_dlen,
 CASE WHEN len(ca) = 0 OR len(cb) = 0 THEN -1.0 ELSE round(len(pos) / len(cb), 6) END AS rp_comp_share, {_RISE.format(p='pos')} AS rp_comp_order, CAST(CASE WHEN NOT short THEN 0 WHEN lower(tb[1]) IN (ia, ic) THEN 1 WHEN starts_with(ia, lower(tb[1])) OR starts_with(ic, lower(tb[1])) THEN 0.5 ELSE 0 END AS DOUBLE) AS rp_acronym, CAST(short AS DOUBLE) AS rp_short_name FROM p"""
     last = "lower(trim(string_split({c}, ' ')[-1], '()[]'))"
     q["raw_token"] = f"""WITH {_PAIRED}, c AS (SELECT *, {_COMPS.format(c='a1')} AS ca, {_COMPS.format(c='a2')} AS cb, regexp_extract_all(n1, '{_TOK}') AS ta, regexp_extract_all(n2, '{_TOK}') AS tb, {last.format(c='n1')} AS l1, {last.format(c='n2')} AS l2 FROM two), p AS (SELECT *, list_transform(ta, lambda t: lower(t)) AS la FROM c), r AS (SELECT *, list_filter(list_transform(tb, lambda t: coalesce(list_position(la, lower(t)), 0)), lambda i: i > 0) AS pos, list_filter(tb, lambda t: list_contains(la, lower(t))) AS met FROM p)
@@ -223,6 +231,45 @@ SELECT j, i1, p, nv_cnt_a, nv_cnt_other, nv_pmax_a, nv_pmax_other, round(va / (w
 a AS (SELECT token, round(ln((count(*) FILTER (quality = 1) + 1) / (count(*) FILTER (quality <> 1) + 1)), 6) AS lo FROM t GROUP BY token),
 g AS (SELECT "group", token, count(*) AS n, round(ln((count(*) FILTER (quality = 1) + 1) / (count(*) FILTER (quality <> 1) + 1)), 6) AS own FROM t GROUP BY ALL)
 SELECT "group", token, CASE WHEN n >= 20 THEN own ELSE lo END AS lo FROM g JOIN a USING (token)"""
+    draw = lambda x: f"CAST('0x' || substr(md5({x}), 1, 8) AS BIGINT)"
+    q["shift_context"] = f"WITH {_UNIQUE}, k AS (SELECT r_id, s1_id, p FROM u WHERE NOT {draw('CAST(s1_id AS VARCHAR)')} < 0.18 * 4294967296) SELECT r_id, s1_id, p, {jp['gap']} AS cos_rmax_gap, {jp['rank']} AS cos_rrank, {jp['second']} AS cos_r2nd, {ip['gap']} AS cos_s1max_gap, {ip['rank']} AS cos_s1rank, count(*) OVER (PARTITION BY r_id) AS r_ncand, count(*) OVER (PARTITION BY s1_id) AS s1_ncand FROM k"
+    q["easy_negatives"] = f"WITH {_UNIQUE} SELECT r_id, s1_id, p, y, CASE WHEN y OR p >= 0.5 THEN 1.0 ELSE 1 / 0.3 END AS weight FROM u WHERE y OR p >= 0.5 OR {draw("r_id || '|' || s1_id")} < 0.3 * 4294967296"
+    q["threshold_decision"] = f"WITH {_UNIQUE}, a AS (SELECT r_id, s1_id, p FROM u QUALIFY {rank} = 1) SELECT * FROM a WHERE p >= 0.5"
+
+    def chosen(score: str) -> str:
+        """Tables ending in a: each record's best entity of u by `score`, as many an entity as maximise expected F."""
+        return f"""b AS (SELECT r_id, s1_id, y, {score} AS q FROM u QUALIFY row_number() OVER (PARTITION BY r_id ORDER BY q DESC, s1_id) = 1), l AS (SELECT s1_id, list(q ORDER BY q DESC, r_id) AS q FROM b GROUP BY s1_id),
+k AS (SELECT s1_id, q, unnest(range(0, len(q) + 1)) AS k FROM l), d AS (SELECT s1_id, q, k, {_PMF.format(q='q[1:k]')} AS a, {_PMF.format(q='q[k + 1:]')} AS b FROM k),
+e AS (SELECT s1_id, k, round(CASE WHEN k = 0 THEN b[1] ELSE list_sum(list_transform(range(1, k + 1), lambda s: a[s + 1] * list_sum(list_transform(range(0, len(b)), lambda t: b[t + 1] * 1.25 * s / (0.25 * (s + t) + k))))) END, 9) AS v FROM d QUALIFY row_number() OVER (PARTITION BY s1_id ORDER BY v DESC, k) = 1),
+a AS (SELECT b.* FROM b JOIN e USING (s1_id) QUALIFY row_number() OVER (PARTITION BY s1_id ORDER BY q DESC, r_id) <= k)"""
+
+    q["expected_f_decision"] = f"WITH {_UNIQUE}, {chosen('p')} SELECT r_id, s1_id, q AS p FROM a"
+    macro = "SELECT '{name}' AS {kind}, (WITH {sets}, c AS ({counts}) SELECT round(avg({f}), 9) FROM c) AS macro_f"
+    by = lambda kind, name, sets: macro.format(kind=kind, name=name, sets=sets, counts=counts.format(p="a"), f=_F)
+    level = lambda t: f"a AS (SELECT * FROM (SELECT * FROM u QUALIFY {rank} = 1) WHERE p >= {t})"
+    q["rules_compared"] = f"WITH {_UNIQUE} " + " UNION ALL ".join([by("rule", f"threshold {t}", level(t)) for t in (0.3, 0.5)] + [by("rule", f"expected f, odds {m}", chosen(f"round(p * {m}::DOUBLE / (p * {m}::DOUBLE + 1 - p), 9)")) for m in (1.0, 0.4)])
+    present = "list_avg(list_filter([{}], lambda x: x IS NOT NULL))"
+    model = {"p": "p", "p2": "CASE WHEN p2 > 0.3 THEN p2 END", "p3": "round(qty / 51, 4)"}
+    q["blends_compared"] = f"WITH {_UNIQUE} " + " UNION ALL ".join(by("models", "+".join(c), chosen(f"round({present.format(', '.join(f'CAST({model[m]} AS DOUBLE)' for m in c))}, 9)")) for c in (("p",), ("p", "p2"), ("p", "p3"), ("p", "p2", "p3")))
+    q["prior_match"] = f"""WITH RECURSIVE {_UNIQUE}, held AS (SELECT o_orderkey, coalesce(max(p), 0.0) AS best FROM orders LEFT JOIN u ON s1_id = o_orderkey GROUP BY o_orderkey),
+b AS (SELECT 0 AS step, 0.05::DOUBLE AS lo, 1.0::DOUBLE AS hi UNION ALL SELECT step + 1, CASE WHEN share > 0.6 THEN mid ELSE lo END, CASE WHEN share > 0.6 THEN hi ELSE mid END FROM (SELECT step, lo, hi, sqrt(lo * hi) AS mid, (SELECT avg(CASE WHEN best * sqrt(lo * hi) / (best * sqrt(lo * hi) + 1 - best) < 0.5 THEN 1.0 ELSE 0.0 END) FROM held) AS share FROM b WHERE step < 12))
+SELECT CASE WHEN (SELECT avg(CASE WHEN best < 0.5 THEN 1.0 ELSE 0.0 END) FROM held) >= 0.6 THEN 1.0 ELSE round(sqrt(lo * hi), 9) END AS m FROM b WHERE step = 12"""
+    q["error_examples"] = f"""WITH {_UNIQUE}, real AS (SELECT r_id, min(s1_id) AS s1_id FROM u WHERE y GROUP BY r_id), sel AS (SELECT * FROM u WHERE p >= 0.5), x AS (SELECT 'false' AS kind, sel.s1_id, sel.r_id, real.s1_id AS true_entity FROM sel LEFT JOIN real USING (r_id) WHERE real.s1_id IS DISTINCT FROM sel.s1_id
+UNION ALL SELECT 'missed', real.s1_id, real.r_id, real.s1_id FROM real ANTI JOIN sel USING (s1_id, r_id))
+SELECT kind, x.s1_id, x.r_id, CASE WHEN p >= 0.1 THEN p END AS score, true_entity, coalesce(p >= 0.1, FALSE) AS in_candidates FROM x LEFT JOIN u USING (s1_id, r_id) QUALIFY row_number() OVER (PARTITION BY kind ORDER BY {draw("x.s1_id || '|' || x.r_id")}, x.s1_id, x.r_id) <= 20"""
+    q["top_tokens"] = f"SELECT * FROM (SELECT kind, token, lo, CAST(row_number() OVER (PARTITION BY kind ORDER BY lo, token) AS INT) AS from_least, CAST(row_number() OVER (PARTITION BY kind ORDER BY lo DESC, token) AS INT) AS from_largest FROM ({q['token_logodds']})) WHERE from_least <= 10 OR from_largest <= 10"
+    q["unseen_groups"] = "SELECT DISTINCT split_part(p_name, ' ', 1) AS grp FROM part WHERE split_part(p_name, ' ', 1) NOT IN (SELECT split_part(p_name, ' ', 1) FROM part WHERE p_partkey % 40 = 0)"
+    apart = lambda a, b: f"list_filter(list_distinct(string_split(lower({a}), ' ')), lambda x: x <> '' AND NOT list_contains(string_split(lower({b}), ' '), x))"
+    q["log_odds_features"] = f"""WITH {_PAIRED}, t AS (SELECT id, id % 3 = 0 AS y, {apart('n2', 'n1')} AS extra, {apart('n1', 'n2')} AS missing FROM two), r AS (SELECT ln((count(*) FILTER (y) + 1) / (count(*) FILTER (NOT y) + 1)) AS prior FROM t),
+x AS (SELECT id, y, 'extra' AS kind, unnest(extra) AS token FROM t UNION ALL SELECT id, y, 'missing', unnest(missing) FROM t), n AS (SELECT kind, token, count(*) FILTER (y) AS p, count(*) FILTER (NOT y) AS n FROM x GROUP BY ALL HAVING count(*) >= 3),
+lo AS (SELECT kind, token, round(ln((p + 5 * exp(prior) / (1 + exp(prior))) / (n + 5 * (1 - exp(prior) / (1 + exp(prior))))) - prior, 6) AS lo FROM n, r), z AS (SELECT id, kind, coalesce(lo, 0.0) AS lo FROM x LEFT JOIN lo USING (kind, token))
+SELECT t.id, """ + ", ".join(f"coalesce({f}(lo) FILTER (kind = '{k}'), 0.0) AS {c}_lo_{f}" for k, c in (("extra", "xe"), ("missing", "xm")) for f in ("min", "max")) + ", " + ", ".join(f"round(coalesce(sum(lo) FILTER (kind = '{k}'), 0.0), 6) AS {c}_lo_sum, count(*) FILTER (kind = '{k}') AS {c}_n" for k, c in (("extra", "xe"), ("missing", "xm"))) + " FROM t LEFT JOIN z USING (id) GROUP BY t.id"
+    q["key_channel_best"] = f"WITH {_REC}, {_KEYS}, {_vectors('n', _NAME_GRAMS, 2)}, kc AS (SELECT kp.grp, kp.j, kp.i1, coalesce((SELECT round(sum(x.w * y.w), 6) FROM nv x JOIN nv y USING (f) WHERE x.id = kp.j AND y.id = kp.i1), 0.0) AS cos FROM kp) SELECT * FROM (SELECT grp, j, i1, cos, CAST(row_number() OVER (PARTITION BY grp, j ORDER BY cos DESC, i1) - 1 AS INT) AS rk FROM kc WHERE cos >= 0.3) WHERE rk < 2"
+    # what the marks leave of a name is known from how they were put there
+    words = "lower(p_name)"
+    q["norm_name_marks"] = f"SELECT p_partkey, CASE p_size % 8 WHEN 2 THEN 'abc ' || {words} WHEN 3 THEN 'ms ' || {words} WHEN 6 THEN 'dillii ' || {words} WHEN 7 THEN 'cafe ' || {words} ELSE {words} END AS nf, CASE p_size % 8 WHEN 2 THEN 'abc ' || {words} WHEN 6 THEN 'dillii ' || {words} WHEN 7 THEN 'cafe ' || {words} ELSE {words} END AS nc, '' AS na, CASE WHEN p_size % 8 = 1 THEN 'acme' ELSE '' END AS nw, '' AS nl, CAST(CASE p_size % 8 WHEN 1 THEN 8 WHEN 5 THEN 16 WHEN 6 THEN 4 ELSE 0 END AS SMALLINT) AS nflag FROM part"
+    q["norm_address_marks"] = """SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN p_size || ' rue zola lyon s_fr_bre' WHEN 1 THEN p_size || ' zola marg s_in_mh' WHEN 2 THEN p_size || ' s_in_wb' WHEN 3 THEN p_size || ' zola s_in_mh' WHEN 4 THEN p_size || ' dillii' ELSE p_size || ' zola s_us_or' END AS at, CAST(p_size AS VARCHAR) AS an,
+CASE p_size % 6 WHEN 0 THEN 's_fr_bre' WHEN 1 THEN 's_in_mh' WHEN 2 THEN 's_in_wb' WHEN 3 THEN 's_in_mh' WHEN 4 THEN '' ELSE 's_us_or' END AS ast, CASE p_size % 6 WHEN 0 THEN p_size || ' rue zola|lyon' WHEN 1 THEN p_size || ' zola marg' WHEN 2 THEN CAST(p_size AS VARCHAR) WHEN 3 THEN p_size || ' zola' WHEN 4 THEN p_size || '|dillii' ELSE p_size || ' zola' END AS ac, p_size % 6 = 4 AS aind FROM part"""
     q["score_correlation"] = f"WITH {_PAIRS} SELECT src3, round(corr(p, qty), 6) AS r FROM pairs GROUP BY src3"
     return q
 

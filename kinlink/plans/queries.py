@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 from kinlink.functions import similarity as sim
 from kinlink.functions import text
 from kinlink.operators import blocking, decide, diagnose, features, learn, neighbours, windows
+from kinlink.plans.linkage import Settings
 from kinlink.sources import tables
 
 _Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, _Query] = {}
-CAP = 100
+NAME_CAP, ADDR_CAP, NEAR_CAP = Settings.name_cap, Settings.addr_cap, 3_000
 THRESHOLDS = [round(0.05 + 0.025 * i, 3) for i in range(37)]
 
 
@@ -45,16 +46,15 @@ def _vectors(rec: DataFrame, kind: str) -> DataFrame:
     return blocking.postings(rec, blocking.char_grams(F.col("name")), 2) if kind == "name" else blocking.postings(rec, blocking.word_grams(F.col("addr")), 1)
 
 
-def _sides(rec: DataFrame, postings: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Entities' and records' postings."""
-    src = rec.select("grp", "id", "src")
-    with_src = postings.join(src, ["grp", "id"])
-    return with_src.where("src = 1").drop("src"), with_src.where("src > 1").drop("src")
+def _capped(rec: DataFrame, kind: str) -> DataFrame:
+    if kind == "comb":
+        return blocking.combined(_capped(rec, "name"), _capped(rec, "addr"))
+    return blocking.capped(_vectors(rec, kind), NAME_CAP if kind == "name" else ADDR_CAP)
 
 
 def _channel(rec: DataFrame, kind: str, k: int, reverse: bool = False) -> DataFrame:
-    e, r = blocking.capped(*_sides(rec, _vectors(rec, kind)), CAP)
-    pairs = blocking.cosines(r, e)
+    kept = _capped(rec, kind)
+    pairs = blocking.cosines(blocking.others(kept), blocking.entities(kept))
     return blocking.ranked(pairs, "i1", "j", k) if reverse else blocking.ranked(pairs, "j", "i1", k)
 
 
@@ -90,8 +90,8 @@ def channel_union(spark, sf_dir):
 @query
 def exact_cosine(spark, sf_dir):
     rec = records(spark, sf_dir)
-    e, r = _sides(rec, _vectors(rec, "name"))
-    return blocking.exact_cosine(_channel(rec, "addr", 3).select("grp", "j", "i1"), r, e, "cos_name")
+    full = _vectors(rec, "name")
+    return blocking.exact_cosine(_channel(rec, "addr", 3).select("grp", "j", "i1"), blocking.others(full), blocking.entities(full), "cos_name")
 
 
 def _keyed(rec: DataFrame) -> DataFrame:
@@ -118,6 +118,15 @@ def candidate_union(spark, sf_dir):
     return known.withColumn("channel", F.lit("name")).unionByName(blocking.new_pairs(_keyed(rec), known).withColumn("channel", F.lit("key")))
 
 
+@query
+def key_channel_best(spark, sf_dir):
+    """Pairs of the key channel by name cosine: at least 0.3, two a record."""
+    rec = records(spark, sf_dir)
+    full = _vectors(rec, "name")
+    pairs = blocking.exact_cosine(_keyed(rec), blocking.others(full), blocking.entities(full), "cos")
+    return blocking.ranked(pairs.where("cos >= 0.3"), "j", "i1", 2)
+
+
 @query
 def name_freq(spark, sf_dir):
     rec = records(spark, sf_dir)
@@ -175,6 +184,11 @@ def prune_sweep(spark, sf_dir):
     return windows.prune_sweep(_unique(spark, sf_dir), "r_id", "p", "y", "s1_id", [5, 8, 10, 12, 15], [0.0001, 0.1, 0.5])
 
 
+@query
+def easy_negatives(spark, sf_dir):
+    return learn.easy_negatives_thinned(_unique(spark, sf_dir).select("r_id", "s1_id", "p", "y"), "y", "p", ["r_id", "s1_id"], 0.3, 0.5)
+
+
 @query
 def collective_features(spark, sf_dir):
     return _rounded(windows.collective(_unique(spark, sf_dir).select("r_id", "s1_id", "p", "src3")).drop("p"))
@@ -220,6 +234,18 @@ def expected_f_select(spark, sf_dir):
     return decide.selected(_unique(spark, sf_dir), "s1_id", "r_id", "p")
 
 
+@query
+def threshold_decision(spark, sf_dir):
+    best = decide.assign(_unique(spark, sf_dir).select("r_id", "s1_id", "p"), "r_id", "p", "s1_id")
+    return decide.kept(best, "s1_id", "r_id", "p", "threshold", 0.5)
+
+
+@query
+def expected_f_decision(spark, sf_dir):
+    best = decide.assign(_unique(spark, sf_dir).select("r_id", "s1_id", "p"), "r_id", "p", "s1_id")
+    return decide.kept(best, "s1_id", "r_id", "p")
+
+
 def _truth(spark, sf_dir) -> DataFrame:
     return _unique(spark, sf_dir).where("y").select("s1_id", "r_id")
 
@@ -256,8 +282,8 @@ def odds_scale(spark, sf_dir):
 
 @query
 def prior_match(spark, sf_dir):
-    m = decide.match_prior(_entities(spark, sf_dir), _unique(spark, sf_dir), "s1_id", "r_id", "p", 0.6)
-    return spark.createDataFrame([(float(m),)], "m double")
+    m = decide.match_prior(_entities(spark, sf_dir), _unique(spark, sf_dir), "s1_id", "p", 0.6)
+    return spark.createDataFrame([(round(float(m), 9),)], "m double")
 
 
 @query
@@ -272,9 +298,15 @@ def blend_subsets(spark, sf_dir):
     return decide.blend_report(df, ["p", "p2", "p3"], "y")
 
 
+@query
+def blends_compared(spark, sf_dir):
+    u = _unique(spark, sf_dir).withColumns({"p2": F.when(F.col("p2") > 0.3, F.col("p2")), "p3": F.round(F.col("qty") / 51, 4)})
+    return decide.blends_compared(_entities(spark, sf_dir), u, _truth(spark, sf_dir), "s1_id", "r_id", "y", "p", ["p2", "p3"])
+
+
 def named(spark, sf_dir) -> DataFrame:
     """Parts with a written name and address that exercise the normalisation rules."""
-    tail = F.expr("CASE p_size % 5 WHEN 0 THEN ' Incorporated' WHEN 1 THEN ' & Sons Ltd' WHEN 2 THEN ' of France SA' WHEN 3 THEN concat(' (ID: ', p_partkey, ') LLC') ELSE ' Company St' END")
+    tail = F.expr("CASE p_size % 5 WHEN 0 THEN ' Incorporated' WHEN 1 THEN '  & Sons Ltd' WHEN 2 THEN ' of France SA' WHEN 3 THEN concat(' (ID: ', p_partkey, ') LLC') ELSE ' Company St' END")
     leet = F.when(F.col("p_size") % 7 == 0, F.replace("p_name", F.lit("o"), F.lit("0"))).otherwise(F.col("p_name"))
     head = F.when(F.col("p_size") % 11 == 0, F.concat(F.initcap("p_name"), F.lit(" fka "), F.lit("Old "), F.lower("p_type"))).otherwise(leet)
     addr = F.expr("concat('#00', p_size, ', ', CASE p_size % 4 WHEN 0 THEN 'Fourth Street' WHEN 1 THEN '12th Avenue' WHEN 2 THEN '58bis R. Hugo' ELSE 'Main Road' END, ', ', initcap(p_type), ' City, ', CASE p_size % 3 WHEN 0 THEN 'Arizona' WHEN 1 THEN 'TX' ELSE 'NULL' END)")
@@ -291,6 +323,23 @@ def norm_address(spark, sf_dir):
     return named(spark, sf_dir).select("id", text.address(F.col("business_address"), F.col("country")).alias("a")).select("id", "a.at", "a.an", "a.ast", "a.ac")
 
 
+@query
+def norm_name_marks(spark, sf_dir):
+    """Names with what Unicode, web addresses, abbreviations, handles and other scripts do to them, by p_size modulo 8."""
+    raw = F.expr("""CASE p_size % 8 WHEN 0 THEN replace(p_name, ' ', '\u200b ') WHEN 1 THEN concat(p_name, ' | www.acme.com') WHEN 2 THEN concat('A.B.C. ', p_name) WHEN 3 THEN concat('M/s ', p_name)
+        WHEN 4 THEN replace(p_name, 'e', 'é') WHEN 5 THEN concat('@', p_name) WHEN 6 THEN concat('दिल्ली ', p_name) ELSE concat('Ｃａfé  ', upper(p_name)) END""")
+    return table(spark, sf_dir, "part").select("p_partkey", text.name(raw, True, text.indic_words()).alias("n")).select("p_partkey", "n.*")
+
+
+@query
+def norm_address_marks(spark, sf_dir):
+    """Addresses with degree marks, number marks, Indian, French and other states and words of other scripts, by p_size modulo 6."""
+    raw = F.expr("""CASE p_size % 6 WHEN 0 THEN concat('N° ', p_size, ' Rue Zola, Lyon, Bretagne') WHEN 1 THEN concat('H.No. 0', p_size, ' Zola Marg, Maharashtra-400001') WHEN 2 THEN concat('Door No: ', p_size, ', West Bengal, n/a')
+        WHEN 3 THEN concat(p_size, 'th Zola, <NULL>, MH') WHEN 4 THEN concat('Plot no #', p_size, ', दिल्ली') ELSE concat('Nº', p_size, ' Zólà, OR') END""")
+    country = F.expr("CASE WHEN p_size % 6 = 0 THEN 'France' WHEN p_size % 6 = 5 THEN 'US' ELSE 'India' END")
+    return table(spark, sf_dir, "part").select("p_partkey", text.address(raw, country, True, text.indic_words()).alias("a")).select("p_partkey", "a.*")
+
+
 @query
 def norm_web(spark, sf_dir):
     stem = F.regexp_extract("url", "://([^/?#]*)", 1)
@@ -393,10 +442,32 @@ def token_logodds(spark, sf_dir):
     return learn.token_log_odds(_labelled(spark, sf_dir), {"word": "words"}, "y")
 
 
+@query
+def top_tokens(spark, sf_dir):
+    return learn.top_tokens(learn.token_log_odds(_labelled(spark, sf_dir), {"word": "words"}, "y"), "lo", 10)
+
+
+@query
+def log_odds_features(spark, sf_dir):
+    extra, missing = features.token_difference(F.lower("n1"), F.lower("n2"))
+    pairs_ = _paired(spark, sf_dir).select("id", (F.col("id") % 3 == 0).alias("y"), extra.alias("extra"), missing.alias("missing"))
+    table_ = learn.token_log_odds(pairs_, {"extra": "extra", "missing": "missing"}, "y")
+    return features.log_odds_features(pairs_, table_, ["id"]).drop("extra", "missing", "y")
+
+
+@query
+def unseen_groups(spark, sf_dir):
+    word = table(spark, sf_dir, "part").select("p_partkey", F.element_at(F.split("p_name", " "), 1).alias("grp"))
+    return diagnose.unseen_groups(word.where("p_partkey % 40 = 0"), word, "grp")
+
+
 @query
 def token_logodds_isotonic(spark, sf_dir):
-    lo = learn.token_log_odds(_labelled(spark, sf_dir), {"word": "words"}, "y", least=20)
-    return learn.isotonic(lo.withColumn("x", F.length("token").cast("double")).withColumn("n", F.lit(1.0)), "x", "lo", "n").select("token", "fitted")
+    """Log ratios by one label of tokens, mapped to those by another, over the tokens that 100 documents have."""
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select("quality", "toxic", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1))).alias("token"))
+    count = lambda c, v: rows.groupBy(F.lit("word").alias("kind"), "token").agg(F.sum((F.col(c) == v).cast("long")).alias("p"), F.sum((F.col(c) != v).cast("long")).alias("n"))
+    points = learn.calibration(count("toxic", 0), count("quality", 1))
+    return _rounded(learn.isotonic(points, "x", "y", "n").select("token", "x", "y", "n", "fitted"))
 
 
 @query
@@ -429,13 +500,13 @@ def learn_alias(spark, sf_dir):
 @query
 def record_knn(spark, sf_dir):
     rec = records(spark, sf_dir)
-    return neighbours.nearest(_vectors(rec, "addr"), 5, 0.3, 300)
+    return neighbours.nearest(_vectors(rec, "addr"), 5, 0.3, NEAR_CAP)
 
 
 def _met(rec: DataFrame) -> tuple[DataFrame, DataFrame]:
     p = _channel(rec, "name", 3).select("j", "i1", F.col("cos").alias("p"))
     r = rec.where("src > 1")
-    return p, neighbours.nearest(blocking.postings(r, blocking.word_grams(F.col("addr")), 1), 5, 0.2, 300).drop("grp")
+    return p, neighbours.nearest(blocking.postings(r, blocking.word_grams(F.col("addr")), 1), 5, 0.2, NEAR_CAP).drop("grp")
 
 
 @query
@@ -483,6 +554,13 @@ def error_breakdown(spark, sf_dir):
     return decide.error_kinds(u.where("p >= 0.5"), u.where("y"), "s1_id", "r_id", "grp")
 
 
+@query
+def error_examples(spark, sf_dir):
+    u = _unique(spark, sf_dir)
+    real = _truth(spark, sf_dir).groupBy("r_id").agg(F.min("s1_id").alias("s1_id"))
+    return decide.error_examples(u.where("p >= 0.5"), u.where("p >= 0.1"), real, "s1_id", "r_id", "p", 20)
+
+
 @query
 def group_rates(spark, sf_dir):
     u = _unique(spark, sf_dir)
