@@ -117,7 +117,8 @@ class Model:
         fits = self.scripts.T[script_of(words)]
         out = np.where(fits, out, -np.inf)
         best = out.max(axis=1, keepdims=True)
-        return np.where(np.isfinite(best), np.maximum(out - best, -30.0), 0.0).astype(np.float32)
+        known = np.isfinite(best)
+        return np.where(known, np.maximum(out - np.where(known, best, 0.0), -30.0), 0.0).astype(np.float32)
 
     def labels(self, scored: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The language number of each word on each text's best path.

@@ -64,7 +64,7 @@ def fit(samples: DataFrame) -> DataFrame:
     counts = checkpoint(n)
     context = F.expr("left(gram, length(gram) - 1)")
     sums = {f"{k}{c}": f(c) for c in "ar" for k, f in (("n", lambda c: F.sum(f"n{c}")), ("t", lambda c: F.sum((F.col(f"n{c}") > 0).cast("int"))))}
-    # every context is a shorter gram's text: '' for single characters
+    # contexts are shorter grams, '' for single characters, and the edges before a text, which are no grams
     contexts = counts.groupBy(context.alias("ctx")).agg(*[v.alias(f"c{k}") for k, v in sums.items()])
     rows = checkpoint(counts.withColumn("ctx", context).join(contexts, "ctx").withColumn("shorter", F.expr("substr(gram, 2)")))
     done = None
@@ -80,7 +80,7 @@ def fit(samples: DataFrame) -> DataFrame:
     free = {c: F.when(F.col(f"cn{c}") > 0, F.col(f"ct{c}") / (F.col(f"cn{c}") + F.col(f"ct{c}"))).otherwise(F.lit(1.0)) for c in "ar"}
     back = contexts.select(F.col("ctx").alias("gram"), (F.ln(free["a"]) - F.ln(free["r"])).alias("back")).where(F.length("gram") < ORDER)
     ratio = done.select("gram", (F.ln("pa") - F.ln("pr")).alias("ratio"))
-    return checkpoint(ratio.join(back, "gram", "left").unionByName(back.where("gram = ''").select("gram", F.lit(None).cast("double").alias("ratio"), "back")))
+    return checkpoint(ratio.join(back, "gram", "full"))
 
 
 def scores(texts: DataFrame, model: DataFrame, key: str = "s") -> DataFrame:
