@@ -173,8 +173,10 @@ WORDS, BANDS, ROWS = 5, 48, 8
 SKETCHED, SHARED = 128, 80
 #: The least Jaccard similarity of two documents' shingle sets, as a fraction.
 ALIKE = (4, 5)
-#: Members of a band's list that are paired at once; longer lists are linked through one member first, see linked().
+#: Members of a band's list that are paired at once; longer lists are linked through central members first, see linked().
 PAIRED = 32
+#: How many members of a longer list all others are held against, one after another, before the rest is paired.
+CENTRES = 3
 #: Shingles whose hashes are mixed at a time.
 MIXED = 512
 _MIX = np.array([random.Random(i).getrandbits(32) | 1 for i in range(BANDS * ROWS)], np.uint32)
@@ -253,38 +255,82 @@ def linked(own: DataFrame, first: DataFrame) -> DataFrame:
     """Links (a, b) between nodes of first (node, bands, sketch, first): enough to give the components of the similar nodes that share bands.
 
     Nodes that share a band are in its list.  All pairs of a list of up to PAIRED members that share enough positional bytes are held against
-    their sets.  Members of a longer one are first held against its smallest; where that leaves more than one component in
-    the list, all its members of different components that share another such list too are held against each
-    other, however many they are.  Two similar nodes are passed over only where they share no band, or a single one of a
+    their sets.  Members of a longer one are held against its central members, those whose lists are the longest, as the text is that
+    others are copies of: against one after another, as long as more than one component is left in the list.  Where that leaves more
+    than one, all its members of different components that share another such list too, and that can be similar by the number
+    of their shingles that other components have, are held against each other, however many they are.  Two similar nodes are passed over only where they share no band, or a single one of a
     long list: at 0.8 with a chance of about 1 in 600, whatever the size of the table, and less above.
     """
     posts = first.select("node", F.explode("bands").alias("key"))
-    sizes = posts.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).where("n > 1")
+    sizes = posts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     # stored: joins of plain shuffles can be split where a list is very long
     met = stored(posts.join(sizes, "key"), "lists")
     few, many = met.where(F.col("n") <= PAIRED), met.where(F.col("n") > PAIRED)
+    if not many.isEmpty():
+        many = stored(many.join(many.groupBy("node").agg(F.sum("n").alias("c")), "node").select("key", "node", F.struct("c", "node").alias("m")), "long")
+    else:
+        many = many.select("key", "node", F.struct(F.lit(0).cast("long").alias("c"), "node").alias("m"))
     pair = few.select("key", F.col("node").alias("a")).join(few.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b")
-    star = many.where("least <> node").select(F.col("least").alias("a"), F.col("node").alias("b"))
-    pairs = stored(tallied(pair.unionByName(star).distinct(), first), "pairs")
-    sets = _held_sets(own, first, pairs)
-    near = checkpoint(verified(pairs, sets))
-    rooted = many.select("key", "node").join(components(near), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rooted = checkpoint(rooted)
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    left = checkpoint(rooted.join(mixed, "key").groupBy("node", "root").agg(F.sort_array(F.collect_list("key")).alias("keys")).where(F.size("keys") > 1))
+    hubs = many.groupBy("key").agg(F.max("m").alias("hub"))
+    star = _stars(many, hubs)
+    found = stored(tallied(pair.unionByName(star).distinct(), first), "pairs")
+    sets = _held_sets(own, first, found)
+    near = checkpoint(verified(found, sets))
+    for left_ in reversed(range(CENTRES)):
+        rooted = many.join(components(near), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        # a list needs another centre only where members of other components are left, and so do these only
+        mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+        rooted = stored(rooted.join(mixed, "key"), "rooted")
+        if not left_ or rooted.isEmpty():
+            break
+        last = hubs.join(mixed, "key")
+        hubs = checkpoint(rooted.join(last, "key").where("m < hub").groupBy("key").agg(F.max("m").alias("hub")))
+        fresh = _stars(rooted, hubs, True).join(found, ["a", "b"], "left_anti").distinct()
+        found_, more = found, stored(tallied(fresh, first), "pairs")
+        found = found_.unionByName(more)
+        sets = sets.unionByName(_held_sets(own, first, more).join(sets.select("node"), "node", "left_anti"))
+        near = checkpoint(near.unionByName(verified(more, sets)))
+    left = checkpoint(rooted.groupBy("node", "root").agg(F.sort_array(F.collect_list("key")).alias("keys")).where(F.size("keys") > 1))
     if left.isEmpty():
         return near
+    sets = sets.unionByName(_held_sets(own, first, left.select(F.col("node").alias("a"), F.col("node").alias("b"))).join(sets.select("node"), "node", "left_anti"))
+    left = checkpoint(left.join(_reach(left, sets), "node"))
     twice = F.expr("flatten(transform(keys, (x, i) -> transform(slice(keys, i + 2, size(keys)), y -> xxhash64(x, y))))")
     # grouped by component, so that members of one never meet
-    groups = left.select("node", "root", F.explode(twice).alias("key")).groupBy("key", "root").agg(F.collect_list("node").alias("nodes"))
-    open_ = groups.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    groups = left.select("root", F.struct("node", "n", "s").alias("m"), F.explode(twice).alias("key")).groupBy("key", "root").agg(F.collect_list("m").alias("ms"))
+    open_ = groups.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("key")
     groups = stored(groups.join(open_, "key"), "groups")
-    side = lambda k: groups.select("key", F.col("root").alias(f"{k}r"), F.col("nodes").alias(f"{k}s"))
-    across = side("a").join(side("b"), "key").where("ar < br").select(F.explode("as").alias("a"), "bs").select("a", F.explode("bs").alias("b"))
-    rest = stored(tallied(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), first), "rest")
+    side = lambda k: groups.select("key", F.col("root").alias(f"{k}r"), F.col("ms").alias(k))
+    up, down = ALIKE
+    able = F.expr(f"explode(filter(bs, y -> least(x.s, y.s) * {up + down} >= (x.n + y.n) * {up}))")
+    across = side("as").join(side("bs"), "key").where("asr < bsr").select(F.explode("as").alias("x"), "bs").select(F.col("x.node").alias("a"), able.alias("y")).select("a", F.col("y.node").alias("b"))
+    rest = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(found, ["a", "b"], "left_anti")
+    rest = stored(tallied(rest, first), "rest")
     return near.unionByName(verified(rest, sets))
 
 
+def _reach(left: DataFrame, sets: DataFrame) -> DataFrame:
+    """node, n and s of left (node, root): the size of a node's set and how many of its shingles nodes of another component have.
+
+    Two sets share no more than the smaller s, so that pairs of small s cannot be similar, whatever else they have in common.
+    """
+    own = left.select("node", "root").join(sets, "node")
+    each = stored(own.select("node", "root", F.explode("shingles").alias("g")), "shingles")
+    common = each.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("g")
+    known = each.join(common, "g").groupBy("node").agg(F.count(F.lit(1)).alias("s"))
+    return own.select("node", F.size("shingles").cast("long").alias("n")).join(known, "node")
+
+
+def _stars(members: DataFrame, hubs: DataFrame, apart: bool = False) -> DataFrame:
+    """The distinct pairs (a, b) of each list's hub and its other members; apart: only those of other components (root) than the hub's."""
+    hub = hubs.select("key", F.col("hub.node").alias("h"))
+    met = members.join(hub, "key")
+    if apart:
+        own = members.select("key", F.col("node").alias("h"), F.col("root").alias("hr"))
+        met = met.join(own, ["key", "h"]).where("root <> hr")
+    return met.where("h <> node").select(F.least("h", "node").alias("a"), F.greatest("h", "node").alias("b")).distinct()
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one row of each class of similar texts (of one set of five-word shingles, or linked by pairs with a Jaccard
     similarity of 0.8 at least): that of the smallest doc_id (null ones last), then of the smallest row hash.
