@@ -15,14 +15,6 @@ def scores_by_group(entities: DataFrame, chosen: DataFrame, truth: DataFrame, en
     return counts.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(f), 9).alias("macro_f"))
 
 
-def without_entities(pairs: DataFrame, gone: DataFrame, entity: str, record: str, ranks: list[str], absent: int = 99) -> DataFrame:
-    """pairs without the gone entities, channel ranks counted again."""
-    out = pairs.join(gone.select(entity), entity, "left_anti")
-    for r in ranks:
-        out = windows.reranked(out, record, r, entity, absent)
-    return out
-
-
 def shifted(pairs: DataFrame, entity: str, record: str, values: dict[str, str], share: float, ranks: list[str] | None = None) -> DataFrame:
     """What remains when a stable share of the entities was never there: pairs, ranks and context are made anew."""
     held = pairs.where(~learn.in_share(F.col(entity), share))

@@ -350,7 +350,7 @@ def train(raw: DataFrame, truth: DataFrame, path: str, s: Settings | None = None
     lines, out = {}, full.select("j", "i1", "y")
     for name in s.lines:
         made, lines[name] = _trained_line(name, full, b, s, work)
-        out = out.join(made, key, "left")
+        out = decide.aligned(out, made, "i1", "j", f"p_{name}", f"p_{name}")
     out = work.keep(out, "scores")
     models, entities = [f"p_{n}" for n in s.lines], b.norm.where("src = 1").select(F.col("entity_id").alias("s1_id"))
     pairs = out.withColumnsRenamed({"i1": "s1_id", "j": "r_id"})
@@ -404,7 +404,7 @@ def predict(raw: DataFrame, trained: Trained, path: str) -> tuple[DataFrame, Dat
     out = full.select("j", "i1")
     for name in s.lines:
         if f"p_{name}" in trained.blend:
-            out = out.join(_scored_line(name, full, b, trained, work), key, "left")
+            out = decide.aligned(out, _scored_line(name, full, b, trained, work), "i1", "j", f"p_{name}", f"p_{name}")
     scored = work.keep(out.withColumn("p", decide.mean_of_present(trained.blend)), "scores")
     return decided(scored, s), cand.select("j", "i1")
 

@@ -56,6 +56,9 @@ def test_whole_run_finds_most_links(spark, tmp_path):
     again = linkage.rescored_without(full, truth, trained, vec, 0.2).toPandas()
     gone = {r.i1 for r in full.where(learn.in_share("i1", 0.2)).select("i1").distinct().collect()}
     assert gone and not gone & set(again.s1_id) and len(again) == full.where(~learn.in_share("i1", 0.2)).count() and again.p.between(0, 1).all()
+    raw, norm0 = (spark.read.parquet(f"{tmp_path}/work/train/{n}") for n in ("cand_raw", "norm_s0"))
+    held = linkage.candidates_without(raw, norm0, trained.ranker, 0.2, small).toPandas()
+    assert not gone & set(held.i1) and held.groupby("j").size().max() <= 5 and (held.p0 >= small.floor).all()
 
 
 def test_indic_words(spark):
