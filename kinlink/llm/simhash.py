@@ -11,9 +11,10 @@ A posting list longer than LISTED would give a square of pairs.  Its members are
 each posts itself and its 64 one-bit neighbours, and members that share a post are within two bits of
 each other, and the other way round; each post links its members to their smallest one.
 
-Similarity search (keep_one) indexes positions of another signature, the least hashes of the five-word shingle sets: it posts
-combinations of eight positions, tallies the shared positional bytes of each pair that meets, drops pairs below the
-minimum, and verifies the rest by their sets; see linked().
+Similarity search (keep_one) takes the pairs of this index over the fingerprints of the five-word shingle sets.  Sets of a similarity
+of 0.8 differ in some ten bits of 64, so it also indexes positions of another signature, the sets' least hashes, in the same way:
+it posts combinations of eight positions, tallies the shared positional bytes of each pair that meets and drops pairs below the
+minimum.  All pairs of both are verified by their sets; see linked().
 
 Texts of any length count as a whole; a worker holds some 30 bytes for each word of the text at hand.
 """
@@ -25,6 +26,8 @@ from functools import reduce
 from itertools import combinations, repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -177,6 +180,8 @@ ALIKE = (4, 5)
 PAIRED = 32
 #: How many members of a longer list all others are held against, one after another, before the rest is paired.
 CENTRES = 3
+#: Sets of a cluster that a task holds against as many.
+BLOCK = 4096
 #: Shingles whose hashes are mixed at a time.
 MIXED = 512
 _MIX = np.array([random.Random(i).getrandbits(32) | 1 for i in range(BANDS * ROWS)], np.uint32)
@@ -207,15 +212,26 @@ def _signature(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def nodes(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """keep, node (the hash of a text's shingle set, equal for equal sets), bands and sketch of that set."""
+    """keep, node (the hash of a text's shingle set, equal for equal sets), fp (the set's SimHash), bands and sketch of that set."""
 
     def told(text):
         h = _hash_set(text, WORDS)
         node = xxhash.xxh64_intdigest(h.tobytes(), SEED)
-        return node - (node >> 63 << 64), *(x.view(np.int64) for x in _signature(h))
+        ones = sum((_ones(h[a : a + COUNTED]) for a in range(0, len(h), COUNTED)), np.zeros(64, np.int64))
+        fp = sum(1 << int(b) for b in np.flatnonzero(2 * ones > len(h)))
+        return node - (node >> 63 << 64), fp - (fp >> 63 << 64), *(x.view(np.int64) for x in _signature(h))
 
-    made = [("node", "long"), ("bands", "array<long>"), ("sketch", "array<long>")]
-    return text_pass(docs, keep, "text", made, lambda: lambda texts: list(zip(*map(told, texts))) or [[]] * 3)
+    made = [("node", "long"), ("fp", "long"), ("bands", "array<long>"), ("sketch", "array<long>")]
+    return text_pass(docs, keep, "text", made, lambda: lambda texts: list(zip(*map(told, texts))) or [[]] * 4)
+
+
+def proposed(first: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes of first (node, fp) by links(): those of one fingerprint with its least node, and the least nodes of linked ones."""
+    least = checkpoint(first.groupBy("fp").agg(F.min("node").alias("h")))
+    equal = first.join(least, "fp").where("h <> node").select("h", "node")
+    side = lambda k: least.select(F.col("fp").alias(k), F.col("h").alias(f"{k}h"))
+    near = links(least.select("fp")).join(side("a"), "a").join(side("b"), "b").select(F.col("ah").alias("h"), F.col("bh").alias("node"))
+    return equal.unionByName(near).select(F.least("h", "node").alias("a"), F.greatest("h", "node").alias("b"))
 
 
 def tallied(pairs: DataFrame, first: DataFrame) -> DataFrame:
@@ -257,8 +273,7 @@ def linked(own: DataFrame, first: DataFrame) -> DataFrame:
     Nodes that share a band are in its list.  All pairs of a list of up to PAIRED members that share enough positional bytes are held against
     their sets.  Members of a longer one are held against its central members, those whose lists are the longest, as the text is that
     others are copies of: against one after another, as long as more than one component is left in the list.  Where that leaves more
-    than one, all its members of different components that share another such list too, and that can be similar by the number
-    of their shingles that other components have, are held against each other, however many they are.  Two similar nodes are passed over only where they share no band, or a single one of a
+    than one, its members that are in another such list too are held against all of their cluster, however many they are; see _across().  Two similar nodes are passed over only where they share no band, or a single one of a
     long list: at 0.8 with a chance of about 1 in 600, whatever the size of the table, and less above.
     """
     posts = first.select("node", F.explode("bands").alias("key"))
@@ -273,11 +288,16 @@ def linked(own: DataFrame, first: DataFrame) -> DataFrame:
     pair = few.select("key", F.col("node").alias("a")).join(few.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b")
     hubs = many.groupBy("key").agg(F.max("m").alias("hub"))
     star = _stars(many, hubs)
-    found = stored(tallied(pair.unionByName(star).distinct(), first), "pairs")
+    found = tallied(pair.unionByName(star).distinct(), first)
+    if "fp" in first.columns:
+        found = found.unionByName(proposed(first)).distinct()
+    found = stored(found, "pairs")
     sets = _held_sets(own, first, found)
     near = checkpoint(verified(found, sets))
+    held = stored(many.groupBy("node").agg(F.collect_list(F.struct("key", "m")).alias("ms")), "held")
     for left_ in reversed(range(CENTRES)):
-        rooted = many.join(components(near), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        # a row for each node, not for each of its lists
+        rooted = held.join(components(near), "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.explode("ms").alias("l")).select("node", "root", "l.key", "l.m")
         # a list needs another centre only where members of other components are left, and so do these only
         mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
         rooted = stored(rooted.join(mixed, "key"), "rooted")
@@ -294,31 +314,75 @@ def linked(own: DataFrame, first: DataFrame) -> DataFrame:
     if left.isEmpty():
         return near
     sets = sets.unionByName(_held_sets(own, first, left.select(F.col("node").alias("a"), F.col("node").alias("b"))).join(sets.select("node"), "node", "left_anti"))
-    left = checkpoint(left.join(_reach(left, sets), "node"))
-    twice = F.expr("flatten(transform(keys, (x, i) -> transform(slice(keys, i + 2, size(keys)), y -> xxhash64(x, y))))")
-    # grouped by component, so that members of one never meet
-    groups = left.select("root", F.struct("node", "n", "s").alias("m"), F.explode(twice).alias("key")).groupBy("key", "root").agg(F.collect_list("m").alias("ms"))
-    open_ = groups.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("key")
-    groups = stored(groups.join(open_, "key"), "groups")
-    side = lambda k: groups.select("key", F.col("root").alias(f"{k}r"), F.col("ms").alias(k))
-    up, down = ALIKE
-    able = F.expr(f"explode(filter(bs, y -> least(x.s, y.s) * {up + down} >= (x.n + y.n) * {up}))")
-    across = side("as").join(side("bs"), "key").where("asr < bsr").select(F.explode("as").alias("x"), "bs").select(F.col("x.node").alias("a"), able.alias("y")).select("a", F.col("y.node").alias("b"))
-    rest = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(found, ["a", "b"], "left_anti")
-    rest = stored(tallied(rest, first), "rest")
-    return near.unionByName(verified(rest, sets))
+    return near.unionByName(_across(left, sets))
 
 
-def _reach(left: DataFrame, sets: DataFrame) -> DataFrame:
-    """node, n and s of left (node, root): the size of a node's set and how many of its shingles nodes of another component have.
+def _across(left: DataFrame, sets: DataFrame) -> DataFrame:
+    """One link (a, b) for each two components of left (node, root, keys) in a block that have similar nodes, by the exact sets.
 
-    Two sets share no more than the smaller s, so that pairs of small s cannot be similar, whatever else they have in common.
+    Nodes that are joined by lists are a cluster; all of a cluster are held against each other, a block of them against a block at a
+    time, over the shingles that nodes of other components have too.  The work for a cluster of unlike members grows with its
+    square, what is written does not: each set once for each of its cluster's blocks, and the links.
     """
     own = left.select("node", "root").join(sets, "node")
     each = stored(own.select("node", "root", F.explode("shingles").alias("g")), "shingles")
     common = each.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("g")
-    known = each.join(common, "g").groupBy("node").agg(F.count(F.lit(1)).alias("s"))
-    return own.select("node", F.size("shingles").cast("long").alias("n")).join(known, "node")
+    known = each.join(common, "g").groupBy("node").agg(F.collect_list("g").alias("gs"))
+    up, down = ALIKE
+    # a set shares at least this part of itself with any similar one
+    able = own.select("node", "root", F.size("shingles").alias("n")).join(known, "node").where(F.size("gs") * down >= F.col("n") * up)
+    posts = left.select("node", F.explode("keys").alias("key"))
+    meets = posts.join(posts.groupBy("key").agg(F.min("node").alias("h")), "key").select(F.col("h").alias("a"), F.col("node").alias("b")).distinct()
+    able = stored(able.join(components(meets).withColumnRenamed("root", "cluster"), "node"), "able")
+    n = able.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = able.join(n, "cluster").withColumn("at", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+
+    def side(k: str, q, x) -> DataFrame:
+        made = dealt.select("cluster", "node", "root", "n", "gs", "at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        return made.where("at <= other" if k == "q" else "other <= at").select(*[F.col(c).alias(f"{k}_{c}") for c in ("node", "root", "n", "gs", "cluster")], F.col(q).alias(f"{k}_q"), F.col(x).alias(f"{k}_x"))
+
+    on = lambda k: [f"{k}_cluster", f"{k}_q", f"{k}_x"]
+    pairs = side("q", "at", "other").groupBy(*on("q")).cogroup(side("x", "other", "at").groupBy(*on("x")))
+    return stored(pairs.applyInArrow(_similar, "a long, b long"), "across")
+
+
+def _similar(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Links (a, b) of two blocks of sets (node, root, n, gs), one for each two roots with a pair of ALIKE at least."""
+    (qn, qr, qs), (xn, xr, xs) = ([t.column(f"{k}_{c}").to_numpy() for c in ("node", "root", "n")] for k, t in (("q", left), ("x", right)))
+    made = {"a": [], "b": []}
+    if len(qn) and len(xn):
+        (qg, qi), (xg, xi) = ((pc.list_flatten(t.column(f"{k}_gs")).to_numpy(), pc.list_parent_indices(t.column(f"{k}_gs")).to_numpy()) for k, t in (("q", left), ("x", right)))
+        both = np.intersect1d(qg, xg)
+        held = []
+        for g, i in ((qg, qi), (xg, xi)):
+            at = np.searchsorted(both, g)
+            kept = both[np.minimum(at, len(both) - 1)] == g if len(both) else np.zeros(len(g), bool)
+            at, i = at[kept], i[kept]
+            by = np.argsort(at, kind="stable")
+            held.append((i[by], np.concatenate(([0], np.cumsum(np.bincount(at, minlength=len(both)))))))
+        (qi, qe), (xi, xe) = held
+        counts = np.zeros((len(qn), len(xn)), np.float32)
+        wide = np.flatnonzero(np.diff(qe) * np.diff(xe) > 4096)
+        for g in np.setdiff1d(np.arange(len(both)), wide).tolist():
+            counts[np.ix_(qi[qe[g] : qe[g + 1]], xi[xe[g] : xe[g + 1]])] += 1
+        # shingles of many sets by matrix products, some at a time
+        for a in range(0, len(wide), 1024):
+            part = wide[a : a + 1024].tolist()
+            one, two = np.zeros((len(qn), len(part)), np.float32), np.zeros((len(xn), len(part)), np.float32)
+            for c, g in enumerate(part):
+                one[qi[qe[g] : qe[g + 1]], c] = 1
+                two[xi[xe[g] : xe[g + 1]], c] = 1
+            counts += one @ two.T
+        up, down = ALIKE
+        seen = set()
+        for i in range(len(qn)):
+            for j in np.flatnonzero((counts[i] * (up + down) >= (qs[i] + xs) * up) & (xr != qr[i])).tolist():
+                roots = (min(qr[i], xr[j]), max(qr[i], xr[j]))
+                if roots not in seen:
+                    seen.add(roots)
+                    made["a"].append(min(qn[i], xn[j]))
+                    made["b"].append(max(qn[i], xn[j]))
+    return pa.table({k: pa.array(v, pa.int64()) for k, v in made.items()})
 
 
 def _stars(members: DataFrame, hubs: DataFrame, apart: bool = False) -> DataFrame:
@@ -343,7 +407,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     own = docs.select(F.struct(*cells).alias("rest"), F.col("doc_id").alias("id"), F.col("text"), F.xxhash64(*cells).alias("row"))
     rows = checkpoint(nodes(own, ["id", "row"]))
     order = F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("row").alias("row"))
-    first = checkpoint(rows.groupBy("node").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.min(order).alias("first")))
+    first = checkpoint(rows.groupBy("node").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("fp").alias("fp"), F.min(order).alias("first")))
     rooted = first.select("node", "first").join(components(linked(own, first)), "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = checkpoint(rooted.groupBy("root").agg(F.min("first").alias("k")).select(F.col("k.id").alias("other"), F.col("k.row").alias("row")).distinct())
     out = own.join(kept, "row").where(F.col("id").eqNullSafe(F.col("other")))

@@ -240,3 +240,24 @@ def test_cleaned_keeps_whole_characters(spark):
     assert rows[2].clean == "" and rows[0].spans and "b" in rows[0].clean
     for i in (0, 1):
         assert len(rows[i].clean) < 10
+
+
+def test_keep_one_takes_the_pairs_of_the_fingerprint_index(spark):
+    own = lambda k, n: " ".join(f"own{k}x{i}" for i in range(n))
+    rows = simhash.nodes(docs(spark, [own(1, 900), own(1, 900) + " x", own(2, 900)]), ["doc_id"]).orderBy("doc_id").collect()
+    assert bin((rows[0].fp ^ rows[1].fp) & (1 << 64) - 1).count("1") <= 2
+    got = {(r.a, r.b) for r in simhash.proposed(spark.createDataFrame(rows).select("node", "fp")).collect()}
+    assert got == {tuple(sorted((rows[0].node, rows[1].node)))}
+
+
+def test_across_equals_brute_force(spark, monkeypatch):
+    rng = random.Random(4)
+    sets = [sorted(rng.sample(range(100), rng.randrange(84, 100))) for _ in range(60)] + [list(range(500 + k, 600 + k)) for k in (0, 3)]
+    alike = lambda a, b: 5 * len(set(a) & set(b)) >= 4 * len(set(a) | set(b))
+    left = spark.createDataFrame([(k, k, [1, 2]) for k in range(62)], "node long, root long, keys array<long>")
+    held = spark.createDataFrame(list(enumerate(sets)), "node long, shingles array<long>")
+    want = {(a, b) for a in range(62) for b in range(a + 1, 62) if alike(sets[a], sets[b])}
+    assert 0 < len(want) < 61 * 31
+    for size in (4096, 9):
+        monkeypatch.setattr(simhash, "BLOCK", size)
+        assert {(r.a, r.b) for r in simhash._across(left, held).collect()} == want
