@@ -1,8 +1,8 @@
 """Suffix arrays by induced sorting, and permuted common prefixes, in numpy.
 
 Suffixes are classified as smaller (S) or larger (L) than their successors.  Leftmost S suffixes bound
-substrings that one round of induction sorts; their names form a shorter text, whose suffix array is
-made recursively where names repeat; a second round induces the whole array from it.  A virtual end
+substrings that are sorted some symbols at a time; their names form a shorter text, whose suffix array is
+made recursively where names repeat; a round of induction gives the whole array from it.  A virtual end
 smaller than every symbol closes the text.  Over small alphabets a round walks the buckets in order and
 induces all known entries of a bucket at once, again while the bucket grows; over the large alphabets of
 recursion it walks single entries.
@@ -14,6 +14,8 @@ import numpy as np
 
 #: Alphabets up to this size are induced bucket by bucket.
 SMALL = 512
+#: Rounds of sorting by some more symbols; what is still equal then is sorted by all of the rest.
+ROUNDS = 12
 
 
 def _classes(t: np.ndarray) -> np.ndarray:
@@ -134,19 +136,48 @@ def _induce_entries(t: np.ndarray, smaller: np.ndarray, seeds: np.ndarray, k: in
     return np.array(sa, np.int64)
 
 
-def _named(t: np.ndarray, ordered: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Whether each of the ordered leftmost-S substrings differs from the one before it."""
-    differs = np.ones(len(ordered), bool)
-    same = np.flatnonzero(length[1:] == length[:-1]) + 1
-    differs[same] = False
-    a, b, left, k = ordered[same - 1], ordered[same], length[same], 0
-    while len(same):
-        off = t[a + k] != t[b + k]
-        differs[same[off]] = True
-        k += 1
-        more = ~off & (left > k)
-        same, a, b, left = same[more], a[more], b[more], left[more]
-    return differs
+def _sorted_substrings(t: np.ndarray, smaller: np.ndarray, leftmost: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the substrings from each leftmost S suffix through the next, and whether each differs from the one before it.
+
+    A symbol counts with its class (S above L), so that none is a proper prefix of another; the last one ends in the virtual end, zero.
+    As many symbols as fit make one number; equal numbers are told apart by the symbols behind, the longest ones by their bytes.
+    """
+    n, m, bits = len(t), len(leftmost), (2 * k).bit_length()
+    wide = np.zeros(n + 1, np.uint64)
+    wide[:n] = (t.astype(np.uint64) << np.uint64(1)) + smaller + np.uint64(1)
+    length = np.append(np.diff(leftmost) + 1, n + 1 - leftmost[-1])
+    each = 64 // bits
+
+    def code(of: np.ndarray, at: int) -> np.ndarray:
+        out, begin, left = np.zeros(len(of), np.uint64), leftmost[of] + at, length[of] - at
+        for i in range(each):
+            out = (out << np.uint64(bits)) | np.where(left > i, wide[np.minimum(begin + i, n)], np.uint64(0))
+        return out
+
+    codes = code(np.arange(m), 0)
+    order = np.argsort(codes)
+    codes = codes[order]
+    differs = np.concatenate(([True], codes[1:] != codes[:-1]))
+    for at in range(each, ROUNDS * each + 1, each):
+        # equal so far, and so as long as each other or both longer
+        equal = ~differs
+        equal[:-1] |= ~differs[1:]
+        some = np.flatnonzero(equal & (length[order] > at))
+        if not len(some):
+            break
+        group = np.cumsum(differs)[some]
+        if at < ROUNDS * each:
+            codes = code(order[some], at)
+            by = np.lexsort((codes, group))
+            new = codes[by][1:] != codes[by][:-1]
+        else:
+            big = wide.astype(">u8")
+            rest = [big[a:b].tobytes() for a, b in zip((leftmost[order[some]] + at).tolist(), (leftmost[order[some]] + length[order[some]]).tolist())]
+            by = np.array(sorted(range(len(some)), key=lambda i: (group[i], rest[i])))
+            new = np.array([rest[i] != rest[j] for i, j in zip(by[1:], by[:-1])], bool)
+        order[some] = order[some[by]]
+        differs[some[1:]] |= new
+    return order, differs
 
 
 def suffix_array(t: np.ndarray, k: int) -> np.ndarray:
@@ -158,23 +189,15 @@ def suffix_array(t: np.ndarray, k: int) -> np.ndarray:
     smaller = _classes(t)
     leftmost = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
     induce = _induce_buckets if k <= SMALL else _induce_entries
-    sa = induce(t, smaller, leftmost, k)
     if len(leftmost) < 2:
-        return sa
-    is_leftmost = np.zeros(n, bool)
-    is_leftmost[leftmost] = True
-    ordered = sa[is_leftmost[sa]]
-    number = np.cumsum(is_leftmost) - 1
-    # a substring reaches through the symbol that begins the next one; the last reaches the end and has no equal
-    reach = np.append(np.diff(leftmost) + 1, 0)
-    length = reach[number[ordered]]
-    length[number[ordered] == len(leftmost) - 1] = n + 1
-    name = np.cumsum(_named(t, ordered, length)) - 1
-    short = np.empty(len(leftmost), np.int64)
-    short[number[ordered]] = name
+        return induce(t, smaller, leftmost, k)
+    order, differs = _sorted_substrings(t, smaller, leftmost, k)
+    name = np.cumsum(differs) - 1
     if name[-1] + 1 < len(leftmost):
-        ordered = leftmost[suffix_array(short, int(name[-1]) + 1)]
-    return induce(t, smaller, ordered, k)
+        short = np.empty(len(leftmost), np.int64)
+        short[order] = name
+        order = suffix_array(short, int(name[-1]) + 1)
+    return induce(t, smaller, leftmost[order], k)
 
 
 def permuted_prefixes(t: np.ndarray, sa: np.ndarray, most: int, lane: int = 64) -> np.ndarray:
