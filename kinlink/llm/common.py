@@ -62,10 +62,13 @@ def scratch(spark: SparkSession):
         yield
     finally:
         made, _SCRATCH[0] = _SCRATCH[0], kept
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         for path in made:
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(conf).delete(at, True)
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -76,9 +79,9 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written as zstd Parquet to a new folder below the shared one, and read back.  It stays there unless a scratch() ends."""
-    path = new_path(df.sparkSession, name)
+def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """df, written as zstd Parquet to a new folder below the shared one (path, if given), and read back.  It stays there unless a scratch() ends."""
+    path = path or new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinlink.llm.common import checkpoint, stored, text_pass
+from kinlink.llm.common import delete, new_path, stored, text_pass
 
 SEED = 42
 SHINGLE = 3
@@ -113,7 +113,7 @@ def links(fps: DataFrame) -> DataFrame:
     """
     posts = fps.select("fp", F.explode(_lists(F.col("fp"))).alias("key"))
     sizes = posts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = checkpoint(posts.join(sizes, "key"))
+    met = stored(posts.join(sizes, "key"), "posts")
     few, many = met.where(F.col("n") <= LISTED), met.where(F.col("n") > LISTED).select("fp").distinct()
     pair = few.select("key", F.col("fp").alias("a")).join(few.select("key", F.col("fp").alias("b")), "key").where("a < b")
     other = F.col("a").bitwiseXOR(F.col("b"))
@@ -130,22 +130,27 @@ def components(edges: DataFrame) -> DataFrame:
     """node and root (its component's smallest node) of every node in edges (a, b), by alternating stars.
 
     A large star links every larger neighbour of a node to the smallest node around it; a small star
-    does so for smaller neighbours.  Each round is checkpointed; only counts and sums reach the driver.
+    does so for smaller neighbours.  Each round is stored, as small files are read together, and the one before it deleted; only counts
+    and sums reach the driver.
     """
-    now, before = checkpoint(edges.select("a", "b").where("a <> b").distinct()), None
+    spark, before, path = edges.sparkSession, None, ""
+    left = edges.select("a", "b").where("a <> b").distinct()
     while True:
+        last, path = path, new_path(spark, "edges")
+        now = stored(left, "edges", path)
+        if last:
+            delete(spark, last)
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).head()
         if tuple(state) == before or not state[0]:
             break
         before = tuple(state)
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = now.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))).select("col.a", "col.b")
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
+        large = both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a <> b")
         # here a < b: the smaller neighbours of b are its a
         small = large.groupBy("b").agg(F.min("a").alias("m"))
-        now = checkpoint(large.join(small, "b").select(F.col("m").alias("r"), "a", "b").select("r", F.explode(F.array("a", "b")).alias("x")).where("r <> x").select(F.col("r").alias("a"), F.col("x").alias("b")).distinct())
-    stars = now.select(F.col("b").alias("node"), F.col("a").alias("root"))
-    return stars.unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
+        left = large.join(small, "b").select(F.col("m").alias("r"), "a", "b").select("r", F.explode(F.array("a", "b")).alias("x")).where("r <> x").select(F.col("r").alias("a"), F.col("x").alias("b")).distinct()
+    return now.select(F.explode(F.array("a", "b")).alias("node"), F.col("a").alias("root")).distinct()
 
 
 def classes(fps: DataFrame) -> DataFrame:
@@ -160,7 +165,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", shingle: int = SHINGLE
     never a component_id unless a component has no other.  An empty table stays empty, a text of any length counts as a whole,
     and other columns of docs, whatever their names, play no part.
     """
-    rows = checkpoint(fingerprints(docs, [key], shingle))
+    rows = stored(fingerprints(docs, [key], shingle), "fingerprints")
     first = rows.groupBy("fp").agg(F.min(key).alias("first"))
     rooted = first.join(classes(first), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -227,7 +232,7 @@ def nodes(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 def proposed(first: DataFrame) -> DataFrame:
     """Pairs (a, b) of nodes of first (node, fp) by links(): those of one fingerprint with its least node, and the least nodes of linked ones."""
-    least = checkpoint(first.groupBy("fp").agg(F.min("node").alias("h")))
+    least = stored(first.groupBy("fp").agg(F.min("node").alias("h")), "least")
     equal = first.join(least, "fp").where("h <> node").select("h", "node")
     side = lambda k: least.select(F.col("fp").alias(k), F.col("h").alias(f"{k}h"))
     near = links(least.select("fp")).join(side("a"), "a").join(side("b"), "b").select(F.col("ah").alias("h"), F.col("bh").alias("node"))
@@ -293,7 +298,7 @@ def linked(own: DataFrame, first: DataFrame) -> DataFrame:
         found = found.unionByName(proposed(first)).distinct()
     found = stored(found, "pairs")
     sets = _held_sets(own, first, found)
-    near = checkpoint(verified(found, sets))
+    near = stored(verified(found, sets), "near")
     held = stored(many.groupBy("node").agg(F.collect_list(F.struct("key", "m")).alias("ms")), "held")
     for left_ in reversed(range(CENTRES)):
         # a row for each node, not for each of its lists
@@ -304,13 +309,13 @@ def linked(own: DataFrame, first: DataFrame) -> DataFrame:
         if not left_ or rooted.isEmpty():
             break
         last = hubs.join(mixed, "key")
-        hubs = checkpoint(rooted.join(last, "key").where("m < hub").groupBy("key").agg(F.max("m").alias("hub")))
+        hubs = stored(rooted.join(last, "key").where("m < hub").groupBy("key").agg(F.max("m").alias("hub")), "hubs")
         fresh = _stars(rooted, hubs, True).join(found, ["a", "b"], "left_anti").distinct()
         found_, more = found, stored(tallied(fresh, first), "pairs")
         found = found_.unionByName(more)
         sets = sets.unionByName(_held_sets(own, first, more).join(sets.select("node"), "node", "left_anti"))
-        near = checkpoint(near.unionByName(verified(more, sets)))
-    left = checkpoint(rooted.groupBy("node", "root").agg(F.sort_array(F.collect_list("key")).alias("keys")).where(F.size("keys") > 1))
+        near = stored(near.unionByName(verified(more, sets)), "near")
+    left = stored(rooted.groupBy("node", "root").agg(F.sort_array(F.collect_list("key")).alias("keys")).where(F.size("keys") > 1), "left")
     if left.isEmpty():
         return near
     sets = sets.unionByName(_held_sets(own, first, left.select(F.col("node").alias("a"), F.col("node").alias("b"))).join(sets.select("node"), "node", "left_anti"))
@@ -405,11 +410,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     cells = [F.col(f"`{c}`") for c in docs.columns]
     own = docs.select(F.struct(*cells).alias("rest"), F.col("doc_id").alias("id"), F.col("text"), F.xxhash64(*cells).alias("row"))
-    rows = checkpoint(nodes(own, ["id", "row"]))
+    rows = stored(nodes(own, ["id", "row"]), "nodes")
     order = F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("row").alias("row"))
-    first = checkpoint(rows.groupBy("node").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("fp").alias("fp"), F.min(order).alias("first")))
+    first = stored(rows.groupBy("node").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("fp").alias("fp"), F.min(order).alias("first")), "first")
     rooted = first.select("node", "first").join(components(linked(own, first)), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    kept = checkpoint(rooted.groupBy("root").agg(F.min("first").alias("k")).select(F.col("k.id").alias("other"), F.col("k.row").alias("row")).distinct())
+    kept = stored(rooted.groupBy("root").agg(F.min("first").alias("k")).select(F.col("k.id").alias("other"), F.col("k.row").alias("row")).distinct(), "kept")
     out = own.join(kept, "row").where(F.col("id").eqNullSafe(F.col("other")))
     ties = rows.groupBy("id", "row").count().where("count > 1").limit(1).count()
     return (out.dropDuplicates(["row", "id"]) if ties else out).select("rest.*")
