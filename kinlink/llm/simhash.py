@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinlink.llm.common import delete, new_path, stored, text_pass
+from kinlink.llm.common import delete, new_path, scratch, stored, text_pass
 
 SEED = 42
 SHINGLE = 3
@@ -410,11 +410,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     cells = [F.col(f"`{c}`") for c in docs.columns]
     own = docs.select(F.struct(*cells).alias("rest"), F.col("doc_id").alias("id"), F.col("text"), F.xxhash64(*cells).alias("row"))
-    rows = stored(nodes(own, ["id", "row"]), "nodes")
-    order = F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("row").alias("row"))
-    first = stored(rows.groupBy("node").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("fp").alias("fp"), F.min(order).alias("first")), "first")
-    rooted = first.select("node", "first").join(components(linked(own, first)), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    kept = stored(rooted.groupBy("root").agg(F.min("first").alias("k")).select(F.col("k.id").alias("other"), F.col("k.row").alias("row")).distinct(), "kept")
+    spark = docs.sparkSession
+    path = new_path(spark, "kept")
+    with scratch(spark):
+        rows = stored(nodes(own, ["id", "row"]), "nodes")
+        order = F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("row").alias("row"))
+        first = stored(rows.groupBy("node").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("fp").alias("fp"), F.min(order).alias("first")), "first")
+        rooted = first.select("node", "first").join(components(linked(own, first)), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        kept = stored(rooted.groupBy("root").agg(F.min("first").alias("k")).select(F.col("k.id").alias("other"), F.col("k.row").alias("row")).distinct(), "kept", path)
+        ties = rows.groupBy("id", "row").count().where("count > 1").limit(1).count()
     out = own.join(kept, "row").where(F.col("id").eqNullSafe(F.col("other")))
-    ties = rows.groupBy("id", "row").count().where("count > 1").limit(1).count()
     return (out.dropDuplicates(["row", "id"]) if ties else out).select("rest.*")
