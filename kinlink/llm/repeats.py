@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from kinlink.llm.common import bounded_batches, new_path, scratch, steps, stored, text_pass
+from kinlink.llm.common import bounded_batches, delete, new_path, scratch, steps, stored, text_pass
 from kinlink.llm.suffixes import repeated
 
 LENGTH = 200
@@ -94,7 +94,10 @@ def segments(raws: list[bytes], length: int = LENGTH, gram: int = GRAM):
 def _cut(parts: list[tuple[int, int, bytes]], length: int, gram: int):
     span = length - gram + 1
     buffer = b"".join([p[2] for p in parts])
-    h, wide, wider = gram_hashes(np.frombuffer(buffer, np.uint8), gram, 2 * gram, 4 * gram)
+    h = gram_hashes(np.frombuffer(buffer, np.uint8), gram)[0]
+    # hashes of twice and four times as many bytes, as gram_hashes() makes them, only where they are asked for
+    wide = lambda at: _mix(h[at] * _M1 + h[at + gram] * _M3)
+    wider = lambda at: _mix(wide(at) * _M1 + wide(at + 2 * gram) * _M3)
     n = len(h)
     keys = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(n, dtype=np.uint64)
     blocks = np.full(-(-n // span) * span, np.iinfo(np.uint64).max, np.uint64)
@@ -117,9 +120,9 @@ def _cut(parts: list[tuple[int, int, bytes]], length: int, gram: int):
     windows = np.diff(np.append(first, len(owner)))
     place = anchor - np.where(side, 0, before)
     last = anchor + gram + np.where(side, after, 0) - 2 * gram
-    key = _mix(wide[place] * _M1 + wide[last] * _M3 + side)
+    key = _mix(wide(place) * _M1 + wide(last) * _M3 + side)
     end = begin + windows + length - 1
-    seg = _mix(wider[begin] * _M1 + wider[(begin + end) // 2 - 2 * gram] * _M3 + wider[end - 4 * gram] * _M2 + windows.astype(np.uint64))
+    seg = _mix(wider(begin) * _M1 + wider((begin + end) // 2 - 2 * gram) * _M3 + wider(end - 4 * gram) * _M2 + windows.astype(np.uint64))
     texts, bases = (np.array([p[i] for p in parts])[own] for i in (0, 1))
     return buffer, texts, begin, begin - begins[own] + bases, windows, key.view(np.int64), place - begin, side, seg.view(np.int64)
 
@@ -324,11 +327,14 @@ def covers(docs: DataFrame, length: int = LENGTH, large: int = LARGE) -> DataFra
     """tk and l: for each text with repeated windows the packed places of its segments and their runs (null: all windows)."""
     path = new_path(docs.sparkSession, "covers")
     with scratch(docs.sparkSession):
-        found = occurrences(docs, length)
+        # stored: texts are cut once, for the count and for the places
+        cut = new_path(docs.sparkSession, "occurrences")
+        found = stored(occurrences(docs, length), "occurrences", cut)
         shared = stored(found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "keys")
         # each place of a text once, however many copies the text has
         places = found.join(shared, "key").repartition("key", "seg", "tk", "at").groupBy("key", "seg", "tk", "at").agg(F.count(F.lit(1)).alias("m"))
         places = stored(places, "places")
+        delete(docs.sparkSession, cut)
         place = F.struct("tk", "at", "m")
         each = stored(places.groupBy("key", "seg").agg(F.sum("m").alias("n"), F.min(place).alias("lo"), F.max(place).alias("hi")), "each")
         mixed = each.groupBy("key").agg(F.count(F.lit(1)).alias("d")).where("d > 1").select("key")

@@ -5,11 +5,13 @@ substrings that are sorted some symbols at a time; their names form a shorter te
 made recursively where names repeat; a round of induction gives the whole array from it.  A virtual end
 smaller than every symbol closes the text.  Over small alphabets a round walks the buckets in order and
 induces all known entries of a bucket at once, again while the bucket grows; over the large alphabets of
-recursion it walks single entries.
+recursion it sorts entries by their symbols up to the next leftmost suffix, and then as those are.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 
 #: Alphabets up to this size are induced bucket by bucket.
@@ -99,41 +101,45 @@ def _induce_buckets(t: np.ndarray, smaller: np.ndarray, seeds: np.ndarray, k: in
 
 
 def _induce_entries(t: np.ndarray, smaller: np.ndarray, seeds: np.ndarray, k: int) -> np.ndarray:
-    n = len(t)
-    size = np.bincount(t, minlength=k)
-    stop = np.cumsum(size)
-    # for each suffix the symbol before it where that suffix is L (or S), else -1; the last place is for empty entries
-    to_l, to_s = np.full(n + 1, -1), np.full(n + 1, -1)
-    symbols = t[:-1].astype(np.int64)
-    to_l[1:n] = np.where(smaller[:-1], -1, symbols)
-    to_s[1:n] = np.where(smaller[:-1], symbols, -1)
-    sa = np.full(n, -1, np.int64)
-    if len(seeds):
-        order, place, symbols, count = _spread(t[seeds])
-        seeded = np.zeros(k, np.int64)
-        seeded[symbols] = count
-        s = t[seeds][order]
-        sa[stop[s] - seeded[s] + place] = seeds[order]
-    sa = sa.tolist()
-    head, before = (stop - size).tolist(), to_l.tolist()
-    # the virtual end comes first and induces the last suffix
-    c = int(t[n - 1])
-    sa[head[c]] = n - 1
-    head[c] += 1
-    for i in sa:  # entries are filled in ahead of the walk
-        c = before[i]
-        if c >= 0:
-            at = head[c]
-            sa[at] = i - 1
-            head[c] = at + 1
-    end, before = stop.tolist(), to_s.tolist()
-    for i in reversed(sa):
-        c = before[i]
-        if c >= 0:
-            at = end[c] - 1
-            sa[at] = i - 1
-            end[c] = at
-    return np.array(sa, np.int64)
+    """The array from sorted seeds by sorts of all entries at once.
+
+    Entries are sorted by as many symbols with their classes (S above L) as make one number, then by ever twice as many.  Equal
+    symbols reach the next seed at the same distance; once they do, the seeds' order is theirs.
+    """
+    n, bits = len(t), (2 * k).bit_length()
+    size = 64 // bits
+    wide = np.zeros(n + size, np.uint64)
+    wide[:n] = (t.astype(np.uint64) << np.uint64(1)) + smaller + np.uint64(1)
+    codes = wide[:n].copy()
+    for i in range(1, size):
+        codes = (codes << np.uint64(bits)) | wide[i : n + i]
+    # the virtual end is the least seed
+    known = np.zeros(n + 1, np.int64)
+    known[seeds] = np.arange(1, len(seeds) + 1)
+    following = np.where(known > 0, np.arange(n + 1), n)
+    following = np.minimum.accumulate(following[::-1])[::-1][1:]
+    sa = np.argsort(codes)
+    codes = codes[sa]
+    differs = np.concatenate(([True], codes[1:] != codes[:-1]))
+    some = np.arange(n)
+    rank = np.zeros(n + 1, np.int64)
+    while True:
+        # ranks are the first places of equals, from 1
+        first = np.maximum.accumulate(np.where(differs, some, 0))
+        rank[sa[some]] = first + 1
+        equal = ~differs
+        equal[:-1] |= ~differs[1:]
+        if not equal.any():
+            return sa
+        some, first = some[equal], first[equal]
+        at = sa[some]
+        seed = following[at]
+        behind = np.where(seed - at < size, known[seed], rank[np.minimum(at + size, n)])
+        codes = (first << 32) | behind
+        by = np.argsort(codes)
+        sa[some], codes = at[by], codes[by]
+        differs = np.concatenate(([True], codes[1:] != codes[:-1]))
+        size *= 2
 
 
 def _sorted_substrings(t: np.ndarray, smaller: np.ndarray, leftmost: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -200,31 +206,32 @@ def suffix_array(t: np.ndarray, k: int) -> np.ndarray:
     return induce(t, smaller, leftmost[order], k)
 
 
-def permuted_prefixes(t: np.ndarray, sa: np.ndarray, most: int, lane: int = 64) -> np.ndarray:
-    """For each position of a byte text, the common prefix (up to `most`) with the suffix before it in sa.
+def permuted_prefixes(t: np.ndarray, sa: np.ndarray, most: int, lane: int = 64, places: np.ndarray | None = None) -> np.ndarray:
+    """For each position of a byte text (of rising places, if given), the common prefix (up to `most`) with the suffix before it in sa.
 
-    In text order a prefix is at most one shorter than the one before it; lanes of `lane` positions are
-    walked side by side, eight bytes at a comparison.
+    In text order a prefix is at most one shorter than the one before it; lanes of `lane` places are
+    walked side by side, eight bytes at a comparison.  Elsewhere than at the places nothing is told (0).
     """
     n = len(t)
     out = np.zeros(n, np.int64)
-    if n < 2:
+    places = np.arange(n) if places is None else places
+    if n < 2 or not len(places):
         return out
     partner = np.full(n, -1, np.int64)
     partner[sa[1:]] = sa[:-1]
     wide = np.concatenate((t.astype(np.uint8), np.zeros(most + 16, np.uint8)))
     words = np.lib.stride_tricks.sliding_window_view(wide, 8).copy().view("<u8").ravel()
-    starts = np.arange(0, n, lane)
-    held = np.zeros(len(starts), np.int64)
+    starts = np.arange(0, len(places), lane)
+    held, last = np.zeros(len(starts), np.int64), places[starts]
     for step in range(lane):
-        at = starts + step
-        if at[-1] >= n:
-            starts, held, at = starts[:-1], held[:-1], at[:-1]
-            if not len(at):
+        if starts[-1] + step >= len(places):
+            starts, held, last = starts[:-1], held[:-1], last[:-1]
+            if not len(starts):
                 break
+        at = places[starts + step]
         p = partner[at]
-        held = np.where(p < 0, 0, np.maximum(held - 1, 0))
-        limit = np.where(p < 0, 0, np.minimum(np.minimum(n - at, n - p), most))
+        limit = np.where(p < 0, 0, np.minimum(n - np.maximum(at, p), most))
+        held, last = np.minimum(np.maximum(held - (at - last), 0), limit), at
         open_ = np.flatnonzero(held < limit)
         while len(open_):
             h = held[open_]
@@ -246,12 +253,11 @@ def repeated(parts: list[bytes], length: int) -> list[np.ndarray]:
         return []
     text = np.frombuffer(b"\xff".join(parts) + b"\xff", np.uint8)
     sa = suffix_array(text, 256)
-    common = permuted_prefixes(text, sa, length)[sa] >= length
+    # only at begins of windows; what such a one shares `length` bytes with is one too
+    starts = [(at - len(p) - 1, max(0, len(p) - length + 1)) for p, at in zip(parts, itertools.accumulate(len(p) + 1 for p in parts))]
+    places = np.concatenate([np.arange(at, at + windows) for at, windows in starts])
+    common = permuted_prefixes(text, sa, length, places=places)[sa] >= length
     twice = np.zeros(len(text), bool)
     twice[sa[common]] = True
     twice[sa[np.flatnonzero(common) - 1]] = True
-    out, at = [], 0
-    for p in parts:
-        out.append(twice[at : at + max(0, len(p) - length + 1)])
-        at += len(p) + 1
-    return out
+    return [twice[at : at + windows] for at, windows in starts]

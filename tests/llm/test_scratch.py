@@ -18,3 +18,12 @@ def test_only_results_stay_in_the_shared_folder(spark):
     before = tables()
     assert repeats.cleaned(docs, ["doc_id"]).count() == 9
     assert {p.rsplit("/", 1)[1].split("-")[0] for p in tables() - before} <= {"covers"}
+
+
+def test_texts_are_cut_once(spark, monkeypatch):
+    texts = [str(i) + "some text that is long enough to have windows of its own " * 5 for i in range(12)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    cut, whole = spark.sparkContext.accumulator(0), repeats.segments
+    monkeypatch.setattr(repeats, "segments", lambda raws, length: (cut.add(len(raws)), whole(raws, length))[1])
+    assert repeats.digests(docs, ["doc_id"]).where("n_removed > 0").count() == 12
+    assert cut.value == 12
